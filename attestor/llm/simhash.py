@@ -28,29 +28,35 @@ RADIUS = 2
 BLOCK = 48
 SHINGLE = 3
 SEED = 42
+#: Of the stage: bits that pairs of the least similarity may differ in, keys of blocks, bins of a sketch.
+STAGE_RADIUS = 20
+BANDS, ROWS = 8, 3
+BINS = 256
+MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"minimum %d" % i, SEED) | 1 for i in range(BANDS * ROWS)], np.uint64)
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 
 
-def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Unsigned fingerprint: bit set if in over half of the hashes of the word shingles; zero without words."""
+def hashes_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Hashes of the word shingles of a text, A-Z lower-cased; of all words at once if there are fewer; empty without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
-    if len(words) <= shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = [b" ".join(g) for g in zip(*(words[i:] for i in range(shingle)), strict=False)]
+        return np.zeros(0, "<u8")
+    grams = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return np.array([xxhash.xxh64_intdigest(g, seed) for g in grams], dtype="<u8")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Unsigned fingerprint: bit set if in over half of the hashes; zero without any."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, len(grams), CHUNK):
-        h = np.array([xxhash.xxh64_intdigest(g, seed) for g in grams[i : i + CHUNK]], dtype="<u8")
-        bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64)
+    for i in range(0, len(hashes), CHUNK):
+        bits = np.unpackbits(hashes[i : i + CHUNK].view(np.uint8), bitorder="little").reshape(-1, 64)
         full = len(bits) // 255 * 255
         if full:
             ones += bits[:full].reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
         if full < len(bits):
             ones += bits[full:].sum(0, dtype=np.uint8)
-    return int(np.packbits((2 * ones > len(grams)).astype(np.uint8), bitorder="little").view("<u8")[0])
+    return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -58,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint_of(t, shingle, seed) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint_of(hashes_of(t, shingle, seed)) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -69,21 +75,29 @@ def pivot(i: int) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(b"pivot %d" % i, SEED)).view(np.int64))
 
 
+def pivot_distances() -> list:
+    """The columns of the pivot distance table for a column fp."""
+    return [F.bit_count(F.col("fp").bitwiseXOR(F.lit(pivot(i)))).cast("byte").alias(f"p{i}") for i in range(PIVOTS)]
+
+
+def within(radius: int):
+    """No coordinate of rows a and b differs by more than the radius, and then neither do their fingerprints."""
+    on = F.abs(F.col("a.p0") - F.col("b.p0")) <= radius
+    for i in range(1, PIVOTS):
+        on &= F.abs(F.col(f"a.p{i}") - F.col(f"b.p{i}")) <= radius
+    return on & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius)
+
+
 def linked(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) that connect exactly the distinct fingerprints (fp) within RADIUS bits, directly or through shared neighbours' stars."""
-    table = distinct.select("fp", *(F.bit_count(F.col("fp").bitwiseXOR(F.lit(pivot(i)))).cast("byte").alias(f"p{i}") for i in range(PIVOTS)))
+    table = distinct.select("fp", *pivot_distances())
     quarter = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
     keys = F.array(*(F.lit(n).cast("long") * (1 << 32) + quarter[i] * 65536 + quarter[j] for n, (i, j) in enumerate((i, j) for i in range(4) for j in range(i))))
     keyed = table.withColumn("block", F.explode(keys))
     sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocked = stored(keyed.join(sizes, "block"), "simhash-blocks")
     a, b = (blocked.where(F.col("size") <= BLOCK).alias(x) for x in "ab")
-    near = [F.abs(F.col(f"a.p{i}") - F.col(f"b.p{i}")) <= RADIUS for i in range(PIVOTS)]
-    verified = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS
-    on = (F.col("a.block") == F.col("b.block")) & (F.col("a.fp") < F.col("b.fp"))
-    for x in [*near, verified]:
-        on &= x
-    pairs = a.join(b, on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.fp") < F.col("b.fp")) & within(RADIUS)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     crowd = blocked.where(F.col("size") > BLOCK).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit(int(np.uint64(1 << i).view(np.int64))) for i in range(64)))
     meeting = crowd.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
@@ -108,49 +122,91 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return fps.join(classes, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def kept_of_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id; all columns of docs.
+def sketch_of(hashes: np.ndarray) -> tuple[list[int], bytes]:
+    """Keys of BANDS bands of ROWS minima each, and a one-permutation sketch: a byte of the smallest hash in each of BINS bins, zero if empty."""
+    h = np.unique(hashes)
+    minima = [int((h * m ^ (h * m >> np.uint64(29))).min()) for m in MULTIPLIERS]
+    keys = [xxhash.xxh64_intdigest(repr((b, minima[b * ROWS : b * ROWS + ROWS])).encode(), SEED) for b in range(BANDS)]
+    bins, first = np.unique((h >> np.uint64(56)).astype(np.int64), return_index=True)
+    sketch = np.zeros(BINS, np.uint8)
+    sketch[bins] = (h[first] >> np.uint64(8)).astype(np.uint8) % 255 + 1
+    return [int(k) for k in np.array(keys, np.uint64).view(np.int64)], sketch.tobytes()
 
-    Here shingles have five words. Fingerprint links only propose: a row goes if its text's set of
-    five-word shingles has a Jaccard similarity of at least `least` to that of the row which stays.
-    Both texts are compared whole, by the 64-bit hashes of their shingles.
-    """
-    classes = near_duplicates(docs, shingle)
-    return drop_verified(docs, classes, shingle, least)
 
+def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of rows of sketches: equal bins among those that either has, less what a byte's chance agreement adds."""
+    used = ((a > 0) | (b > 0)).sum(1)
+    both = ((a > 0) & (b > 0)).sum(1)
+    equal = ((a == b) & (a > 0)).sum(1)
+    return np.maximum(equal - (both - equal) / 254, 0) / np.maximum(used, 1)
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    grams = [b" ".join(words)] if len(words) <= shingle else [b" ".join(g) for g in zip(*(words[i:] for i in range(shingle)), strict=False)]
-    return np.unique(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64))
 
+def sketched(docs: DataFrame, shingle: int) -> DataFrame:
+    """node (hash of doc_id and text), doc_id, fp, keys, sketch of every row with words."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for node, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("node", "doc_id", "text")), strict=True):
+                if len(h := hashes_of(text, shingle)):
+                    rows.append((node, doc_id, int(np.uint64(fingerprint_of(h)).view(np.int64)), *sketch_of(h)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["node", "doc_id", "fp", "keys", "sketch"])
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(len(x) + len(y) - both, 1)
+    return docs.select(node_of(docs).alias("node"), "doc_id", "text").mapInArrow(run, "node long, doc_id long, fp long, keys array<long>, sketch binary")
 
 
-def drop_verified(docs: DataFrame, classes: DataFrame, shingle: int, least: float) -> DataFrame:
-    """docs without the members of a class that are proven similar to its representative (doc_id = component_id)."""
-    spread = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("member"), "component_id").distinct()
-    heads = spread.select(F.col("component_id").alias("head")).distinct()
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    head_texts = texts.join(heads, texts.doc_id == heads["head"]).groupBy("head").agg(F.min("text").alias("head_text"))
-    candidates = texts.join(spread, texts.doc_id == spread.member).select("member", "h", "component_id", "text")
+def node_of(docs: DataFrame):
+    return F.xxhash64(docs.doc_id, docs.text)
+
+
+def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between nodes that share a block, pass the pivot table and have a similarity of at least `least`.
+
+    In a block of up to BLOCK nodes all are compared with each other. In a larger one each is compared with
+    four leaders: the node nearest to the block's majority fingerprint, where copies have their origin, and
+    three that hashes pick; its other blocks hold it as well.
+    """
+    thin = rows.select("node", "fp", *pivot_distances(), F.explode("keys").alias("block"))
+    sizes = thin.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    blocked = stored(thin.join(sizes, "block"), "simhash-bands")
+    a, b = (blocked.where(F.col("size") <= BLOCK).alias(x) for x in "ab")
+    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.node") < F.col("b.node")) & within(STAGE_RADIUS)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    crowd = blocked.where(F.col("size") > BLOCK)
+    bit = lambda i: F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))
+    sums = crowd.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *(F.sum(bit(i)).alias(f"s{i}") for i in range(64)))
+    middle = sums.select("block", sum((F.when(F.col(f"s{i}") * 2 > F.col("n"), F.lit(int(np.uint64(1 << i).view(np.int64)))).otherwise(0) for i in range(1, 64)), F.when(F.col("s0") * 2 > F.col("n"), F.lit(1)).otherwise(0)).alias("middle"))
+    whole = F.struct("node", "fp", *(f"p{i}" for i in range(PIVOTS)))
+    off = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
+    picks = [F.min_by(whole, F.struct(off, F.col("node"))), *(F.min_by(whole, F.xxhash64("node", F.lit(i))) for i in range(3))]
+    leaders = crowd.join(middle, "block").groupBy("block").agg(F.array_distinct(F.array(*picks)).alias("l")).select("block", F.explode("l").alias("l")).select("block", "l.*")
+    x, y = crowd.alias("a"), leaders.alias("b")
+    stars = x.join(y, (F.col("a.block") == F.col("b.block")) & (F.col("a.node") != F.col("b.node")) & within(STAGE_RADIUS)).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+    found = stored(pairs.union(stars).distinct(), "simhash-pairs")
+    sketches = rows.select("node", "sketch").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    both = found.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
 
     def run(batches):
-        memo: tuple = (None, None)
         for batch in batches:
-            same = []
-            for x, y in zip(batch.column("text").to_pylist(), batch.column("head_text").to_pylist(), strict=True):
-                if x == y:
-                    same.append(True)
-                    continue
-                if memo[0] != y or memo[1] is None:
-                    memo = (y, shingle_set(y, shingle))
-                same.append(jaccard(shingle_set(x, shingle), memo[1]) >= least)
-            yield batch.select(["member", "h"]).filter(pa.array(same, pa.bool_()))
-
-    gone = candidates.join(head_texts, candidates.component_id == head_texts["head"]).select("member", "h", "text", "head_text").mapInArrow(run, "member long, h long")
-    gone = stored(gone.distinct(), "simhash-gone")
-    return docs.join(gone, (docs.doc_id == gone.member) & (F.xxhash64(docs.text) == gone.h), "left_anti")
+            if batch.num_rows:
+                sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
+                yield batch.select(["a", "b"]).filter(pa.array(similarity(sa, sb) >= least))
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def kept_of_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest doc_id; all columns of docs.
+
+    Near duplicates at a similarity of 0.8 are up to STAGE_RADIUS bits apart, too many for keys of exact
+    bits. Blocks come from minima of the shingles' hashes instead; pivot table and fingerprints then discard
+    pairs as ever, and sketches verify that the sets of shingles have a Jaccard similarity of `least`. Groups are
+    the components of such links. Texts without words are never near duplicates. Rows that repeat
+    doc_id and text stay or go together; a null doc_id yields to any other.
+    """
+    rows = stored(sketched(docs, shingle), "simhash-sketches")
+    roots = stored(components(similar_pairs(rows, least), "simhash-components"), "simhash-roots")
+    named = rows.select("node", "doc_id").distinct().join(roots, "node")
+    stay = named.groupBy("root").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("stay"))
+    gone = stored(roots.join(stay, "root").where("node <> stay").select("node").distinct(), "simhash-gone")
+    return docs.join(gone, node_of(docs) == gone.node, "left_anti")
