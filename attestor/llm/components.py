@@ -24,8 +24,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while before[0]:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(least, name)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = stored(large, name)
+        down = stored(large.groupBy("hi").agg(F.min("lo").alias("m")), name)
         small = large.join(down, "hi").select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e")).select("e.*").where("hi <> lo").distinct()
         now = stored(small, name)
         after = now.agg(print_of.alias("p")).first().p

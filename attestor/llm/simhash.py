@@ -94,7 +94,7 @@ def linked(distinct: DataFrame) -> DataFrame:
     quarter = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
     keys = F.array(*(F.lit(n).cast("long") * (1 << 32) + quarter[i] * 65536 + quarter[j] for n, (i, j) in enumerate((i, j) for i in range(4) for j in range(i))))
     keyed = table.withColumn("block", F.explode(keys))
-    sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = stored(keyed.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "simhash-sizes")
     blocked = stored(keyed.join(sizes, "block"), "simhash-blocks")
     a, b = (blocked.where(F.col("size") <= BLOCK).alias(x) for x in "ab")
     pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.fp") < F.col("b.fp")) & within(RADIUS)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
@@ -116,9 +116,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     fps = stored(fingerprints(docs, shingle), "simhash-fingerprints")
     first = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = components(linked(first), "simhash-components")
-    rooted = first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
+    rooted = stored(first.join(roots, first.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    lowest = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-lowest")
+    classes = stored(rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "simhash-classes")
     return fps.join(classes, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -168,7 +168,7 @@ def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
     three that hashes pick; its other blocks hold it as well.
     """
     thin = rows.select("node", "fp", *pivot_distances(), F.explode("keys").alias("block"))
-    sizes = thin.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    sizes = stored(thin.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "simhash-sizes")
     blocked = stored(thin.join(sizes, "block"), "simhash-bands")
     a, b = (blocked.where(F.col("size") <= BLOCK).alias(x) for x in "ab")
     pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.node") < F.col("b.node")) & within(STAGE_RADIUS)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
@@ -179,7 +179,9 @@ def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
     whole = F.struct("node", "fp", *(f"p{i}" for i in range(PIVOTS)))
     off = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
     picks = [F.min_by(whole, F.struct(off, F.col("node"))), *(F.min_by(whole, F.xxhash64("node", F.lit(i))) for i in range(3))]
+    middle = stored(middle, "simhash-middles")
     leaders = crowd.join(middle, "block").groupBy("block").agg(F.array_distinct(F.array(*picks)).alias("l")).select("block", F.explode("l").alias("l")).select("block", "l.*")
+    leaders = stored(leaders, "simhash-leaders")
     x, y = crowd.alias("a"), leaders.alias("b")
     stars = x.join(y, (F.col("a.block") == F.col("b.block")) & (F.col("a.node") != F.col("b.node")) & within(STAGE_RADIUS)).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
     found = stored(pairs.union(stars).distinct(), "simhash-pairs")
@@ -207,6 +209,6 @@ def kept_of_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.
     rows = stored(sketched(docs, shingle), "simhash-sketches")
     roots = stored(components(similar_pairs(rows, least), "simhash-components"), "simhash-roots")
     named = rows.select("node", "doc_id").distinct().join(roots, "node")
-    stay = named.groupBy("root").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("stay"))
+    stay = stored(named.groupBy("root").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("stay")), "simhash-stay")
     gone = stored(roots.join(stay, "root").where("node <> stay").select("node").distinct(), "simhash-gone")
     return docs.join(gone, node_of(docs) == gone.node, "left_anti")

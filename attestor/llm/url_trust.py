@@ -97,6 +97,7 @@ def verdicts(pages: DataFrame, rules=RULES, margin: float = MARGIN) -> DataFrame
     rows = judged(pages.select("page_id", "url", "html"), rules)
     bad = host_scores(rows).where(F.col("distrust") - F.col("trust") > margin).select(F.col("host").alias("bad_host"))
     fitted = rows.select("page_id", "host", "path", "fit")
+    bad = stored(bad, "trust-bad")
     named = fitted.join(bad, fitted.host == bad.bad_host, "left")
     own = F.when(F.col("bad_host").isNotNull(), "block").otherwise("allow")
     return named.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"))

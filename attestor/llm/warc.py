@@ -181,7 +181,7 @@ def planned(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("key", F.unhex(F.sha2("payload", 256))).withColumn("size", F.octet_length("payload"))
-    first = rows.groupBy("key", "size").agg(F.min("page_id").alias("response_id"))
+    first = stored(rows.groupBy("key", "size").agg(F.min("page_id").alias("response_id")), "warc-responses")
     return rows.join(first, ["key", "size"]).select("page_id", "url", "payload", "response_id")
 
 
