@@ -9,6 +9,9 @@ from __future__ import annotations
 from attestor.functions import parsing
 from attestor.operators import adjudication as adj
 from attestor.operators import resolution as res
+from attestor.operators import layout as lay
+from attestor.operators import passages as pas
+from attestor.sources import adapters
 from attestor.sources.adapters import FACTS
 
 WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -152,7 +155,7 @@ FACT_CTE = f"facts AS ({FACTS.strip()})"
 #: Facts with parsed values: CTEs facts, fy and nf.
 NORMALISED = f"""{FACT_CTE}, {YEAR_END},
 r0 AS (SELECT *, {trim("period_raw")} AS tp, {date("period_raw")} AS pd FROM facts),
-nf AS (SELECT fact_id, doc_id, page_no, entity_id, attribute_family, subject_raw, attribute_raw, value_kind, value_raw, unit, value_text, period_raw, as_of_raw, scope_raw, confidence, grounded,
+nf AS (SELECT fact_id, doc_id, page_no, entity_id, attribute_family, subject_raw, attribute_raw, value_kind, value_raw, unit, value_text, period_raw, as_of_raw, scope_raw, confidence, grounded, value_in_evidence,
   CASE WHEN value_kind = 'number' THEN {number("value_raw", "unit")} END AS value_num,
   CASE WHEN value_kind = 'number' THEN {multiplier("value_raw", "unit")} END AS multiplier,
   CASE WHEN value_kind = 'number' THEN coalesce(currency, {currency("value_raw")}, {currency("coalesce(unit, '')")}) ELSE currency END AS currency,
@@ -209,3 +212,71 @@ br AS (SELECT p.relation_id, count(*) AS n, min(c.fact_id) AS bridging_fact_id,
     AND {difference("c.value_num", _gap)} <= {adj.BRIDGE} GROUP BY p.relation_id HAVING count(*) = 1),
 vd AS (SELECT l.relation_id, l.a.fact_id AS fact_a, l.b.fact_id AS fact_b, CASE WHEN br.n = 1 THEN 'R13' ELSE l.leaf0 END AS leaf, br.bridging_fact_id, l.a AS a, l.b AS b FROM lf l LEFT JOIN br USING (relation_id)),
 rl AS (SELECT *, CASE {" ".join(f"WHEN leaf = '{x}' THEN '{v}'" for x, v, _ in adj.LEAVES)} END AS verdict, CASE WHEN leaf = 'R13' THEN 'derivation' ELSE 'rule' END AS method FROM vd)"""
+
+PAGE_CTE = f"pages_ AS ({adapters.PAGES.replace('{map}', adapters.DUCKDB_NOTES).strip()})"
+_T, _N = lay.TABLES_MARK, lay.FOOTNOTES_MARK
+REGIONS = f"""{PAGE_CTE},
+mk AS (SELECT *, nullif(strpos(raw_text, '{_T}'), 0) - 1 AS t, nullif(strpos(raw_text, '{_N}'), 0) - 1 AS f, length(raw_text) AS n FROM pages_ WHERE {trim("raw_text")} <> ''),
+rg AS (SELECT doc_id, page_no, raw_text, 'prose' AS kind, 1 AS k, 0 AS s, least(coalesce(t, n), coalesce(f, n)) AS e FROM mk
+  UNION ALL SELECT doc_id, page_no, raw_text, 'table', 2, t + {len(_T)}, CASE WHEN f > t THEN f ELSE n END FROM mk WHERE t IS NOT NULL
+  UNION ALL SELECT doc_id, page_no, raw_text, 'footnotes', 3, f + {len(_N)}, n FROM mk WHERE f IS NOT NULL)"""
+_lead = lambda x: f"(length({x}) - length(regexp_replace({x}, '^{WS}+', '')))"
+_body = lambda x: f"length({trim(x)})"
+_count = lambda x: f"len({words(x)})"
+PARAGRAPHS = f"""{REGIONS},
+p0 AS (SELECT doc_id, kind, k, s, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM (SELECT *, string_split(substr(raw_text, s + 1, e - s), chr(10) || chr(10)) AS ps FROM rg)),
+p1 AS (SELECT *, s + coalesce(sum(length(p) + 2) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM p0),
+pp AS (SELECT doc_id, kind, k, i, trim_p AS p, CAST(off + ld AS INTEGER) AS s, CAST(off + ld + length(trim_p) AS INTEGER) AS e, CAST({_count("trim_p")} AS INTEGER) AS w FROM (SELECT *, {_lead("p")} AS ld, {trim("p")} AS trim_p FROM p1) WHERE trim_p <> '')"""
+SENTENCES = f"""{PARAGRAPHS},
+s0 AS (SELECT doc_id, kind, k, i, s, unnest(ss) AS p, unnest(range(len(ss))) AS j FROM (SELECT *, regexp_extract_all(p, '(?s).+?(?:[.!?]{WS}+|$)') AS ss FROM pp WHERE w > {pas.PARAGRAPH_WORDS})),
+s1 AS (SELECT *, s + coalesce(sum(length(p)) OVER (PARTITION BY doc_id, kind, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s0),
+sp AS (SELECT doc_id, kind, k, i, 0 AS j, s, e, w FROM pp WHERE w <= {pas.PARAGRAPH_WORDS}
+  UNION ALL SELECT doc_id, kind, k, i, j, CAST(off + {_lead("p")} AS INTEGER), CAST(off + {_lead("p")} + {_body("p")} AS INTEGER), CAST({_count("p")} AS INTEGER) FROM s1 WHERE {trim("p")} <> '')"""
+_refs = f"list_transform(flatten(list_transform(regexp_extract_all(text, '{lay.REFERENCE}', 1), lambda g: string_split(g, ','))), lambda r: trim(r))"
+CHUNKS = f"""{SENTENCES},
+nn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY i, j) AS r FROM sp),
+pk AS (SELECT doc_id, kind, k, r, s, e, w, 1 AS c, w AS tw FROM nn WHERE r = 1
+  UNION ALL SELECT n.doc_id, n.kind, n.k, n.r, n.s, n.e, n.w, CASE WHEN p.tw + n.w <= {pas.PASSAGE_WORDS} THEN p.c ELSE p.c + 1 END, CASE WHEN p.tw + n.w <= {pas.PASSAGE_WORDS} THEN p.tw + n.w ELSE n.w END FROM pk p JOIN nn n ON n.doc_id = p.doc_id AND n.kind = p.kind AND n.r = p.r + 1),
+cs AS (SELECT doc_id, kind, k, c, min(s) AS s, max(e) AS e FROM pk GROUP BY ALL),
+ct AS (SELECT cs.*, g.page_no, g.section_heading, substr(g.raw_text, cs.s + 1, cs.e - cs.s) AS text, row_number() OVER (PARTITION BY cs.doc_id ORDER BY k, c) - 1 AS n FROM cs JOIN pages_ g USING (doc_id)),
+ch AS (SELECT doc_id || '__p0001__c' || lpad(CAST(n AS VARCHAR), 2, '0') AS chunk_id, doc_id, page_no, kind, s AS char_start, e AS char_end, text,
+  CASE WHEN {_count("text")} < {pas.LEAST_WORDS} THEN 'too short to hold a claim' WHEN regexp_matches(text, '[0-9]') OR len(regexp_extract_all(text, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z][a-z]{{2,}}(?:$|[^\\p{{L}}\\p{{N}}_])')) >= {pas.LEAST_CAPITALISED} THEN NULL ELSE 'no numbers and nothing named' END AS why_skipped,
+  concat_ws(chr(10), CASE WHEN section_heading <> '' THEN '[SECTION] ' || section_heading END, CASE WHEN kind <> 'footnotes' THEN '[FOOTNOTE *] applies to all' END,
+    CASE WHEN kind <> 'footnotes' AND list_contains({_refs}, '1') THEN '[FOOTNOTE 1] note one' END, CASE WHEN kind <> 'footnotes' AND list_contains({_refs}, '5') THEN '[FOOTNOTE 5] note five' END) AS context_header FROM ct)"""
+
+_find = lambda e, x: f"nullif(strpos({x}, {e}), 0) - 1"
+_pattern = f"array_to_string(list_transform({words('e')}, lambda w: '\\Q' || w || '\\E'), '{WS}+')"
+GROUNDED = f"""cl AS ({adapters.CLAIMS.strip()}), g0 AS (SELECT *, {trim("coalesce(evidence_text, '')")} AS e FROM cl),
+g1 AS (SELECT *, length(e) >= 3 AS ok, {_find("e", "chunk_text")} AS xc, {_find("e", "page_text")} AS xp, nullif(regexp_extract(chunk_text, {_pattern}), '') AS mc, nullif(regexp_extract(page_text, {_pattern}), '') AS mp FROM g0),
+g2 AS (SELECT *, CASE WHEN NOT ok THEN NULL WHEN xc IS NOT NULL THEN 'exact' WHEN mc IS NOT NULL THEN 'flexible' WHEN xp IS NOT NULL OR mp IS NOT NULL THEN 'same_page' END AS method FROM g1),
+gr AS (SELECT fact_id, doc_id, page_no, page_text, method IS NOT NULL AS grounded, method AS grounding_method,
+  CAST(CASE method WHEN 'exact' THEN xc + 10 WHEN 'flexible' THEN {_find("mc", "chunk_text")} + 10 WHEN 'same_page' THEN coalesce(xp, {_find("mp", "page_text")}) END AS INTEGER) AS char_start,
+  CAST(CASE method WHEN 'exact' THEN xc + 10 + length(e) WHEN 'flexible' THEN {_find("mc", "chunk_text")} + 10 + length(mc) WHEN 'same_page' THEN CASE WHEN xp IS NOT NULL THEN xp + length(e) ELSE {_find("mp", "page_text")} + length(mp) END END AS INTEGER) AS char_end,
+  CASE WHEN ok AND coalesce(value_raw, '') <> '' THEN contains(regexp_replace(lower(e), '(?:{WS}|,)+', '', 'g'), regexp_replace(lower(value_raw), '(?:{WS}|,)+', '', 'g')) ELSE false END AS value_in_evidence FROM g2)"""
+
+LINE_CTE = f"lines AS ({adapters.LINES.strip()})"
+FLOW = f"""{LINE_CTE}, fl AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY top, "left", line_id) AS pos FROM lines WHERE NOT (font_size <= 9 AND (bottom < page_height * 0.06 OR top > page_height * 0.94)))"""
+_mark = lambda i: f"nullif(regexp_extract(text, '{lay.FOOTNOTE}', {i}), '')"
+NOTES = f"""{FLOW},
+f0 AS (SELECT *, coalesce({_mark(1)}, {_mark(2)}, {_mark(3)}, {_mark(4)}) AS opens FROM fl WHERE top >= page_height * 0.7),
+f1 AS (SELECT *, count(opens) OVER (PARTITION BY doc_id, page_no ORDER BY pos) AS island FROM f0),
+f2 AS (SELECT *, first_value(font_size) OVER w AS ff, first_value("left") OVER w AS fl_, first_value(opens) OVER w AS marker FROM f1 WHERE island > 0 WINDOW w AS (PARTITION BY doc_id, page_no, island ORDER BY pos)),
+f3 AS (SELECT *, min(CASE WHEN abs(font_size - ff) <= 1.5 AND abs("left" - fl_) <= 60 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no, island ORDER BY pos) AS open_ FROM f2),
+fn AS (SELECT doc_id, page_no, pos, line_id, island, marker, CASE WHEN opens IS NOT NULL THEN {trim(f"regexp_extract(text, '{lay.FOOTNOTE}', 5)")} ELSE text END AS said FROM f3 WHERE open_ = 1),
+fb AS (SELECT doc_id, page_no, island, marker, string_agg(said, ' ' ORDER BY pos) AS body FROM fn GROUP BY ALL),
+nt AS (SELECT doc_id, page_no, marker, arg_max(body, island) AS body FROM fb GROUP BY ALL)"""
+_fb = "CAST(floor({x} / (page_width / 200)) AS INTEGER)"
+GUTTERS = f"""{FLOW},
+sl AS (SELECT DISTINCT doc_id, page_no, page_width, unnest(range(greatest(0, {_fb.format(x='"left"')}), least(199, {_fb.format(x='"right"')}) + 1)) AS slice FROM fl),
+ga AS (SELECT *, slice - lag(slice) OVER (PARTITION BY doc_id, page_no ORDER BY slice) - 1 AS gap FROM sl),
+gu AS (SELECT doc_id, page_no, list(slice * (page_width / 200) ORDER BY slice) AS gutters FROM ga WHERE gap >= 8 GROUP BY ALL)"""
+TABLE_CTE = f"raw AS ({adapters.TABLES.replace('{array}', 'list_value').strip()})"
+_cells = f"list_transform(cells, lambda c: coalesce({collapse('c')}, ''))"
+FLAT = f"""{TABLE_CTE},
+t0 AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_no, table_no) AS n FROM raw),
+ft AS (SELECT doc_id, page_no, table_no, row_no, cs AS cells, array_to_string(cs, ' | ') AS line, n FROM (SELECT *, {_cells} AS cs FROM t0) WHERE len(list_filter(cs, lambda c: c <> '')) >= 2)"""
+KEPT = f"""{FLOW}, {FLAT},
+pz AS (SELECT doc_id, page_no, lower({collapse("string_agg(text, ' ' ORDER BY pos)")}) AS prose FROM fl GROUP BY ALL),
+k0 AS (SELECT ft.*, {collapse("replace(line, '|', ' ')")} AS content, coalesce(prose, '') AS prose FROM ft LEFT JOIN pz USING (doc_id, page_no) WHERE n >= 2),
+k1 AS (SELECT *, count(*) OVER (PARTITION BY doc_id, page_no, table_no) AS left_over FROM k0 WHERE NOT (length(content) > 20 AND contains(prose, lower(content)))),
+kt AS (SELECT doc_id, page_no, table_no, row_no, cells, line FROM k1 WHERE left_over >= 2)"""

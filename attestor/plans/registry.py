@@ -75,7 +75,7 @@ WIDE = o.NORMALISED.replace("concat('p', CAST(l_partkey AS STRING)) AS entity_id
 def wide(spark, sf_dir):
     """Facts in few, large buckets, some of them over the cap."""
     sql = adapters.FACTS.replace("concat('p', CAST(l_partkey AS STRING)) AS entity_id, l_returnflag AS attribute_family", "concat('s', CAST(l_suppkey AS STRING)) AS entity_id, concat(l_returnflag, l_linestatus) AS attribute_family")
-    return res.normalised(spark.sql(sql.replace("FROM lineitem", "FROM {lineitem}"), lineitem=adapters.table(spark, sf_dir, "lineitem")))
+    return res.normalised(spark.sql(sql.replace("FROM lineitem", "FROM {src}"), src=adapters.table(spark, sf_dir, "lineitem")))
 
 
 _SIZES = "bs AS (SELECT entity_id, attribute_family, count(*) AS n_facts, least(count(*), 120) AS n_kept FROM nf WHERE grounded AND (value_num IS NOT NULL OR value_text IS NOT NULL) GROUP BY ALL)"
