@@ -123,7 +123,7 @@ class Writer:
         dictionary = dictionary_of([x[:32_768] for x in self.waiting])
         self.name = f"{uuid.uuid4().hex}.warc.zst"
         self.fs.create_dir(self.path, recursive=True)
-        self.out = self.fs.open_output_stream(f"{self.path}/{self.name}")
+        self.out = self.fs.open_output_stream(f"{self.path}/{self.name}", compression=None)  # else the name's ending has it compressed again
         packed = zstandard.ZstdCompressor(level=LEVEL).compress(dictionary)
         self.out.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True, write_checksum=True)
@@ -168,7 +168,7 @@ def frames(stream, dictionary: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
 
 def records_of(uri: str) -> Iterator[dict]:
     fs, path = pyarrow.fs.FileSystem.from_uri(uri)
-    with fs.open_input_stream(path) as stream:
+    with fs.open_input_stream(path, compression=None) as stream:
         for data in frames(stream, read_dictionary(stream)):
             yield parsed(data)
 
