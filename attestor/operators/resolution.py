@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import parsing
-from attestor.functions.similarity import score
+from attestor.functions.similarity import sorted_tokens, token_sort_ratio_udf
 from attestor.functions.text import plain, readable_id, words
+from attestor.sources.scratch import stored
 
 # Fixed values.
 STOPWORDS = (
@@ -103,37 +103,55 @@ def resolved_subjects(facts: DataFrame) -> DataFrame:
     return facts.join(main_subjects(facts), "doc_id", "left").withColumn("subject", F.coalesce(own, "main_subject", F.lit(UNNAMED))).drop("main_subject")
 
 
+def similar_phrases(phrases: DataFrame, least: float, block: list[str]) -> DataFrame:
+    """Edges (src, dst, score) from each phrase that may lead to those ranked after it that score at least `least` with it.
+
+    phrases: phrase, tidy, place (sorts by rank), may_lead and the block columns. A pair that scores t has an indel distance of at
+    most (1 - t)(a + b), each step of which spoils at most two bigrams. So two such phrases share one of
+    their 4 (1 - t) length + 1 rarest bigrams (padded at the ends, repeats counted apart), and only those meet.
+    """
+    slack = 1 - least / 100
+    padded = F.concat(F.lit("\x02"), "tidy", F.lit("\x03"))
+    raw = F.transform(F.sequence(F.lit(1), F.length("tidy") + 1), lambda i: F.substring(padded, i, F.lit(2)))
+    counted = phrases.withColumn("raw", raw).select("phrase", F.length("tidy").alias("size"), *block, F.posexplode("raw").alias("i", "gram"))
+    occurrence = F.row_number().over(Window.partitionBy("phrase", "gram").orderBy("i"))
+    counted = counted.select("phrase", "size", *block, F.concat("gram", F.lit("\x04"), occurrence.cast("string")).alias("gram"))
+    rare = counted.groupBy(*block, "gram").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counted.join(rare, [*block, "gram"]).withColumn("r", F.row_number().over(Window.partitionBy("phrase").orderBy("n", "gram")))
+    keys = ranked.where(F.col("r") <= F.floor(4 * slack * F.col("size")) + 1).select("phrase", *block, "gram")
+    known = phrases.select("phrase", "tidy", "place", "may_lead")
+    side = lambda x: keys.join(known, "phrase").select(*block, "gram", *(F.col(c).alias(f"{x}_{c}") for c in ("phrase", "tidy", "place", "may_lead")))
+    a, b = side("a").where("a_may_lead"), side("b")
+    total, apart = F.length("a_tidy") + F.length("b_tidy"), F.abs(F.length("a_tidy") - F.length("b_tidy"))
+    met = a.join(b, [*block, "gram"]).where((F.col("a_place") < F.col("b_place")) & (apart <= slack * total + 1e-9)).select("a_phrase", "b_phrase", "a_tidy", "b_tidy", "a_place").distinct()
+    scored = met.withColumn("score", token_sort_ratio_udf()("a_tidy", "b_tidy"))
+    return scored.where(F.col("score") >= least).select(F.col("a_phrase").alias("src"), F.col("b_phrase").alias("dst"), "score", F.col("a_place").alias("place"))
+
+
 def clusters(phrases: DataFrame, least: float, leader_count: int = 1, block: str | None = None) -> DataFrame:
-    """phrases (phrase, n, first) with leader, by the leader algorithm, commonest phrase first.
+    """phrases (phrase, n, first) with leader and leads, by the leader algorithm, commonest phrase first.
 
     A phrase joins the best-scoring leader before it (the earlier of equals) that reaches `least`, else it
     leads itself if it occurs at least leader_count times, else it stands alone. With a block
-    column only phrases of one block meet, one task per block. Without one the vocabulary meets as a whole: phrases
-    that can't be similar for their lengths alone are never scored.
+    column only phrases of one block meet. Leaders are the lexicographically first maximal independent set of the graph of similar phrases,
+    found in rounds: who has no undecided or leading phrase before it leads, who has a leader before it doesn't.
     """
-    schema = "phrase string, leader string, leads boolean"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n", "first"], ascending=[False, True])
-        leaders: list[tuple[str, str]] = []
-        out = []
-        for phrase, n in zip(frame["phrase"], frame["n"], strict=True):
-            tidy = " ".join(sorted(phrase.split()))
-            best, top = None, least
-            for name, text in leaders:
-                if 200.0 * min(len(text), len(tidy)) < least * (len(text) + len(tidy)):
-                    continue
-                s = score(tidy, text)
-                if s >= top and (best is None or s > top):
-                    best, top = name, s
-            leads = best is None and n >= leader_count
-            if leads:
-                leaders.append((phrase, tidy))
-            out.append((phrase, best or phrase, leads))
-        return pd.DataFrame(out, columns=["phrase", "leader", "leads"])
-
-    key = F.col(block) if block else F.lit("")
-    return phrases.withColumn("_block", key).groupBy("_block").applyInPandas(run, schema)
+    keys = [block] if block else []
+    place = F.struct((-F.col("n")).alias("n"), F.col("first").alias("first"))
+    named = stored(phrases.withColumns({"tidy": sorted_tokens(F.col("phrase")), "place": place, "may_lead": F.col("n") >= leader_count}).select("phrase", "tidy", "place", "may_lead", *keys), "phrases")
+    edges = stored(similar_phrases(named, least, keys), "phrase-edges")
+    state = stored(named.select("phrase", F.when(F.col("may_lead"), "open").otherwise("never").alias("state")), "phrase-states")
+    while not state.where("state = 'open'").isEmpty():
+        before = edges.join(state.select(F.col("phrase").alias("src"), F.col("state").alias("src_state")), "src")
+        seen = before.groupBy("dst").agg(F.max((F.col("src_state") == "leads").cast("int")).alias("led"), F.max((F.col("src_state") == "open").cast("int")).alias("waits"))
+        joined = state.join(seen, state.phrase == seen.dst, "left")
+        decided = F.when(F.col("state") != "open", F.col("state")).when(F.col("led") == 1, "follows").when(F.coalesce("waits", F.lit(0)) == 0, "leads").otherwise("open")
+        state = stored(joined.select("phrase", decided.alias("state")), "phrase-states")
+    leaders = state.where("state = 'leads'").select(F.col("phrase").alias("src"))
+    best = edges.join(leaders, "src").groupBy("dst").agg(F.min_by("src", F.struct(-F.col("score"), F.col("place"))).alias("best"))
+    joined = state.join(best, state.phrase == best.dst, "left")
+    leads = F.col("state") == "leads"
+    return joined.select("phrase", F.when(leads, F.col("phrase")).otherwise(F.coalesce("best", "phrase")).alias("leader"), leads.alias("leads"))
 
 
 def entity_leaders(facts: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Grounding, resolution, pairing and the rule tree on small cases."""
 
 import datetime as dt
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -100,6 +101,34 @@ def test_families_keep_signatures_apart(spark):
     assert got["revenue from contracts with customers cagr"] == "revenue from contracts with customers cagr"
 
 
+def leaders_by_hand(phrases, least, count):
+    leaders, out = [], {}
+    for phrase, n, _ in sorted(phrases, key=lambda p: (-p[1], p[2])):
+        tidy = " ".join(sorted(phrase.split()))
+        scored = [(score(tidy, " ".join(sorted(x.split()))), -i, x) for i, x in enumerate(leaders)]
+        best = max((s for s in scored if s[0] >= least), default=None)
+        if best is None and n >= count:
+            leaders.append(phrase)
+        out[phrase] = best[2] if best else phrase
+    return out, set(leaders)
+
+
+@pytest.mark.parametrize("least,count", [(93.0, 1), (88.0, 2), (70.0, 1)])
+def test_clusters(spark, least, count):
+    rng = random.Random(int(least))
+    base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(0, 30))).strip() for _ in range(60)]
+    phrases = set(base)
+    for _ in range(150):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(1, 3)):
+            t.insert(rng.randrange(len(t) + 1), rng.choice("abcde")) if rng.random() < 0.5 or not t else t.pop(rng.randrange(len(t)))
+        phrases.add(" ".join("".join(t).split()))
+    rows = [(p, rng.randint(1, 4), f"f{i:04d}") for i, p in enumerate(sorted(phrases))]
+    want, leads = leaders_by_hand(rows, least, count)
+    got = R.clusters(spark.createDataFrame(rows, "phrase string, n long, first string"), least, count).collect()
+    assert {r.phrase: r.leader for r in got} == want and {r.phrase for r in got if r.leads} == leads
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc d", max_size=12), st.text("abc d", max_size=12))
 def test_lcs(a, b):
