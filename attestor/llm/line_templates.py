@@ -19,30 +19,35 @@ DEPTH = 4
 SIMILARITY = 0.5
 LEAST_DOCUMENTS = 10
 FIELD = "<*>"
-SPACES = r"[\x20\x09-\x0D]+"
+#: White space of a line other than single spaces; where none occurs, lines are cut without a regular expression.
+ODD_SPACE = ("  ", "\t", "\x0b", "\x0c", "\r")
+SPACES = r"[\x20\x09\x0B-\x0D]+"
+VARIABLE = "[^ ]*[0-9][^ ]*"
 
 
-def tokens(line):
-    """Tokens of a line, those with a digit as the variable field."""
-    return F.transform(F.filter(F.split(line, SPACES), lambda t: t != ""), lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
-
-
-def leaf(t, depth: int):
-    """The path to a leaf: number of tokens, then the leading tokens; null for a blank line."""
-    return F.when(F.size(t) > 0, F.xxhash64(F.size(t), F.array_join(F.slice(t, 1, depth), " ")))
+def lines_of(docs: DataFrame) -> DataFrame:
+    """key (hash of doc_id and text), doc_id, at, line (tokens with single spaces between them) of every line that isn't blank."""
+    odd = F.contains("text", F.lit(ODD_SPACE[0]))
+    for space in ODD_SPACE[1:]:
+        odd = odd | F.contains("text", F.lit(space))
+    spaced = F.when(odd, F.regexp_replace("text", SPACES, " ")).otherwise(F.col("text"))
+    lines = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.posexplode(F.split(spaced, "\n")).alias("at", "line"))
+    return lines.withColumn("line", F.trim("line")).where("line <> ''")
 
 
 def leaves(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, leaf, t (tokens) of the distinct lines of each row."""
-    lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    return lines.select("doc_id", tokens(F.col("line")).alias("t")).withColumn("leaf", leaf(F.col("t"), depth)).where("leaf IS NOT NULL")
-
-
-def recurring(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """leaf, documents, length, template of every template that recurs."""
-    found = leaves(docs, depth)
-    common = stored(found.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= least), "lines-leaves")
-    places = passing(found, "leaf", common).select("leaf", F.size("t").alias("length"), F.posexplode("t").alias("at", "token"))
+    """lines_of with length and leaf: the path by number of tokens and leading tokens, those with a digit as the variable field."""
+    lines = lines_of(docs).withColumn("length", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    lead = lines.withColumn("lead", F.substring_index("line", " ", depth))
+    masked = F.when(F.col("lead").rlike("[0-9]"), F.regexp_replace("lead", VARIABLE, FIELD)).otherwise(F.col("lead"))
+    return lead.withColumn("leaf", F.xxhash64("length", masked)).drop("lead")
+
+
+def recurring(docs: DataFrame, placed: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """leaf, documents, length, template of every template that recurs. placed: doc_id and leaf of all lines."""
+    common = stored(placed.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= least), "lines-leaves")
+    places = passing(leaves(docs, depth), "leaf", common).select("leaf", "length", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    places = places.withColumn("token", F.when(F.col("token").rlike("[0-9]"), FIELD).otherwise(F.col("token")))
     agreed = places.groupBy("leaf", "length", "at").agg(F.min("token").alias("lo"), F.max("token").alias("hi"))
     shape = agreed.withColumn("token", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(FIELD)).groupBy("leaf", "length").agg(F.sum((F.col("token") != FIELD).cast("int")).alias("constants"), F.array_sort(F.collect_list(F.struct("at", "token"))).alias("places"))
     kept = shape.where(F.col("constants") >= F.col("length") * similarity)
@@ -56,15 +61,16 @@ def dropped(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY,
     rows with one doc_id count as one document and lose the same lines. An empty table
     gives an empty result.
     """
-    templates = stored(recurring(docs, depth, similarity, least), "lines-templates")
-    hits = passing(leaves(docs, depth).select("doc_id", "leaf"), "leaf", templates).join(templates.select("leaf"), "leaf")
-    marked = hits.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set("leaf").alias("gone"))
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.split("text", "\n").alias("lines"))
-    joined = packed.join(marked, packed.doc_id.eqNullSafe(marked.hit_id), "left")
-    stays = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("gone", leaf(tokens(x), depth)), F.lit(False)))
-    joined = joined.withColumn("stays", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stays))
-    n, m = F.coalesce(F.size("lines"), F.lit(0)).cast("long"), F.coalesce(F.size("stays"), F.lit(0)).cast("long")
-    return joined.select("row", F.array_join("stays", "\n").alias("kept_text"), n.alias("n_lines"), (n - m).alias("n_dropped"))
+    placed = stored(leaves(docs.select("doc_id", "text"), depth).select("key", "doc_id", "at", "leaf"), "lines-placed")
+    templates = stored(recurring(docs.select("doc_id", "text"), placed, depth, similarity, least), "lines-templates")
+    hits = passing(placed.select("key", "at", "leaf"), "leaf", templates).join(templates.select("leaf"), "leaf")
+    marked = stored(hits.groupBy("key").agg(F.collect_set("at").alias("gone")), "lines-marked")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    joined = packed.join(marked.hint("merge"), "key", "left").withColumn("lines", F.split("row.text", "\n"))
+    stays = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
+    n, m = F.coalesce(F.size("lines"), F.lit(0)).cast("long"), F.coalesce(F.size(stays), F.lit(0)).cast("long")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(stays, "\n"))
+    return joined.select("row", text.alias("kept_text"), n.alias("n_lines"), (n - m).alias("n_dropped"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

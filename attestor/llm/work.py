@@ -28,6 +28,13 @@ def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(batches, rows: int = 256):
+    """Arrow batches in slices of few rows, so that a worker holds few texts at a time as Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def bucket_of(column: str):
     """The filter bucket of a 64-bit hash column."""
     return F.pmod(F.col(column), F.lit(FILTER_BUCKETS)).cast("int").alias("bucket")
