@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.components import components
-from attestor.llm.work import stored
+from attestor.llm.work import pieces, stored
 
 PIVOTS = 16
 RADIUS = 2
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     """doc_id, fp (the fingerprint as a signed long) of every row; a null text counts as empty."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             fps = np.array([fingerprint_of(hashes_of(t, shingle, seed)) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
@@ -145,7 +145,7 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
     """node (hash of doc_id and text), doc_id, fp, keys, sketch of every row with words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for node, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("node", "doc_id", "text")), strict=True):
                 if len(h := hashes_of(text, shingle)):

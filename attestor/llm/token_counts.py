@@ -18,10 +18,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.llm.work import pieces
+
 MARK = "▁"
 PARTS = re.compile(f"{MARK}+[^{MARK}]*")
 LIMIT = 4096
-MEMO = 250_000
+MEMO = 120_000
 
 
 def load(path: str) -> sentencepiece.SentencePieceProcessor:
@@ -88,7 +90,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     def run(batches):
         counts = Counts(load(path), shared.value)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array([count(t, counts) for t in batch.column("text").to_pylist()], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")

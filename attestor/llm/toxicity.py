@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestor.llm.work import pieces
+
 TRAIN_POSITIVE = 12_000
 TRAIN_NEGATIVE = 12_000
 MODEL_TOKENS = 50_000
@@ -63,7 +65,7 @@ class Scores(dict):
         if s is None:
             s = self.stems.get(token[:STEM_LETTERS], 0.0) if len(token) > STEM_LETTERS else 0.0
         s = max(s, -1.0) - DRIFT
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[token] = s
         return s
@@ -111,7 +113,7 @@ def counts(sample: DataFrame) -> DataFrame:
     """Documents of either class that hold a token: token, toxic, clean. sample: text, toxic."""
 
     def per_batch(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1024):
             by: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 words = set(tokens_of(text))
@@ -199,7 +201,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict | None:
 
     def raw(batches):
         scores = Scores(tokens, stems)
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 s = scored(tokens_of(text), scores)
@@ -241,7 +243,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
         m = shared.value
         scores = Scores(m["tokens"], m["stems"])
         limit = -math.log(SIGNIFICANT)
-        for batch in batches:
+        for batch in pieces(batches):
             lengths, totals, passages = [], [], []
             for text in batch.column("text").to_pylist():
                 words = tokens_of(text)
@@ -277,7 +279,7 @@ def filtered(docs: DataFrame, model: dict | None) -> DataFrame:
     def run(batches):
         m = shared.value
         scores = Scores(m["tokens"], m["stems"])
-        for batch in batches:
+        for batch in pieces(batches):
             keep = []
             for text in batch.column(names.index("text")).to_pylist():
                 words = tokens_of(text)
