@@ -14,6 +14,7 @@ import json
 import re
 import sys
 import types
+from itertools import chain, filterfalse
 from struct import pack
 
 import numpy as np
@@ -22,8 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-WORD_MEMO = 400_000
+from attestor.llm.work import pieces
+
+WORD_MEMO = 150_000
 PAIR_BASE = 1 << 20
+#: Words of more letters are merged one by one.
+LONG = 40
 #: Below this character, lower case is all that normalisation changes, and classes of characters are certain.
 SIMPLE = re.compile("[^\x00-ɏ]")
 SIMPLE_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x20\x09-\x0D\x85\xA0\p{L}\p{N}]+")
@@ -37,7 +42,11 @@ def byte_letters() -> list[str]:
 
 
 class Words(dict):
-    """Distinct words to (ids as bytes, tokens joined by spaces); filled for whole batches by speculate-and-verify."""
+    """Distinct words to ids as bytes, and in `texts` to their tokens joined by spaces.
+
+    Filled for whole batches by speculate-and-verify. Two generations of WORD_MEMO words bound the memory and
+    keep what recurs.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -48,15 +57,32 @@ class Words(dict):
         self.names = {i: t for t, i in self.vocab.items()}
         self.ranks = {self.vocab[a] * PAIR_BASE + self.vocab[b]: r for r, (a, b) in enumerate(model["merges"])}
         self.results = [self.vocab[a + b] for a, b in model["merges"]]
+        self.rank_keys = np.array(sorted(self.ranks), np.int64)
+        self.rank_values = np.array([self.ranks[k] for k in self.rank_keys.tolist()], np.int64)
+        self.result_ids = np.array(self.results, np.int64)
         self.letters = byte_letters()
+        self.spelling = dict(enumerate(self.letters))
         self.library = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.longest = max(map(len, self.vocab))
-        self.pairs: dict[int, bool] = {}
         self.table = (np.zeros(0, np.int64), np.zeros(0, bool))
-        self.whole: dict[str, bool] = {}
+        self.texts: dict[str, str] = {}
+        self.old: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
         self.tried = self.failed = 0
+        # Only tokens whose own letters merge to them can be proposed: those that end a word, and the others by prefix.
+        self.last: dict[str, int] = {}
+        self.prefixes: dict[str, int] = {}
+        for token, i in self.vocab.items():
+            ends = token.endswith(self.end) and len(token) > len(self.end)
+            letters = token[: -len(self.end)] if ends else token
+            if self.merged(self.symbols(letters, ends)) != [i]:
+                continue
+            if ends:
+                self.last[letters] = i
+            else:
+                self.prefixes[letters] = i
+                for n in range(1, len(letters)):
+                    self.prefixes.setdefault(letters[:n], -1)
 
     def merged(self, symbols: list[int]) -> list[int]:
         """Exact merging: the lowest-ranked adjacent pair first, the leftmost of equals."""
@@ -73,45 +99,89 @@ class Words(dict):
                 near[i] = rank(new * PAIR_BASE + ids[i + 1], none)
         return ids
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, that of no merge where there is none."""
+        keys = left * PAIR_BASE + right
+        at = np.minimum(np.searchsorted(self.rank_keys, keys), len(self.rank_keys) - 1)
+        return np.where(self.rank_keys[at] == keys, self.rank_values[at], len(self.results))
+
+    def merged_all(self, many: list[list[int]]) -> list[list[int]]:
+        """merged() of many sequences, one merge of each at a time as array operations; long ones go one by one."""
+        out: list[list[int]] = [[]] * len(many)
+        short = [i for i, x in enumerate(many) if len(x) <= LONG]
+        for i in {*range(len(many))}.difference(short):
+            out[i] = self.merged(many[i])
+        if not short:
+            return out
+        width, none = max(2, max(len(many[i]) for i in short)), len(self.results)
+        ids = np.full((len(short), width), -1, np.int64)
+        for row, i in enumerate(short):
+            ids[row, : len(many[i])] = many[i]
+        near = self.ranks_of(ids[:, :-1], ids[:, 1:])
+        near[ids[:, 1:] < 0] = none
+        owner = np.array(short)
+        while len(ids):
+            at = near.argmin(1)
+            rows = np.arange(len(ids))
+            least = near[rows, at]
+            if (over := least == none).any():
+                for i, x in zip(owner[over].tolist(), ids[over].tolist(), strict=True):
+                    out[i] = [t for t in x if t >= 0]
+                live = ~over
+                ids, near, owner, at, least = ids[live], near[live], owner[live], at[live], least[live]
+                rows = rows[: len(ids)]
+                if not len(ids):
+                    break
+            ids[rows, at] = self.result_ids[least]
+            cols = np.arange(width)
+            ids = np.take_along_axis(ids, np.minimum(cols + (cols > at[:, None]), width - 1), 1)
+            ids[:, -1] = -1
+            near = np.take_along_axis(near, np.minimum(cols[:-1] + (cols[:-1] >= at[:, None]), width - 2), 1)
+            near[:, -1] = none
+            for side in (at - 1, at):
+                ok = (side >= 0) & (side < width - 1)
+                r, c = rows[ok], side[ok]
+                found = self.ranks_of(ids[r, c], ids[r, c + 1])
+                found[ids[r, c + 1] < 0] = none
+                near[r, c] = found
+        return out
+
     def symbols(self, spelled: str, ends: bool) -> list[int]:
         ids = [self.vocab[c] for c in spelled]
         if ends:
             ids[-1] = self.vocab[spelled[-1] + self.end]
         return ids
 
-    def stands(self, token: str) -> bool:
-        """True if the token's own letters merge to that token, so that it can be proposed at all."""
-        if token not in self.whole:
-            ends = token.endswith(self.end) and len(token) > len(self.end)
-            self.whole[token] = self.merged(self.symbols(token[: -len(self.end)] if ends else token, ends)) == [self.vocab[token]]
-        return self.whole[token]
-
-    def proposed(self, spelled: str) -> list[str]:
+    def proposed(self, spelled: str) -> list[int]:
         """Greedy longest match; the last token carries the end of the word."""
-        out, i, n = [], 0, len(spelled)
-        while i < n:
-            if n - i <= self.longest and (t := spelled[i:] + self.end) in self.vocab and self.stands(t):
-                out.append(t)
-                break
-            j = min(n - 1, i + self.longest)
-            while j > i + 1 and not ((t := spelled[i:j]) in self.vocab and self.stands(t)):
-                j -= 1
-            out.append(spelled[i:j] if j > i else spelled[i:] + self.end)
-            i = max(j, i + 1)
+        out, i, n, last, prefixes = [], 0, len(spelled), self.last, self.prefixes
+        while (token := last.get(spelled[i:])) is None:
+            j, longest = i + 1, i
+            while j < n and (found := prefixes.get(spelled[i:j])) is not None:
+                if found >= 0:
+                    token, longest = found, j
+                j += 1
+            out.append(token)
+            i = longest
+        out.append(token)
         return out
 
-    def pair_stands(self, key: int) -> bool:
-        a, b = self.names[key // PAIR_BASE], self.names[key % PAIR_BASE]
-        ends = b.endswith(self.end) and len(b) > len(self.end)
-        return self.merged(self.symbols(a + (b[: -len(self.end)] if ends else b), ends)) == [key // PAIR_BASE, key % PAIR_BASE]
+    def pairs_stand(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the letters of each pair of tokens merge to just that pair."""
+        pairs = [(int(k) // PAIR_BASE, int(k) % PAIR_BASE) for k in keys]
+        spelled = []
+        for a, b in pairs:
+            first, last = self.names[a], self.names[b]
+            ends = last.endswith(self.end) and len(last) > len(self.end)
+            spelled.append(self.symbols(first + (last[: -len(self.end)] if ends else last), ends))
+        return np.fromiter((m == [a, b] for m, (a, b) in zip(self.merged_all(spelled), pairs, strict=True)), bool, len(pairs))
 
     def learn(self, words: list[str]) -> None:
         """Encode new words together."""
-        spelled = ["".join(self.letters[b] for b in w.encode("utf-8")) for w in words]
-        tokens = [self.proposed(s) for s in spelled]
-        ids = [np.fromiter((self.vocab[t] for t in ts), np.int64, len(ts)) for ts in tokens]
+        spelled = [w.encode("utf-8").decode("latin-1").translate(self.spelling) for w in words]
+        ids = [self.proposed(s) for s in spelled]
         lengths = np.array([len(x) for x in ids])
-        flat = np.concatenate(ids)
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum()))
         last = np.zeros(len(flat), bool)
         last[np.cumsum(lengths) - 1] = True
         left = np.flatnonzero(~last)
@@ -123,16 +193,20 @@ class Words(dict):
         if len(new):
             merged = np.concatenate([known, new])
             order = np.argsort(merged)
-            self.table = known, good = merged[order], np.concatenate([good, np.fromiter((self.pair_stands(int(k)) for k in new), bool, len(new))])[order]
+            self.table = known, good = merged[order], np.concatenate([good, self.pairs_stand(new)])[order]
         owner = np.repeat(np.arange(len(words)), lengths)
         failed = np.zeros(len(words), bool)
         if len(keys):
             failed[owner[left[~good[np.searchsorted(known, keys)]]]] = True
         self.tried += len(words)
         self.failed += int(failed.sum())
-        for i, w in enumerate(words):
-            ts = self.merged(self.symbols(spelled[i], True)) if failed[i] else ids[i].tolist()
-            self[w] = (pack(f"<{len(ts)}I", *ts), " ".join([self.names[t] for t in ts]))
+        wrong = np.flatnonzero(failed).tolist()
+        for i, ts in zip(wrong, self.merged_all([self.symbols(spelled[i], True) for i in wrong]), strict=True):
+            ids[i] = ts
+        names, texts = self.names.__getitem__, self.texts
+        for w, ts in zip(words, ids, strict=True):
+            self[w] = pack(f"<{len(ts)}I", *ts)
+            texts[w] = " ".join(map(names, ts))
 
     def parts(self, text: str) -> list[str]:
         """The words that the tokenizer's normaliser and pattern make of a text without special tokens."""
@@ -142,25 +216,27 @@ class Words(dict):
             return [bytes(letters[c] for c in w).decode("utf-8") for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)] if SIMPLE.search(text) else SIMPLE_PARTS.findall(text)
         return SIMPLE_PARTS.findall(text.lower())
 
-    def encoded(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        """ids as little-endian unsigned 32-bit integers, and the decoded text, of each text."""
-        cut: list[list[str | int]] = []
-        for text in texts:
-            row: list[str | int] = []
-            for piece in self.special_parts.split(text) if text and self.special_parts and any(s in text for s in self.special) else [text]:
-                if piece in self.special:
-                    row.append(self.special[piece])
-                elif piece:
-                    row += self.parts(piece)
-            cut.append(row)
+    def know(self, words: set[str]) -> None:
+        """Have all these words in this generation."""
         if len(self) > WORD_MEMO:
+            self.old, self.texts = (dict(self), self.texts), {}
             self.clear()
-        if new := list({w for row in cut for w in row if w not in self and isinstance(w, str)}):
+        ids, texts = self.old
+        missing = list(filterfalse(self.__contains__, words))  # set operations with the dictionary's keys would visit all of them
+        for w in filter(ids.__contains__, missing):
+            self[w], self.texts[w] = ids[w], texts[w]
+        if new := list(filterfalse(ids.__contains__, missing)):
             self.learn(new)
+
+    def encoded(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """ids as little-endian unsigned 32-bit integers, and the decoded text, of each text."""
+        pieces = [self.special_parts.split(t) if t and self.special_parts and any(s in t for s in self.special) else [t or ""] for t in texts]
+        cut = [[p if p in self.special else self.parts(p) for p in row if p] for row in pieces]
+        self.know(set().union(*(p for row in cut for p in row if isinstance(p, list))))
         out = []
         for row in cut:
-            got = [self[w] if isinstance(w, str) else (w.to_bytes(4, "little"), next(s for s, i in self.special.items() if i == w)) for w in row]
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got])))
+            ids = [self.special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(map(self.__getitem__, p)) for p in row]
+            out.append((b"".join(ids), " ".join([p if isinstance(p, str) else " ".join(map(self.texts.__getitem__, p)) for p in row if p])))
         return out
 
 
@@ -172,18 +248,13 @@ def load(path: str) -> Words:
     return kept[path]
 
 
-def batched(texts: list[str | None], most: int = 64):
-    for i in range(0, len(texts), most):
-        yield texts[i : i + most]
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int), decoded of every row of docs (doc_id, text); null texts have no ids and decode to ''."""
 
     def run(batches):
         words = load(path)
-        for batch in batches:
-            got = [x for texts in batched(batch.column("text").to_pylist()) for x in words.encoded(texts)]
+        for batch in pieces(batches, 64):
+            got = words.encoded(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.frombuffer(b, "<u4").astype("int32") for b, _ in got], pa.list_(pa.int32())), pa.array([t for _, t in got], pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
@@ -199,8 +270,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         words = load(path)
-        for batch in batches:
-            got = [x for texts in batched(batch.column("text").to_pylist()) for x in words.encoded(texts)]
+        for batch in pieces(batches, 64):
+            got = words.encoded(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(b) // 4 for b, _ in got], pa.int64()), pa.array([hashlib.sha256(b).hexdigest() for b, _ in got], pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in got], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -135,6 +135,13 @@ def test_generations_keep_results(monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == words.library.encode(t, add_special_tokens=False).ids
 
 
+def test_merging_many_at_once_is_merging_each():
+    words = bpe.load(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(8)
+    many = [words.symbols("".join(rng.choice("aeinorstaaa") for _ in range(rng.randint(1, 60))), True) for _ in range(800)]
+    assert words.merged_all(many) == [words.merged(m) for m in many] and words.merged_all([]) == []
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_pairs_decide_whether_greedy_stands(seed):
     words = bpe.load(public_tokenizers.path("word_bpe_49k.json"))
@@ -142,5 +149,5 @@ def test_pairs_decide_whether_greedy_stands(seed):
     for _ in range(300):
         w = "".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 14)))
         greedy = words.proposed(w)
-        pairs = all(words.pair_stands(a * bpe.PAIR_BASE + b) for a, b in zip(greedy, greedy[1:], strict=False))
+        pairs = bool(words.pairs_stand(np.array([a * bpe.PAIR_BASE + b for a, b in zip(greedy, greedy[1:], strict=False)], np.int64)).all())
         assert pairs == (greedy == words.merged(words.symbols(w, True)))
