@@ -64,7 +64,8 @@ def pair_statistics(facts: DataFrame) -> DataFrame:
     """One row: pairs within and across documents, duplicate statements skipped, buckets that were capped, and what blocking saves."""
     found = pairs(facts).agg(F.count_if(F.col("a.doc_id") == F.col("b.doc_id")).alias("within_document"), F.count_if(F.col("a.doc_id") != F.col("b.doc_id")).alias("across_documents"))
     sizes = bucket_sizes(facts).agg(F.count_if(F.col("n_facts") > F.col("n_kept")).alias("capped_buckets"), F.sum("n_pairs").alias("all_pairs"), F.sum("n_facts").alias("facts"))
-    joined = found.join(F.broadcast(sizes))
+    sized = sizes.select(F.struct("capped_buckets", "all_pairs", "facts")).scalar()
+    joined = found.withColumn("_s", sized).select("within_document", "across_documents", "_s.*")
     made = F.col("within_document") + F.col("across_documents")
     exhaustive = (F.col("facts") * (F.col("facts") - 1) / 2).cast("long")
     return joined.select("within_document", "across_documents", (F.col("all_pairs") - made).alias("duplicates_skipped"), "capped_buckets", exhaustive.alias("exhaustive_pairs"), F.round(F.try_divide(exhaustive.cast("double"), made.cast("double")), 4).alias("reduction"))

@@ -80,14 +80,14 @@ def learn_year_end(facts: DataFrame) -> DataFrame:
 
 def normalised(facts: DataFrame) -> DataFrame:
     """facts with value_num, multiplier, currency, period_start, period_end, as_of_date from their raw columns."""
-    end = learn_year_end(facts).select(F.col("month").alias("fy_month"), F.col("day").alias("fy_day"))
+    end = learn_year_end(facts).select(F.struct("month", "day")).scalar()
     number = F.when(F.col("value_kind") == "number", parsing.parse_number(F.col("value_raw"), F.col("unit"), F.col("currency")))
-    period = F.when(F.coalesce("period_raw", F.lit("")) != "", parsing.parse_period(F.col("period_raw"), F.col("fy_month"), F.col("fy_day")))
+    period = F.when(F.coalesce("period_raw", F.lit("")) != "", parsing.parse_period(F.col("period_raw"), F.col("_fy.month"), F.col("_fy.day")))
     stated = F.when(F.coalesce("as_of_raw", F.lit("")) != "", parsing.parse_date(F.col("as_of_raw")))
     as_of = F.when(F.col("value_kind") == "date", F.coalesce(stated, parsing.parse_date(F.col("value_raw")))).otherwise(stated)
-    read = facts.join(F.broadcast(end)).withColumns({"number": number, "period": period, "as_of_date": as_of})
+    read = facts.withColumn("_fy", end).withColumns({"number": number, "period": period, "as_of_date": as_of})
     read = read.withColumns({"value_num": F.col("number.value"), "multiplier": F.col("number.multiplier"), "currency": F.coalesce("number.currency", "currency")})
-    return read.withColumns({"period_start": F.col("period.start"), "period_end": F.col("period.end")}).drop("number", "period", "fy_month", "fy_day")
+    return read.withColumns({"period_start": F.col("period.start"), "period_end": F.col("period.end")}).drop("number", "period", "_fy")
 
 
 def main_subjects(facts: DataFrame) -> DataFrame:

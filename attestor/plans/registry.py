@@ -13,6 +13,7 @@ from attestor.operators import pairing
 from attestor.operators import resolution as res
 from attestor.plans import oracle as o
 from attestor.sources import adapters
+from attestor.sources.scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +36,8 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adj.adjudicated(normalised(spark, sf_dir))
+    """Verdicts over facts that are parsed once and stored, as in a run of the pipeline."""
+    return adj.adjudicated(stored(normalised(spark, sf_dir), "facts"))
 
 
 @query(f"WITH {o.FACT_CTE} SELECT fact_id, CASE WHEN {o.trim('value_raw')} <> '' THEN {o.number('value_raw', 'unit')} END AS value, {o.multiplier('value_raw', 'unit')} AS multiplier, {o.percentage('value_raw', 'unit')} AS percentage, regexp_matches(lower(value_raw), '>|<|~|≈|\\+|approx|about|over|under') AS approximate, coalesce(currency, {o.currency('value_raw')}, {o.currency('coalesce(unit, $$$$)')}) AS currency FROM facts")
