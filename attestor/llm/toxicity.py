@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.work import pieces
+from attestor.llm.work import pieces, stored
 
 TRAIN_POSITIVE = 12_000
 TRAIN_NEGATIVE = 12_000
@@ -197,7 +197,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict | None:
     sums = {r.toxic: r["count"] for r in first.groupBy("toxic").count().collect()}
     if len(sums) < 2:
         return None
-    tokens, stems = lexicon(counts(first.select("text", "toxic")), sums[1], sums[0])
+    tokens, stems = lexicon(stored(counts(first.select("text", "toxic")), "toxicity-counts"), sums[1], sums[0])
 
     def raw(batches):
         scores = Scores(tokens, stems)
