@@ -41,6 +41,7 @@ def verified(rows: DataFrame, level: DataFrame) -> DataFrame:
     hits = passing(rows.withColumn("key", F.xxhash64("digest")), "key", large).drop("key")
     held = stored(hits.join(large.select("digest", "keep_id", "keep_size"), "digest"), "index-hits")
     kept = held.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("size") == F.col("keep_size"))).groupBy("digest").agg(F.min("normal").alias("kept_text"))
+    kept = stored(kept, "index-kept-texts")
     return held.join(kept, "digest").where("normal <> kept_text").select("doc_id", "h", "size", "digest", "normal")
 
 
