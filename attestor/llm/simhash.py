@@ -185,7 +185,7 @@ def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
     x, y = crowd.alias("a"), leaders.alias("b")
     stars = x.join(y, (F.col("a.block") == F.col("b.block")) & (F.col("a.node") != F.col("b.node")) & within(STAGE_RADIUS)).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
     found = stored(pairs.union(stars).distinct(), "simhash-pairs")
-    sketches = rows.select("node", "sketch").groupBy("node").agg(F.first("sketch").alias("sketch"))
+    sketches = stored(rows.select("node", "sketch").groupBy("node").agg(F.first("sketch").alias("sketch")), "simhash-nodes")
     both = found.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
 
     def run(batches):
