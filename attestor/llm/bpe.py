@@ -19,7 +19,6 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
@@ -31,7 +30,9 @@ PAIR_BASE = 1 << 20
 LONG = 40
 #: Below this character, lower case is all that normalisation changes, and classes of characters are certain.
 SIMPLE = re.compile("[^\x00-ɏ]")
-SIMPLE_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\x20\x09-\x0D\x85\xA0\p{L}\p{N}]+")
+#: Letters and numbers among the simple characters and their lower-case forms, some of which lie beyond.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ʯⱥⱦ", "0-9²³¹¼½¾"
+SIMPLE_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\x20\x09-\x0D\x85\xA0{LETTERS}{NUMBERS}]+")
 
 
 def byte_letters() -> list[str]:
