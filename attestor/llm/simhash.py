@@ -21,17 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.components import components
-from attestor.llm.work import pieces, stored
+from attestor.llm.work import passing, pieces, stored
 
 PIVOTS = 16
 RADIUS = 2
 BLOCK = 48
 SHINGLE = 3
 SEED = 42
-#: Of the stage: bits that pairs of the least similarity may differ in, keys of blocks, bins of a sketch.
+#: Of the stage: bits that pairs of the least similarity may differ in in a block, keys of blocks.
 STAGE_RADIUS = 20
 BANDS, ROWS = 8, 3
-BINS = 256
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"minimum %d" % i, SEED) | 1 for i in range(BANDS * ROWS)], np.uint64)
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
@@ -122,44 +121,54 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return fps.join(classes, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketch_of(hashes: np.ndarray) -> tuple[list[int], bytes]:
-    """Keys of BANDS bands of ROWS minima each, and a one-permutation sketch: a byte of the smallest hash in each of BINS bins, zero if empty."""
-    h = np.unique(hashes)
-    minima = [int((h * m ^ (h * m >> np.uint64(29))).min()) for m in MULTIPLIERS]
+def keys_of(shingles: np.ndarray) -> list[int]:
+    """Keys of BANDS bands of ROWS minima each."""
+    minima = [int((shingles * m ^ (shingles * m >> np.uint64(29))).min()) for m in MULTIPLIERS]
     keys = [xxhash.xxh64_intdigest(repr((b, minima[b * ROWS : b * ROWS + ROWS])).encode(), SEED) for b in range(BANDS)]
-    bins, first = np.unique((h >> np.uint64(56)).astype(np.int64), return_index=True)
-    sketch = np.zeros(BINS, np.uint8)
-    sketch[bins] = (h[first] >> np.uint64(8)).astype(np.uint8) % 255 + 1
-    return [int(k) for k in np.array(keys, np.uint64).view(np.int64)], sketch.tobytes()
+    return [int(k) for k in np.array(keys, np.uint64).view(np.int64)]
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of rows of sketches: equal bins among those that either has, less what a byte's chance agreement adds."""
-    used = ((a > 0) | (b > 0)).sum(1)
-    both = ((a > 0) & (b > 0)).sum(1)
-    equal = ((a == b) & (a > 0)).sum(1)
-    return np.maximum(equal - (both - equal) / 254, 0) / np.maximum(used, 1)
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets of shingles, each its distinct hashes in order."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
 
-def sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """node (hash of doc_id and text), doc_id, fp, keys, sketch of every row with words."""
+def shingled(docs: DataFrame, shingle: int) -> DataFrame:
+    """node (hash of doc_id and text), doc_id, fp, keys, shingles (distinct hashes in order, eight bytes each) of every row with words."""
 
     def run(batches):
         for batch in pieces(batches):
             rows = []
             for node, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("node", "doc_id", "text")), strict=True):
                 if len(h := hashes_of(text, shingle)):
-                    rows.append((node, doc_id, int(np.uint64(fingerprint_of(h)).view(np.int64)), *sketch_of(h)))
+                    rows.append((node, doc_id, int(np.uint64(fingerprint_of(h)).view(np.int64)), keys_of(u := np.unique(h)), u.tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["node", "doc_id", "fp", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["node", "doc_id", "fp", "keys", "shingles"])
 
-    return docs.select(node_of(docs).alias("node"), "doc_id", "text").mapInArrow(run, "node long, doc_id long, fp long, keys array<long>, sketch binary")
+    return docs.select(node_of(docs).alias("node"), "doc_id", "text").mapInArrow(run, "node long, doc_id long, fp long, keys array<long>, shingles binary")
 
 
 def node_of(docs: DataFrame):
     return F.xxhash64(docs.doc_id, docs.text)
 
 
+def verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least `least`. Only sets of nodes in pairs are moved."""
+    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash-paired")
+    sets = stored(passing(rows.select("node", "shingles"), "node", nodes).join(nodes, "node").groupBy("node").agg(F.first("shingles").alias("shingles")), "simhash-nodes")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces([batch]):
+                close = [similarity(x, y) >= least for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist(), strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between nodes that share a block, pass the pivot table and have a similarity of at least `least`.
 
@@ -185,16 +194,7 @@ def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
     x, y = crowd.alias("a"), leaders.alias("b")
     stars = x.join(y, (F.col("a.block") == F.col("b.block")) & (F.col("a.node") != F.col("b.node")) & within(STAGE_RADIUS)).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
     found = stored(pairs.union(stars).distinct(), "simhash-pairs")
-    sketches = stored(rows.select("node", "sketch").groupBy("node").agg(F.first("sketch").alias("sketch")), "simhash-nodes")
-    both = found.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array(similarity(sa, sb) >= least))
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return verified(found, rows, least)
 
 
 def kept_of_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -202,11 +202,11 @@ def kept_of_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.
 
     Near duplicates at a similarity of 0.8 are up to STAGE_RADIUS bits apart, too many for keys of exact
     bits. Blocks come from minima of the shingles' hashes instead; pivot table and fingerprints then discard
-    pairs as ever, and sketches verify that the sets of shingles have a Jaccard similarity of `least`. Groups are
+    pairs as ever, and the sets of shingles are compared: their Jaccard similarity, exact but for equal 64-bit hashes, is at least `least`. Groups are
     the components of such links. Texts without words are never near duplicates. Rows that repeat
     doc_id and text stay or go together; a null doc_id yields to any other.
     """
-    rows = stored(sketched(docs, shingle), "simhash-sketches")
+    rows = stored(shingled(docs, shingle), "simhash-shingles")
     roots = stored(components(similar_pairs(rows, least), "simhash-components"), "simhash-roots")
     named = rows.select("node", "doc_id").distinct().join(roots, "node")
     stay = stored(named.groupBy("root").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("stay")), "simhash-stay")
