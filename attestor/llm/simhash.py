@@ -14,6 +14,8 @@ within one bit of both, and no such meeting point has more than 65 members.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,6 +34,9 @@ SEED = 42
 STAGE_RADIUS = 20
 BANDS, ROWS = 8, 3
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"minimum %d" % i, SEED) | 1 for i in range(BANDS * ROWS)], np.uint64)
+#: Of the table that orders shingles.
+BUCKETS = 1 << 18
+BUCKET_MULTIPLIER = np.uint64(xxhash.xxh64_intdigest(b"bucket", SEED) | 1)
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 
@@ -135,29 +140,42 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def shingled(docs: DataFrame, shingle: int) -> DataFrame:
-    """node (hash of doc_id and text), doc_id, fp, keys, shingles (distinct hashes in order, eight bytes each) of every row with words."""
+def keyed(docs: DataFrame, shingle: int) -> DataFrame:
+    """node, doc_id, fp, keys, same (a hash of the set of shingles) of every row with words. docs: node, doc_id, text."""
 
     def run(batches):
         for batch in pieces(batches):
             rows = []
             for node, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("node", "doc_id", "text")), strict=True):
                 if len(h := hashes_of(text, shingle)):
-                    rows.append((node, doc_id, int(np.uint64(fingerprint_of(h)).view(np.int64)), keys_of(u := np.unique(h)), u.tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["node", "doc_id", "fp", "keys", "shingles"])
+                    same = xxhash.xxh64_intdigest((u := np.unique(h)).tobytes(), SEED)
+                    rows.append((node, doc_id, *np.array([fingerprint_of(h), same], np.uint64).view(np.int64).tolist(), keys_of(u)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["node", "doc_id", "fp", "same", "keys"])
+
+    return docs.select("node", "doc_id", "text").mapInArrow(run, "node long, doc_id long, fp long, same long, keys array<long>")
+
+
+def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles (distinct hashes in order, eight bytes each) of every row with words. Made anew where needed: stored, they would be larger than the texts."""
+
+    def run(batches):
+        for batch in pieces(batches):
+            sets = [np.unique(hashes_of(t, shingle)).tobytes() for t in batch.column("text").to_pylist()]
+            made = pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+            yield made.filter(pa.array([len(x) > 0 for x in sets], pa.bool_()))
 
-    return docs.select(node_of(docs).alias("node"), "doc_id", "text").mapInArrow(run, "node long, doc_id long, fp long, keys array<long>, shingles binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
 def node_of(docs: DataFrame):
     return F.xxhash64(docs.doc_id, docs.text)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least `least`. Only sets of nodes in pairs are moved."""
     nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash-paired")
-    sets = stored(passing(rows.select("node", "shingles"), "node", nodes).join(nodes, "node").groupBy("node").agg(F.first("shingles").alias("shingles")), "simhash-nodes")
+    sets = stored(sets_of(passing(texts.select("node", "text"), "node", nodes), shingle).join(nodes, "node").groupBy("node").agg(F.first("shingles").alias("shingles")), "simhash-nodes")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def run(batches):
@@ -169,12 +187,74 @@ def verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between nodes that share a block, pass the pivot table and have a similarity of at least `least`.
+def crowding(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles in each of BUCKETS buckets of hashes: a table of fixed size that puts shingles of many texts last."""
+
+    def run(batches):
+        n = np.zeros(BUCKETS, np.int64)
+        for batch in pieces(batches):
+            for text in batch.column("text").to_pylist():
+                np.add.at(n, bucketed(np.unique(hashes_of(text, shingle))), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["bucket", "n"])
+
+    found = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
+
 
-    In a block of up to BLOCK nodes all are compared with each other. In a larger one each is compared with
-    four leaders: the node nearest to the block's majority fingerprint, where copies have their origin, and
-    three that hashes pick; its other blocks hold it as well.
+def bucketed(hashes: np.ndarray) -> np.ndarray:
+    return (hashes * BUCKET_MULTIPLIER >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def prefix_of(shingles: np.ndarray, table: np.ndarray, least: Fraction) -> np.ndarray:
+    """The first shingles of a set, rare buckets first; sets of a similarity of at least `least` have their first common shingle there."""
+    n = len(shingles)
+    order = np.lexsort((shingles, table[bucketed(shingles)]))
+    return shingles[order[: n - -(-n * least.numerator // least.denominator) + 1]]
+
+
+def prefixes(texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """token, node, size (of the set), at (place in the order) of all shingles of the prefixes."""
+    shared = texts.sparkSession.sparkContext.broadcast(crowding(texts, shingle))
+
+    def run(batches):
+        for part in pieces(batches, 64):
+            members = [np.unique(hashes_of(t, shingle)) for t in part.column("text").to_pylist()]
+            firsts = [prefix_of(x, shared.value, least) if len(x) else x for x in members]
+            n = [len(x) for x in firsts]
+            columns = np.concatenate(firsts).view(np.int64), np.repeat(part.column("node").to_numpy(), n), np.repeat([len(x) for x in members], n), np.concatenate([np.arange(k) for k in n])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "node", "size", "at"])
+
+    return texts.select("node", "text").mapInArrow(run, "token long, node long, size long, at long")
+
+
+def pairs_apart(texts: DataFrame, shingle: int, roots: DataFrame, least: Fraction) -> DataFrame:
+    """All pairs (a, b) of nodes under different roots that can have a similarity of at least `least`, and some that don't.
+
+    Exact: two such sets have a first common shingle in both prefixes, and what follows it in either is enough
+    for the overlap. Shingles of one root only are left out before anything is paired.
+    """
+    first = stored(prefixes(texts, shingle, least), "simhash-prefixes")
+    ends = lambda c: (F.min(c).alias("lo"), F.max(c).alias("hi"))
+    shared = stored(first.groupBy("token").agg(*ends("node")).where("lo <> hi").select("token"), "simhash-tokens")
+    meeting = stored(passing(first, "token", shared).join(shared, "token"), "simhash-meeting")
+    rooted = stored(meeting.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-rooted")
+    between = stored(rooted.groupBy("token").agg(*ends("root")).where("lo <> hi").select("token"), "simhash-between")
+    apart = stored(rooted.join(between, "token").distinct(), "simhash-apart")
+    p, q = least.numerator, least.denominator
+    rest = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
+    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (rest * (p + q) >= (F.col("a.size") + F.col("b.size")) * p)
+    return stored(apart.alias("a").join(apart.alias("b"), on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "simhash-apart-pairs")
+
+
+def similar_pairs(rows: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links (a, b) that connect exactly the nodes with a similarity of at least `least`, directly or through others.
+
+    Most are found in blocks: equal sets are compared with the first of them; in a block of up to BLOCK nodes all that pass
+    the pivot table are compared with each other, in a larger one each with four leaders, the node nearest to the block's majority
+    fingerprint and three that hashes pick. Blocks only save work: whatever they leave apart is paired by pairs_apart.
     """
     thin = rows.select("node", "fp", *pivot_distances(), F.explode("keys").alias("block"))
     sizes = stored(thin.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "simhash-sizes")
@@ -193,21 +273,26 @@ def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
     leaders = stored(leaders, "simhash-leaders")
     x, y = crowd.alias("a"), leaders.alias("b")
     stars = x.join(y, (F.col("a.block") == F.col("b.block")) & (F.col("a.node") != F.col("b.node")) & within(STAGE_RADIUS)).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
-    found = stored(pairs.union(stars).distinct(), "simhash-pairs")
-    return verified(found, rows, least)
+    firsts = stored(rows.groupBy("same").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("same", "a"), "simhash-firsts")
+    equal = rows.select("node", "same").join(firsts, "same").where("node <> a").select("a", F.col("node").alias("b"))
+    found = stored(pairs.union(stars).union(equal).distinct(), "simhash-pairs")
+    links = stored(verified(found, texts, shingle, least), "simhash-links")
+    apart = pairs_apart(texts, shingle, stored(components(links, "simhash-components"), "simhash-linked"), Fraction(str(least)))
+    return links.union(verified(apart, texts, shingle, least))
 
 
 def kept_of_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest doc_id; all columns of docs.
 
     Near duplicates at a similarity of 0.8 are up to STAGE_RADIUS bits apart, too many for keys of exact
-    bits. Blocks come from minima of the shingles' hashes instead; pivot table and fingerprints then discard
-    pairs as ever, and the sets of shingles are compared: their Jaccard similarity, exact but for equal 64-bit hashes, is at least `least`. Groups are
+    bits. Blocks come from minima of the shingles' hashes instead, and a prefix filter on rare shingles finds every pair
+    that they miss; the sets of shingles are compared: their Jaccard similarity, exact but for equal 64-bit hashes, is at least `least`. Groups are
     the components of such links. Texts without words are never near duplicates. Rows that repeat
     doc_id and text stay or go together; a null doc_id yields to any other.
     """
-    rows = stored(shingled(docs, shingle), "simhash-shingles")
-    roots = stored(components(similar_pairs(rows, least), "simhash-components"), "simhash-roots")
+    texts = docs.select(node_of(docs).alias("node"), "doc_id", "text")
+    rows = stored(keyed(texts, shingle), "simhash-keys")
+    roots = stored(components(similar_pairs(rows, texts, shingle, least), "simhash-components"), "simhash-roots")
     named = rows.select("node", "doc_id").distinct().join(roots, "node")
     stay = stored(named.groupBy("root").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("stay")), "simhash-stay")
     gone = stored(roots.join(stay, "root").where("node <> stay").select("node").distinct(), "simhash-gone")
