@@ -50,7 +50,7 @@ SELECT concat('d', CAST(l_orderkey % 60 AS STRING)) AS doc_id, CAST(l_linenumber
   CAST((l_partkey * 37 + q) % 540 AS DOUBLE) AS "left", CAST((l_suppkey * 53 + l_orderkey * 7 + q * 11) % 780 AS DOUBLE) AS top,
   CAST((l_partkey * 37 + q) % 540 + 20 + (q * 7) % 150 AS DOUBLE) AS "right", CAST((l_suppkey * 53 + l_orderkey * 7 + q * 11) % 780 + CASE WHEN l_partkey % 9 = 3 THEN 24 WHEN l_partkey % 9 < 2 THEN 8 ELSE 10 END AS DOUBLE) AS bottom,
   CAST(CASE WHEN l_partkey % 9 = 3 THEN 24 WHEN l_partkey % 9 < 2 THEN 8 ELSE 10 + q % 3 END AS DOUBLE) AS font_size, CAST(612 AS DOUBLE) AS page_width, CAST(792 AS DOUBLE) AS page_height
-FROM (SELECT *, CAST(l_quantity AS INT) AS q, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM lineitem WHERE l_orderkey % 4 = 0) x
+FROM (SELECT *, CAST(l_quantity AS INT) AS q, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM lineitem) x
 """
 #: Raw table rows; {array} is the dialect's constructor.
 TABLES = """

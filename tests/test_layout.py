@@ -85,3 +85,13 @@ def test_packing_never_exceeds_the_limit_unless_alone(spark):
     df = spark.createDataFrame([([400, 700, 300, 1400, 10],)], "w array<int>")
     spans = F.transform("w", lambda w, i: F.struct(i.alias("start"), (i + 1).alias("end"), w.alias("words")))
     assert [(s.start, s.end, s.words) for s in df.select(P.packed(spans).alias("p")).first().p] == [(0, 1, 400), (1, 3, 1000), (3, 4, 1400), (4, 5, 10)]
+
+
+def test_every_order_line_becomes_a_line(spark):
+    from attestor.sources import adapters
+
+    data = "/root/testdata/sf0.001"
+    lineitem = adapters.table(spark, data, "lineitem")
+    got = adapters.lines(spark, data)
+    assert got.count() == lineitem.count()
+    assert {r.k for r in got.selectExpr("CAST(substr(line_id, 1, 10) AS INT) % 4 AS k").distinct().collect()} == {0, 1, 2, 3}
