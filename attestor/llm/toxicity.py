@@ -37,6 +37,7 @@ STEM_LETTERS = 4
 TOKEN_PRIOR = 2.0
 STEM_PRIOR = 4.0
 LEAST_Z = 1.5
+REPEAT = 20
 DRIFT = 0.75
 SIGNIFICANT = 0.01
 THRESHOLD = 0.7
@@ -72,13 +73,25 @@ class Scores(dict):
 
 
 def scored(words: list[str], scores: Scores) -> np.ndarray:
-    """Score of each token. A token's repeats say nothing new: after its first place in a text it only costs the drift."""
+    """Score of each token. Nearby repeats say nothing new: one within REPEAT tokens of the last, in the same segment, only costs the drift.
+
+    A segment ends where its running score has fallen to zero, so neither an earlier mention nor an earlier passage takes
+    anything from a passage that stands by itself.
+    """
     s = np.array([scores[w] for w in words], float)
-    seen = set()
+    total = np.concatenate([[0.0], np.cumsum(np.minimum(s, 0))])
+    last: dict[str, int] = {}
+    running, after = 0.0, 0
     for i in np.flatnonzero(s > 0).tolist():
-        if words[i] in seen:
+        running += float(total[i] - total[after])
+        if running <= 0:
+            running = 0.0
+            last.clear()
+        if i - last.get(words[i], -REPEAT - 1) <= REPEAT:
             s[i] = -DRIFT
-        seen.add(words[i])
+        last[words[i]] = i
+        running += float(s[i])
+        after = i + 1
     return s
 
 

@@ -40,6 +40,32 @@ def test_segments(s):
     assert all(abs(sum(s[a:b]) - v) < 1e-9 for a, b, v in got)
 
 
+TOXIC = ["vila", "vilb", "vilc", "vild", "vile", "vilf"]
+
+
+def test_every_passage_scores_by_itself():
+    scores = {"x": -0.75, **{w: 2.0 for w in TOXIC}}
+    best = lambda words: sorted(v for _, _, v in toxicity.segments_of(toxicity.scored(words, scores)))[::-1]
+    assert best([*TOXIC, *["x"] * 30, *TOXIC]) == [12.0, 12.0]
+    assert best([*(y for w in TOXIC for y in [w, *["x"] * 10]), *TOXIC])[0] == 12.0
+    assert best([*TOXIC, *["x"] * 5, *TOXIC])[0] == 12.0
+    assert best(["vila"] * 1000)[0] == 2.0
+
+
+def test_passages_after_mentions_and_twice(spark):
+    docs, labels, _ = toy(spark)
+    model = toxicity.fit(spark, docs, toxicity.learnable(labels))
+    toxic = [w + c for w in ("vileness", "vilely", "vileling", "scumbag") for c in "abc"]
+    plain = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    scattered = [y for w in toxic for y in [*plain, w]]
+    texts = [[*plain, *toxic, *plain], [*plain, *toxic, *plain * 3, *toxic, *plain], [*scattered, *plain, *toxic, *plain], scattered]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS), model).collect()}
+    assert len(got[0].passages) == 1 and len(got[1].passages) == 2 and len(got[2].passages) == len(got[3].passages) + 1
+    last = max(got[2].passages, key=lambda p: p.start)
+    assert " ".join(texts[2])[last.start : last.end] == " ".join(toxic)
+    assert got[0].predicted == got[1].predicted == got[2].predicted == 1
+
+
 def toy(spark, n=600, seed=1):
     rng = random.Random(seed)
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
