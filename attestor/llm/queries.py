@@ -19,7 +19,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(spark, docs, toxicity.learnable(labels))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,26 +1,30 @@
 """Toxic passages by maximum-scoring segment search.
 
-1. Tokens get log-odds of toxic against clean documents. Their counts are smoothed by a Dirichlet
-   prior that comes from the token's stem (its first letters), whose own prior is the base rate;
-   so an inflection never seen in training still gets its stem's log-odds.
+1. Tokens get log-odds of toxic against clean documents under a mixture of Dirichlet priors (Brown et al.,
+   1993) along the token's beginnings of LENGTHS letters: each beginning, and at last the token itself, either
+   behaves as the shorter one does (a tight prior about its rate) or differs (a diffuse prior), and its
+   log-odds are averaged over both. Noise of rare tokens so stays with their beginnings, and an inflection
+   never seen in training gets the log-odds of the longest beginning that was.
 2. A linear-time scan (Ruzzo and Tompa, 1999) over the scores of a text, log-odds less a drift,
    finds all maximal segments.
 3. Segments are calibrated by the extreme-value law of Karlin and Altschul (1990): lambda solves
    E[exp(lambda s)] = 1 under the clean tokens, K is fitted to the best segments of clean
-   documents, and a segment of raw score S in n tokens has the score lambda S - ln(K n), whose
-   exp(-) is the number of such segments expected by chance.
-4. A logistic curve over the calibrated scores of a document gives the probability.
+   documents, and a segment of raw score S among n distinct tokens has the score v = lambda S - ln(K n), where
+   E = exp(-v) such segments are expected by chance.
+4. Every segment adds the negative log of its p-value, 1 - exp(-E); a logistic curve over the sum gives
+   the probability.
 
 The model is fitted on at most TRAIN_POSITIVE + TRAIN_NEGATIVE labelled rows, chosen by the hash of
-their identifier: two in three give the token counts, the rest the calibration. It has at most
-MODEL_TOKENS + MODEL_STEMS entries, which bounds what is broadcast.
+their identifier: two in three give the token counts for the calibration on the rest, then all give the
+counts. Of the beginnings and tokens of that sample the model holds those whose log-odds differ by more
+than TOLERANCE from what it holds for a shorter beginning, so no log-odds are off by more.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -31,41 +35,84 @@ from attestor.llm.work import pieces, stored
 
 TRAIN_POSITIVE = 12_000
 TRAIN_NEGATIVE = 12_000
-MODEL_TOKENS = 50_000
-MODEL_STEMS = 20_000
-STEM_LETTERS = 4
-TOKEN_PRIOR = 2.0
-STEM_PRIOR = 4.0
-LEAST_Z = 1.5
-REPEAT = 20
-DRIFT = 0.75
+LENGTHS = (4, 5, 6, 7, 8)
+#: Pseudo-counts of the tight and the diffuse prior, and the diffuse one's share.
+TIGHT, DIFFUSE, DIFFERS = 500.0, 1.0, 1e-3
+TOLERANCE = 0.02
+DRIFT = 0.3
+#: Evidence beyond this says no more: rows with wrong labels would bend the curve.
+ENOUGH = 20.0
+#: Largest number of segments expected by chance of a passage that is reported.
 SIGNIFICANT = 0.01
 THRESHOLD = 0.7
 
 WORDS = re.compile(r"[^\W\d_]+")
+#: Ends the key of a whole token.
+END = " "
+
+
+def lowered(text: str) -> str:
+    """Lower case with every character in its place: the one character whose lower case is longer is replaced first."""
+    return text.replace("\u0130", "i").lower()
 
 
 def tokens_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    return WORDS.findall(lowered(text)) if text else []
+
+
+def beta_binomial(a: float, b: float, x: float, y: float) -> float:
+    """Log of the beta-binomial likelihood of counts a, b under pseudo-counts x, y, less the binomial coefficient."""
+    return math.lgamma(a + x) + math.lgamma(b + y) - math.lgamma(a + b + x + y) - math.lgamma(x) - math.lgamma(y) + math.lgamma(x + y)
+
 
+def posterior(toxic: int, clean: int, rate: float) -> float:
+    """Toxic share of what has these counts, given that of its shorter beginning: log-odds averaged over both priors."""
+    if toxic + clean == 0:
+        return rate
+    apart = math.log(DIFFERS / (1 - DIFFERS))
+    if toxic + clean > 1:  # a single count is as likely under either prior, as both have the same mean
+        apart += beta_binomial(toxic, clean, DIFFUSE * rate, DIFFUSE * (1 - rate)) - beta_binomial(toxic, clean, TIGHT * rate, TIGHT * (1 - rate))
+    share = 1 / (1 + math.exp(-min(max(apart, -700), 700)))
+    odds = [math.log((toxic + m * rate) / (clean + m * (1 - rate))) for m in (TIGHT, DIFFUSE)]
+    return 1 / (1 + math.exp(-((1 - share) * odds[0] + share * odds[1])))
 
-def log_odds(toxic, clean, prior_toxic, prior_mass, base):
-    """Posterior log-odds of the toxic class for counts under a Dirichlet prior, less those of the base rate."""
-    return math.log((toxic + prior_mass * prior_toxic) / (clean + prior_mass * (1 - prior_toxic))) - math.log(base / (1 - base))
+
+def contexts(token: str) -> list[str]:
+    """Keys of a token's beginnings, short to long, and of the token itself."""
+    return [token[:n] for n in LENGTHS if n <= len(token)] + [token + END]
+
+
+def entries(counts: dict[str, tuple[int, int]], base: float) -> dict[str, float]:
+    """Log-odds, less the base rate's, of the beginnings and tokens that differ from their shorter beginnings. counts: token to (toxic, clean)."""
+    sums: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    for token, (toxic, clean) in counts.items():
+        for key in contexts(token):
+            sums[key][0] += toxic
+            sums[key][1] += clean
+    shift = math.log(base / (1 - base))
+    rates: dict[str, float] = {}
+    held: dict[str, float] = {}
+    for token in counts:
+        rate, above, last = base, 0.0, None
+        for key in contexts(token):
+            if key not in rates:  # the same rows again are no further evidence
+                rates[key] = rate if sums[key] == last else posterior(*sums[key], rate)
+                odds = math.log(rates[key] / (1 - rates[key])) - shift
+                if abs(odds - above) > TOLERANCE:
+                    held[key] = odds
+            rate, above, last = rates[key], held.get(key, above), sums[key]
+    return held
 
 
 class Scores(dict):
-    """Token to score; a token without an entry falls back to its stem, then to the drift alone."""
+    """Token to score: the log-odds of the longest beginning that is held, less the drift."""
 
-    def __init__(self, tokens: dict[str, float], stems: dict[str, float]):
+    def __init__(self, held: dict[str, float]):
         super().__init__()
-        self.tokens, self.stems = tokens, stems
+        self.held = held
 
     def __missing__(self, token: str) -> float:
-        s = self.tokens.get(token)
-        if s is None:
-            s = self.stems.get(token[:STEM_LETTERS], 0.0) if len(token) > STEM_LETTERS else 0.0
-        s = max(s, -1.0) - DRIFT
+        s = next((self.held[key] for key in reversed(contexts(token)) if key in self.held), 0.0) - DRIFT
         if len(self) > 150_000:
             self.clear()
         self[token] = s
@@ -73,23 +120,22 @@ class Scores(dict):
 
 
 def scored(words: list[str], scores: Scores) -> np.ndarray:
-    """Score of each token. Nearby repeats say nothing new: one within REPEAT tokens of the last, in the same segment, only costs the drift.
+    """Score of each token. Repeats say ever less: the nth mention of a token in a segment has an nth of its log-odds.
 
     A segment ends where its running score has fallen to zero, so neither an earlier mention nor an earlier passage takes
     anything from a passage that stands by itself.
     """
     s = np.array([scores[w] for w in words], float)
     total = np.concatenate([[0.0], np.cumsum(np.minimum(s, 0))])
-    last: dict[str, int] = {}
+    seen: dict[str, int] = {}
     running, after = 0.0, 0
     for i in np.flatnonzero(s > 0).tolist():
         running += float(total[i] - total[after])
         if running <= 0:
             running = 0.0
-            last.clear()
-        if i - last.get(words[i], -REPEAT - 1) <= REPEAT:
-            s[i] = -DRIFT
-        last[words[i]] = i
+            seen.clear()
+        n = seen[words[i]] = seen.get(words[i], 0) + 1
+        s[i] = (s[i] + DRIFT) / n - DRIFT
         running += float(s[i])
         after = i + 1
     return s
@@ -123,36 +169,34 @@ def segments_of(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def counts(sample: DataFrame) -> DataFrame:
-    """Documents of either class that hold a token: token, toxic, clean. sample: text, toxic."""
+    """Documents of either class that hold a token, of those for the calibration's counts and of all: token, t, c, toxic, clean. sample: text, toxic, part."""
 
     def per_batch(batches):
         for batch in pieces(batches, 1024):
-            by: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = set(tokens_of(text))
-                by[y].update(words)
-                by[y].update({w[:STEM_LETTERS] + "*" for w in words if len(w) > STEM_LETTERS})
-            keys = list(by[0].keys() | by[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([by[1][k] for k in keys], pa.int64()), pa.array([by[0][k] for k in keys], pa.int64())], ["token", "toxic", "clean"])
+            by: dict[tuple[int, bool], Counter] = defaultdict(Counter)
+            for text, y, part in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "part")), strict=True):
+                by[y, part < 2].update(set(tokens_of(text)))
+            keys = list(set().union(*by.values()))
+            first = [[by[y, True][k] for k in keys] for y in (1, 0)]
+            whole = [[by[y, True][k] + by[y, False][k] for k in keys] for y in (1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(x, pa.int64()) for x in (*first, *whole))], ["token", "t", "c", "toxic", "clean"])
 
-    return sample.mapInArrow(per_batch, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return sample.mapInArrow(per_batch, "token string, t long, c long, toxic long, clean long").groupBy("token").agg(*(F.sum(c).alias(c) for c in ("t", "c", "toxic", "clean")))
 
 
-def lexicon(counted: DataFrame, n_toxic: int, n_clean: int) -> tuple[dict[str, float], dict[str, float]]:
-    """Log-odds of the tokens and stems that tell the classes apart most surely, at most MODEL_TOKENS and MODEL_STEMS."""
-    base = n_toxic / (n_toxic + n_clean)
-    shift = math.log(base / (1 - base))
-    stems = counted.where("token LIKE '%*'").withColumn("q", (F.col("toxic") + STEM_PRIOR * base) / (F.col("toxic") + F.col("clean") + STEM_PRIOR))
-    tokens = counted.where("token NOT LIKE '%*'").withColumn("stem", F.when(F.length("token") > STEM_LETTERS, F.concat(F.substring("token", 1, STEM_LETTERS), F.lit("*"))))
-    tokens = tokens.join(stems.select(F.col("token").alias("stem"), "q"), "stem", "left").withColumn("q", F.coalesce("q", F.lit(base)))
+def lexicon(counted: DataFrame, toxic: str, clean: str) -> dict[str, float]:
+    """Entries of all tokens of the counts in two columns; tokens of one beginning are worked on together."""
+    sums = counted.agg(F.sum(toxic).alias("t"), F.sum(clean).alias("c")).first()
+    if not sums.t or not sums.c:
+        return {}
+    base = sums.t / (sums.t + sums.c)
 
-    def best(df, mass, limit):
-        t, c = F.col("toxic") + mass * F.col("q"), F.col("clean") + mass * (1 - F.col("q"))
-        df = df.withColumn("d", F.log(t / c) - shift).withColumn("z", F.abs("d") / F.sqrt(1 / t + 1 / c))
-        rows = df.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "token").limit(limit).select("token", "d").collect()
-        return {r.token.rstrip("*"): r.d for r in rows}
+    def run(batches):
+        held = entries({w: (t, c) for batch in batches for w, t, c in zip(*(x.to_pylist() for x in batch.columns), strict=True)}, base)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.float64())], ["key", "odds"])
 
-    return best(tokens, TOKEN_PRIOR, MODEL_TOKENS), best(stems, STEM_PRIOR, MODEL_STEMS)
+    together = counted.where(F.col(toxic) + F.col(clean) > 0).select("token", toxic, clean).repartition(F.substring("token", 1, LENGTHS[0]))
+    return {r.key: r.odds for r in together.mapInArrow(run, "key string, odds double").collect()}
 
 
 def karlin_lambda(histogram: Counter) -> float:
@@ -167,9 +211,20 @@ def karlin_lambda(histogram: Counter) -> float:
     return (lo + hi) / 2
 
 
+def total_of(values: list[float]) -> float:
+    """Evidence of calibrated segment scores: the negative logs of their p-values added up, at most ENOUGH."""
+    return min(sum(v if v > 30 else -math.log(-math.expm1(-math.exp(-v))) if v > -6 else 0.0 for v in values), ENOUGH)
+
+
+def evidence(words: list[str], scores: Scores, lam: float, k: float) -> tuple[float, list[tuple[int, int, float]]]:
+    """The evidence of a text, and its segments: start, end, calibrated score."""
+    less = math.log(max(k * len(set(words)), 1e-9)) if words else 0.0
+    found = [(start, end, lam * s - less) for start, end, s in segments_of(scored(words, scores))]
+    return total_of([v for _, _, v in found]), found
+
+
 def features(total: np.ndarray) -> np.ndarray:
-    """The constant, and the log of the sum of a document's significant calibrated scores: higher is always more toxic."""
-    return np.stack([np.ones(len(total)), np.log1p(np.maximum(total, 0))], 1)
+    return np.stack([np.ones(len(total)), total], 1)
 
 
 def probability(total, curve: np.ndarray) -> np.ndarray:
@@ -188,38 +243,37 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
-def calibrated(found: list[tuple[int, int, float]], n: int, lam: float, k: float) -> list[float]:
-    return [lam * s - math.log(max(k * n, 1e-9)) for _, _, s in found]
-
-
-def significant(values: list[float]) -> float:
-    limit = -math.log(SIGNIFICANT)
-    return sum(v for v in values if v >= limit)
+def sampled(spark: SparkSession, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """text, toxic, part (0 to 2) of the rows to learn from: each text once, toxic if any of its rows is."""
+    chosen = [r for y, most in ((1, TRAIN_POSITIVE), (0, TRAIN_NEGATIVE)) for r in known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    picked = spark.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int")
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text IS NOT NULL").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    return texts.withColumn("part", F.pmod(F.xxhash64("text", F.lit("part")), F.lit(3)))
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict | None:
-    """The model, or None where labels lack one of the classes. docs: doc_id, text; labels: doc_id, toxic (0 or 1)."""
+    """The model, or None where labels lack one of the classes. docs: doc_id, text; labels: doc_id, toxic (0 or 1).
+
+    Labels with a null or another value are left out; repeated labels of a doc_id count as toxic if any is. Rows with equal
+    texts are learnt from once, null texts not at all. Ties of the hash that chooses rows go to the smaller doc_id.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
-    chosen = [r for y, most in ((1, TRAIN_POSITIVE), (0, TRAIN_NEGATIVE)) for r in known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-    picked = spark.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)))
-    first = rows.where("part < 2")
-    sums = {r.toxic: r["count"] for r in first.groupBy("toxic").count().collect()}
-    if len(sums) < 2:
-        return None
-    tokens, stems = lexicon(stored(counts(first.select("text", "toxic")), "toxicity-counts"), sums[1], sums[0])
+    rows = stored(sampled(spark, docs, known), "toxicity-sample")
+    counted = stored(counts(rows), "toxicity-counts")
+    held = lexicon(counted, "t", "c")
 
     def raw(batches):
-        scores = Scores(tokens, stems)
+        scores = Scores(held)
         for batch in pieces(batches):
             out = []
             for text in batch.column("text").to_pylist():
-                s = scored(tokens_of(text), scores)
-                bins = Counter(np.round(s * 4).astype(int).tolist())
-                out.append((len(s), sorted((x[2] for x in segments_of(s)), reverse=True)[:200], list(bins), list(bins.values())))
+                words = tokens_of(text)
+                s = scored(words, scores)
+                bins = Counter(np.round(s * 20).astype(int).tolist())
+                out.append((len(set(words)), [x[2] for x in segments_of(s)], list(bins), list(bins.values())))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()))))], ["toxic", "n", "segments", "bins", "sizes"])
 
     got = rows.where("part = 2").select("text", "toxic").mapInArrow(raw, "toxic int, n long, segments array<double>, bins array<long>, sizes array<long>").collect()
@@ -228,23 +282,30 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict | None:
     histogram: Counter = Counter()
     for r in got:
         if not r.toxic:
-            histogram.update({b / 4: n for b, n in zip(r.bins, r.sizes, strict=True)})
+            histogram.update({b / 20: n for b, n in zip(r.bins, r.sizes, strict=True)})
     lam = karlin_lambda(histogram)
     null = [(r.n, max(r.segments, default=0.0)) for r in got if not r.toxic and r.n]
     k = len(null) / max(sum(n * math.exp(-lam * s) for n, s in null), 1e-9) if null else 1.0
     k = min(max(k, 1e-6), 1e3)
-    x = features(np.array([significant(calibrated([(0, 0, s) for s in r.segments], r.n, lam, k)) for r in got]))
+    x = features(np.array([total_of([lam * s - math.log(max(k * r.n, 1e-9)) for s in r.segments]) for r in got]))
     y = np.array([r.toxic for r in got], float)
     share = sizes[1] / (sizes[0] + sizes[1])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return {"tokens": tokens, "stems": stems, "lambda": lam, "k": k, "curve": fit_logistic(x, y, weight), "base": share}
+    return {"held": lexicon(counted, "toxic", "clean"), "lambda": lam, "k": k, "curve": fit_logistic(x, y, weight), "base": share}
+
+
+def judged(batch: pa.RecordBatch, scores: Scores, model: dict) -> tuple[np.ndarray, list[int], list[list[tuple[int, int, float]]]]:
+    """Probability, number of tokens and segments of each text of a batch: what both the query and the filter go by."""
+    words = [tokens_of(text) for text in batch.column("text").to_pylist()]
+    found = [evidence(w, scores, model["lambda"], model["k"]) for w in words]
+    return probability([total for total, _ in found], model["curve"]), [len(w) for w in words], [segments for _, segments in found]
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs (doc_id, text) with score, predicted, n_tokens and passages: first and last token, characters and E-value.
+    """docs (doc_id, text) with score, predicted, n_tokens and passages: first and last character, calibrated score and E-value.
 
     Null and empty texts have no tokens and get the score of a text without segments. Repeated rows are
-    scored alike. Without a model every row gets 0.5 and is not predicted. Other columns are left out.
+    scored alike. Without a model every row gets 0.5 and is not predicted. An empty table gives an empty result. Other columns are left out.
     """
     schema = "doc_id long, score double, predicted int, n_tokens long, passages array<struct<start:long,end:long,score:double,expected:double>>"
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
@@ -254,22 +315,15 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        scores = Scores(m["tokens"], m["stems"])
-        limit = -math.log(SIGNIFICANT)
+        scores = Scores(m["held"])
+        least = -math.log(SIGNIFICANT)
         for batch in pieces(batches):
-            lengths, totals, passages = [], [], []
-            for text in batch.column("text").to_pylist():
-                words = tokens_of(text)
-                found = segments_of(scored(words, scores))
-                values = calibrated(found, len(words), m["lambda"], m["k"])
-                lengths.append(len(words))
-                totals.append(significant(values))
-                if totals[-1]:
-                    spans = [x.span() for x in WORDS.finditer(text.lower())]
-                    passages.append([{"start": spans[s][0], "end": spans[e - 1][1], "score": v, "expected": math.exp(-v)} for (s, e, _), v in zip(found, values, strict=True) if v >= limit])
-                else:
-                    passages.append([])
-            p = probability(totals, m["curve"])
+            p, lengths, found = judged(batch, scores, m)
+            passages = []
+            for i, segments in enumerate(found):
+                sure = [x for x in segments if x[2] >= least]
+                spans = [x.span() for x in WORDS.finditer(lowered(batch.column("text")[i].as_py()))] if sure else []
+                passages.append([{"start": spans[s][0], "end": spans[e - 1][1], "score": v, "expected": math.exp(-v)} for s, e, v in sure])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype("int32")), pa.array(lengths, pa.int64()), pa.array(passages, kind)],
                 ["doc_id", "score", "predicted", "n_tokens", "passages"],
@@ -284,21 +338,19 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs without those predicted toxic: all columns, all other rows. Texts are scored where they lie, without a shuffle."""
+    """docs without those predicted toxic: all columns, all other rows. Texts are scored where they lie, without a shuffle.
+
+    Null and empty texts stay unless a text without segments is toxic by itself; repeated rows stay or go alike; without a
+    model, as with labels of one class only, all rows stay. An empty table gives an empty result.
+    """
     if model is None:
         return docs
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
-        scores = Scores(m["tokens"], m["stems"])
+        scores = Scores(m["held"])
         for batch in pieces(batches):
-            keep = []
-            for text in batch.column(names.index("text")).to_pylist():
-                words = tokens_of(text)
-                found = segments_of(scored(words, scores))
-                total = significant(calibrated(found, len(words), m["lambda"], m["k"]))
-                keep.append(bool(probability(total, m["curve"])[0] < THRESHOLD))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(judged(batch, scores, m)[0] < THRESHOLD, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from attestor.llm import bpe, token_counts, toxicity
+from attestor.llm import bpe, queries, token_counts, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -46,10 +46,11 @@ TOXIC = ["vila", "vilb", "vilc", "vild", "vile", "vilf"]
 def test_every_passage_scores_by_itself():
     scores = {"x": -0.75, **{w: 2.0 for w in TOXIC}}
     best = lambda words: sorted(v for _, _, v in toxicity.segments_of(toxicity.scored(words, scores)))[::-1]
-    assert best([*TOXIC, *["x"] * 30, *TOXIC]) == [12.0, 12.0]
-    assert best([*(y for w in TOXIC for y in [w, *["x"] * 10]), *TOXIC])[0] == 12.0
-    assert best([*TOXIC, *["x"] * 5, *TOXIC])[0] == 12.0
-    assert best(["vila"] * 1000)[0] == 2.0
+    assert best([*TOXIC, *["x"] * 30, *TOXIC]) == pytest.approx([12.0, 12.0])
+    assert best([*(y for w in TOXIC for y in [w, *["x"] * 10]), *TOXIC])[0] == pytest.approx(12.0)
+    again = 6 * ((2 + toxicity.DRIFT) / 2 - toxicity.DRIFT)
+    assert best([*TOXIC, *["x"] * 5, *TOXIC])[0] == pytest.approx(12 - 5 * 0.75 + again)
+    assert best(["vila"] * 1000)[0] == pytest.approx(sum(max((2 + toxicity.DRIFT) / n - toxicity.DRIFT, 0) for n in range(1, 1001)))
 
 
 def test_passages_after_mentions_and_twice(spark):
@@ -99,12 +100,47 @@ def test_toxicity_edges(spark):
     odd = spark.createDataFrame([(1, None, 5.0), (2, "", 1.0), (None, "vilenessa " * 3, 2.0), (4, "wa " * 30000, 0.0), (4, "wa " * 30000, 0.0)], "doc_id long, text string, score double")
     got = toxicity.score(odd, model).collect()
     assert [r.n_tokens for r in got] == [0, 0, 3, 30000, 30000] and got[0].score == got[1].score
-    assert toxicity.filtered(odd, model).columns == odd.columns and toxicity.filtered(odd, model).count() >= 4
+    stay = toxicity.filtered(odd.drop("score"), model).collect()
+    assert sorted(str(r.doc_id) for r in stay) == sorted(str(r.doc_id) for r in got if not r.predicted) and [r.predicted for r in got[:2]] == [0, 0]
+    assert toxicity.filtered(odd, model).columns == odd.columns
     assert toxicity.score(odd.limit(0), model).count() == 0
     assert toxicity.fit(spark, docs, labels.where("toxic = 0")) is None and toxicity.fit(spark, docs.limit(0), labels) is None
     assert [r.predicted for r in toxicity.score(odd, None).collect()] == [0] * 5 and toxicity.filtered(odd, None).count() == 5
 
 
+def test_offsets_where_lower_case_is_longer(spark):
+    docs, labels, _ = toy(spark)
+    text = "\u0130\u0130 \u0130stanbul " * 5 + "Vilenessa vilelyb vilelinga scumbagb vilenessc"
+    row = toxicity.score(spark.createDataFrame([(1, text)], DOCS), toxicity.fit(spark, docs, labels)).first()
+    assert text[row.passages[0].start : row.passages[0].end] == "Vilenessa vilelyb vilelinga scumbagb vilenessc"
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.dictionaries(st.text("abc", min_size=1, max_size=10), st.tuples(st.integers(0, 40), st.integers(0, 40)).filter(any), min_size=1, max_size=30))
+def test_entries_are_within_the_tolerance(counts):
+    """Log-odds by a plain walk down all beginnings, without leaving any out."""
+    base, held = 0.2, toxicity.entries(counts, 0.2)
+    scores = toxicity.Scores(held)
+    for token in counts:
+        rate, last = base, None
+        for key in toxicity.contexts(token):
+            own = [sum(c[i] for w, c in counts.items() if key in toxicity.contexts(w)) for i in (0, 1)]
+            if own != last:
+                rate = toxicity.posterior(*own, rate)
+            last = own
+        want = np.log(rate / (1 - rate)) - np.log(base / (1 - base))
+        assert abs(scores[token] + toxicity.DRIFT - want) <= toxicity.TOLERANCE + 1e-9
+
+
+def test_held_out_labels(spark):
+    """Labels that the model never sees: documents of the test tables whose label is held out."""
+    tables = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{tables}/labels.parquet").where("toxic IN (0, 1)")
+    rows = queries.op1_toxicity(spark, tables).join(labels, "doc_id").where("held_out").groupBy("toxic").avg("predicted").collect()
+    rate = {r.toxic: r[1] for r in rows}
+    assert rate[1] >= 0.9 and rate[0] <= 0.01
+
+
 ALPHABET = list("  ▁\n\taéß<s>|endoft　字😀Σ'sİ\x1c\x85\xa0 ñ1²½Ⅷ́LL#@!\x00")
 SPECIAL = ["", " ", "  a", "a ", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|>", "it's 123", "é’s", "x" * 3000, "▁", "▁▁ a"]
 
