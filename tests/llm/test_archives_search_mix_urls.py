@@ -5,6 +5,7 @@ import hashlib
 import io
 import math
 import random
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -65,22 +66,42 @@ def vectors(n, dims, seed=0):
     return rows + [(n, None), (n + 50, [float("nan")] * dims), (n + 51, [None] * dims), (n + 52, [float("inf")] * dims), (None, rows[0][1]), (7, rows[7][1]), (100000, [0.5]), (100050, [0.25]), (100051, [])]
 
 
+def top_by_hand(rows):
+    sound = [(i, [math.floor(Fraction(float(np.float32(x))) * 256) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want, queries = {}, {}
+    for i, v in sound:
+        if i % 50 == 0:
+            queries[i] = min(queries.get(i, v), v)
+    for q, v in queries.items():
+        scores = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=True)), -(2**63)), 2**63 - 1), i) for i, w in sound if i != q and len(w) == len(v))
+        if scores:
+            want[q] = [(i, -s) for s, i in scores[:5]]
+    return want
+
+
+def check_top(spark, rows, block=4096):
+    got: dict = {}
+    for r in kdtree.top_k(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int"), block=block).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == top_by_hand(rows)
+
+
 def test_top_k(spark, monkeypatch):
-    rows = vectors(1000, 6)
-    sound = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    want = {}
-    for q, v in {i: v for i, v in sound if i % 50 == 0}.items():
-        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in sound if i != q and len(w) == len(v))
-        want[q] = [(i, -s) for s, i in scores[:5]]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, rank int")
     monkeypatch.setattr(kdtree, "SHARD_ROWS", 300)
     monkeypatch.setattr(kdtree, "LEAF_ROWS", 8)
-    for block in (4096, 7):
-        got: dict = {}
-        for r in kdtree.top_k(df, block=block).orderBy("query_id", "rank").collect():
-            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-        assert got == {q: w for q, w in want.items() if w}
-    assert kdtree.top_k(df.limit(0)).count() == 0
+    for block, size in ((4096, kdtree.BROADCAST_BYTES), (7, 0)):
+        monkeypatch.setattr(kdtree, "BROADCAST_BYTES", size)
+        check_top(spark, vectors(1000, 6), block)
+    assert kdtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_top_k_of_huge_components_and_repeated_ids(spark, monkeypatch):
+    """Scores over 2^53 that differ by one, scores beyond a long, a vec_id that a third of all rows have, queries that repeat."""
+    monkeypatch.setattr(kdtree, "SHARD_ROWS", 100)
+    rows = [r for r in vectors(400, 4, 1) if r[0] is not None and r[0] < 400]
+    rows += [(500, [1e20, 0.0, 0.0, 0.0]), (501, [-1e20, 1.0, 0.0, 0.0]), (550, [2.0**24, 2.0**24, 1.0, 0.0]), (551, [2.0**24, 2.0**24, 2.0, 0.0]), (600, [3e38, 3e38, 3e38, 3e38]), (350, [0.5, 0.5, 0.5, 0.5]), (350, [0.25, 0.5, 0.5, 0.5])]
+    rows += [(33, [0.01 * (i % 9), 0.2, -0.1, 0.3]) for i in range(200)]
+    check_top(spark, rows)
 
 
 def test_bounds_hold():
@@ -88,7 +109,7 @@ def test_bounds_hold():
     rows, q = rng.integers(-50, 50, (500, 5)).astype(float), rng.integers(-50, 50, (20, 5)).astype(float)
     tree = kdtree.Tree(rows, 16)
     bounds = tree.bounds(q)
-    for node, (a, b) in enumerate(tree.range):
+    for node, (a, b) in enumerate(tree.range.tolist()):
         assert (tree.rows[a:b] @ q.T).max(0) == pytest.approx(np.minimum((tree.rows[a:b] @ q.T).max(0), bounds[:, node]))
 
 
