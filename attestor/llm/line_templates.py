@@ -1,10 +1,13 @@
 """Lines that recur across documents, by a log-template tree of fixed depth.
 
-A line goes down the tree by its number of tokens and then by its first DEPTH tokens; tokens with a
-digit are variable fields. In a leaf, positions at which all lines agree are constants, all
-others become variable: that is the leaf's template. If a template's share of constants is at least
-SIMILARITY and lines of at least LEAST_DOCUMENTS documents have it, all its lines are dropped.
-Only built-in expressions run; leaves are summed up before anything is shuffled, and no line list of a
+A line, whose tokens with a digit are variable fields, goes down the tree by its number of tokens and its first DEPTH
+tokens. A leaf holds a template for each whole line, and, where at least LEAST_REST tokens follow the leading
+ones, one for each first and each second half of the rest: there the other half is variable. So more than half of a
+template's tokens are constant, a line belongs to three templates at most, and lines that merely share a leaf
+say nothing about each other. A template that lines of at least LEAST_DOCUMENTS different texts have is
+dropped everywhere; a whole line of more than LONG tokens already from two texts on. Copies of a text are one
+text: they are the business of deduplication of documents.
+Only built-in expressions run; counts are summed up before anything is shuffled, and no line list of a
 leaf is ever gathered.
 """
 
@@ -13,11 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.work import passing, stored
+from attestor.llm.work import passing, probed, stored
 
 DEPTH = 4
-SIMILARITY = 0.5
+LEAST_REST = 4
 LEAST_DOCUMENTS = 10
+LONG = 50
 FIELD = "<*>"
 #: White space of a line other than single spaces; where none occurs, lines are cut without a regular expression.
 ODD_SPACE = ("  ", "\t", "\x0b", "\x0c", "\r")
@@ -26,51 +30,74 @@ VARIABLE = "[^ ]*[0-9][^ ]*"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """key (hash of doc_id and text), doc_id, at, line (tokens with single spaces between them) of every line that isn't blank."""
+    """key (hash of doc_id and text), same (hash of the text), at, line (tokens with single spaces between them) of every line that isn't blank."""
     odd = F.contains("text", F.lit(ODD_SPACE[0]))
     for space in ODD_SPACE[1:]:
         odd = odd | F.contains("text", F.lit(space))
     spaced = F.when(odd, F.regexp_replace("text", SPACES, " ")).otherwise(F.col("text"))
-    lines = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", F.posexplode(F.split(spaced, "\n")).alias("at", "line"))
+    lines = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("same"), F.posexplode(F.split(spaced, "\n")).alias("at", "line"))
     return lines.withColumn("line", F.trim("line")).where("line <> ''")
 
 
-def leaves(docs: DataFrame, depth: int) -> DataFrame:
-    """lines_of with length and leaf: the path by number of tokens and leading tokens, those with a digit as the variable field."""
-    lines = lines_of(docs).withColumn("length", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    lead = lines.withColumn("lead", F.substring_index("line", " ", depth))
-    masked = F.when(F.col("lead").rlike("[0-9]"), F.regexp_replace("lead", VARIABLE, FIELD)).otherwise(F.col("lead"))
-    return lead.withColumn("leaf", F.xxhash64("length", masked)).drop("lead")
+def templates_of(lines: DataFrame) -> DataFrame:
+    """lines with templates: an array of up to three texts, <*> for variable fields and .. for a variable half, and length, masked."""
+    length = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", VARIABLE, FIELD)).otherwise(F.col("line"))
+    shaped = lines.select("*", length.alias("length"), masked.alias("masked"))
+    half = f"CAST((length - {DEPTH}) DIV 2 AS INT)"
+    first = F.expr(f"concat_ws(' ', length, substring_index(masked, ' ', {DEPTH} + {half}), '..')")
+    second = F.expr(f"concat_ws(' ', length, substring_index(masked, ' ', {DEPTH}), '..', substring_index(masked, ' ', CAST({DEPTH} + {half} - length AS INT)))")
+    halves = F.when(F.col("length") >= DEPTH + LEAST_REST, F.array("masked", first, second)).otherwise(F.array("masked"))
+    return shaped.withColumn("templates", halves)
 
 
-def recurring(docs: DataFrame, placed: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """leaf, documents, length, template of every template that recurs. placed: doc_id and leaf of all lines."""
-    common = stored(placed.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= least), "lines-leaves")
-    places = passing(leaves(docs, depth), "leaf", common).select("leaf", "length", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    places = places.withColumn("token", F.when(F.col("token").rlike("[0-9]"), FIELD).otherwise(F.col("token")))
-    agreed = places.groupBy("leaf", "length", "at").agg(F.min("token").alias("lo"), F.max("token").alias("hi"))
-    shape = agreed.withColumn("token", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(FIELD)).groupBy("leaf", "length").agg(F.sum((F.col("token") != FIELD).cast("int")).alias("constants"), F.array_sort(F.collect_list(F.struct("at", "token"))).alias("places"))
-    kept = shape.where(F.col("constants") >= F.col("length") * similarity)
-    return kept.join(common, "leaf").select("leaf", "documents", "length", F.array_join("places.token", " ").alias("template"))
+def placed(docs: DataFrame) -> DataFrame:
+    """key, same, at, template (two hashes of its text; together they tell templates apart), least: the texts it takes to recur, of all lines and templates."""
+    lines = templates_of(lines_of(docs))
+    hashes = F.transform("templates", lambda t: F.struct(F.xxhash64(t).alias("h"), F.hash(t).alias("c")))
+    return lines.select("key", "same", "at", (F.col("length") > LONG).alias("long"), F.posexplode(hashes).alias("kind", "template")).select(
+        "key", "same", "at", F.col("template.h").alias("h"), F.col("template.c").alias("c"), F.when(F.col("long") & (F.col("kind") == 0), 2).otherwise(LEAST_DOCUMENTS).alias("least")
+    )
 
 
-def dropped(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY, least: int = LEAST_DOCUMENTS) -> DataFrame:
+def recurring(lines: DataFrame) -> DataFrame:
+    """h, c, documents of the templates that lines of enough different texts have. lines: placed()."""
+    twice = stored(lines.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("h", "c"), "lines-twice")
+    again = passing(lines, "h", twice).join(twice, ["h", "c"]).groupBy("h", "c", "same").agg(F.max("least").alias("least"))
+    return again.groupBy("h", "c").agg(F.count(F.lit(1)).alias("documents"), F.max("least").alias("least")).where("documents >= least").select("h", "c", "documents")
+
+
+def templates(docs: DataFrame) -> DataFrame:
+    """template, documents: the text of every template that recurs and the number of different texts it occurs in."""
+    lines = stored(placed(docs.select("doc_id", "text")), "lines-placed")
+    kept = stored(recurring(lines), "lines-templates")
+    texts = templates_of(lines_of(docs.select("doc_id", "text"))).select(F.explode("templates").alias("template")).withColumn("h", F.xxhash64("template"))
+    named = passing(texts, "h", kept).groupBy("h", F.hash("template").alias("c")).agg(F.min("template").alias("template"))
+    return named.join(kept, ["h", "c"]).select("template", "documents")
+
+
+def dropped(docs: DataFrame) -> DataFrame:
     """row (all columns of docs), kept_text, n_lines, n_dropped: the text without the lines of recurring templates.
 
-    Blank lines stay. A null text stays null, with no lines; an empty text is one blank line. Repeated
-    rows with one doc_id count as one document and lose the same lines. An empty table
-    gives an empty result.
+    Blank lines stay. A null text stays null, with no lines; an empty text is one blank line. Rows with one text
+    count as one text, whatever their doc_id, and lose the same lines. An empty table gives an empty result. Texts without
+    a line to drop are never moved.
     """
-    placed = stored(leaves(docs.select("doc_id", "text"), depth).select("key", "doc_id", "at", "leaf"), "lines-placed")
-    templates = stored(recurring(docs.select("doc_id", "text"), placed, depth, similarity, least), "lines-templates")
-    hits = passing(placed.select("key", "at", "leaf"), "leaf", templates).join(templates.select("leaf"), "leaf")
-    marked = stored(hits.groupBy("key").agg(F.collect_set("at").alias("gone")), "lines-marked")
+    lines = stored(placed(docs.select("doc_id", "text")), "lines-placed")
+    kept = stored(recurring(lines), "lines-templates")
+    hits = passing(lines.select("key", "at", "h", "c"), "h", kept).join(kept.select("h", "c"), ["h", "c"]).select("key", "at").distinct()
+    marked = stored(hits.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("gone")), "lines-marked")
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
-    joined = packed.join(marked.hint("merge"), "key", "left").withColumn("lines", F.split("row.text", "\n"))
-    stays = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
+    joined = passing(packed, "key", marked).join(marked.hint("merge"), "key", "left")
+    joined = joined.union(probed(packed, "key", marked, "left_anti").select("key", "row", F.lit(None).cast("array<int>").alias("gone")))
+    joined = joined.select("row", "gone", F.split("row.text", "\n").alias("lines"))
+    # Whether a line goes, by its place: as many false as lie between two that go, then true.
+    gaps = F.zip_with("gone", F.concat(F.array(F.lit(-1)), F.slice("gone", 1, F.size("gone") - 1)), lambda x, before: F.concat(F.array_repeat(F.lit(False), x - before - 1), F.array(F.lit(True))))
+    flagged = joined.select("row", "gone", "lines", F.flatten(gaps).alias("flags"))
+    stays = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.coalesce(F.get("flags", i), F.lit(False))))
     n, m = F.coalesce(F.size("lines"), F.lit(0)).cast("long"), F.coalesce(F.size(stays), F.lit(0)).cast("long")
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(stays, "\n"))
-    return joined.select("row", text.alias("kept_text"), n.alias("n_lines"), (n - m).alias("n_dropped"))
+    return flagged.select("row", text.alias("kept_text"), n.alias("n_lines"), (n - m).alias("n_dropped"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from attestor.llm import kdtree, line_templates, mixing, url_trust
+from attestor.llm import kdtree, mixing, url_trust
 
 NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
 
 OP10 = f"""
-WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS size, {NORMAL} AS normal FROM documents),
-g AS (SELECT normal, first(doc_id ORDER BY size DESC, doc_id NULLS LAST) AS keep_id, max(size) AS keep_size, count(*) AS group_size FROM n GROUP BY normal)
-SELECT n.doc_id, g.keep_id, g.group_size, (n.doc_id IS NOT DISTINCT FROM g.keep_id AND n.size = g.keep_size) AS kept, sha256(n.normal) AS text_sha256
-FROM n JOIN g USING (normal)
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS size, {NORMAL} AS normal FROM documents)
+SELECT doc_id, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY normal) AS group_size, row_number() OVER w = 1 AS kept, sha256(normal) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY normal ORDER BY size DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 """
 
 OP7 = f"""
@@ -59,19 +58,18 @@ FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source
 """
 
 
-def op5() -> str:
-    d, tok = line_templates.DEPTH, r"list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END)"
-    return f"""
-WITH l AS (SELECT r, doc_id, unnest(range(len(ls))) AS place, unnest(ls) AS line, text FROM (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents)),
-t AS (SELECT r, doc_id, place, line, {tok} AS t FROM l),
-f AS (SELECT *, CASE WHEN len(t) > 0 THEN len(t) || ':' || array_to_string(list_slice(t, 1, {d}), ' ') END AS leaf FROM t),
-c AS (SELECT leaf FROM f WHERE leaf IS NOT NULL GROUP BY leaf HAVING count(DISTINCT coalesce(doc_id, -9223372036854775807)) >= {line_templates.LEAST_DOCUMENTS}),
-p AS (SELECT leaf, len(t) AS n, unnest(range(len(t))) AS place, unnest(t) AS token FROM f SEMI JOIN c USING (leaf)),
-a AS (SELECT leaf, n, place, CASE WHEN min(token) = max(token) AND min(token) <> '<*>' THEN 1 ELSE 0 END AS constant FROM p GROUP BY leaf, n, place),
-g AS (SELECT leaf FROM a GROUP BY leaf, n HAVING sum(constant) >= n * {line_templates.SIMILARITY}),
-k AS (SELECT f.r, count(*) AS n_lines, count(g.leaf) AS n_dropped, coalesce(string_agg(CASE WHEN g.leaf IS NULL THEN f.line END, chr(10) ORDER BY f.place), '') AS kept FROM f LEFT JOIN g USING (leaf) GROUP BY f.r)
-SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped, CASE WHEN d.text IS NOT NULL THEN sha256(k.kept) END AS text_sha256
-FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents) d LEFT JOIN k USING (r)
+OP5 = r"""
+WITH l AS (SELECT r, text, unnest(range(len(ls))) AS place, unnest(ls) AS line FROM (SELECT row_number() OVER () AS r, text, string_split(text, chr(10)) AS ls FROM documents)),
+t AS (SELECT r, text, place, line, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda t: t <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t FROM l),
+f AS (SELECT *, len(t) AS n, 4 + (len(t) - 4) // 2 AS half FROM t),
+k AS (SELECT r, text, place, 'whole ' || array_to_string(t, ' ') AS template, CASE WHEN n > 50 THEN 2 ELSE 10 END AS least FROM f WHERE n > 0
+  UNION ALL SELECT r, text, place, 'first ' || n || ' ' || array_to_string(t[1:half], ' '), 10 FROM f WHERE n >= 8
+  UNION ALL SELECT r, text, place, 'second ' || n || ' ' || array_to_string(t[1:4], ' ') || ' .. ' || array_to_string(t[half + 1:n], ' '), 10 FROM f WHERE n >= 8),
+g AS (SELECT template FROM k GROUP BY template HAVING count(DISTINCT text) >= max(least)),
+gone AS (SELECT DISTINCT r, place FROM k JOIN g USING (template)),
+s AS (SELECT l.r, count(*) AS n_lines, count(gone.r) AS n_dropped, coalesce(string_agg(CASE WHEN gone.r IS NULL THEN l.line END, chr(10) ORDER BY l.place), '') AS kept FROM l LEFT JOIN gone ON l.r = gone.r AND l.place = gone.place GROUP BY l.r)
+SELECT d.doc_id, coalesce(s.n_lines, 0) AS n_lines, coalesce(s.n_dropped, 0) AS n_dropped, CASE WHEN d.text IS NOT NULL THEN sha256(s.kept) END AS text_sha256
+FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents) d LEFT JOIN s USING (r)
 """
 
 
@@ -102,4 +100,4 @@ SELECT page_id, j.host, path, rule, coalesce(own, CASE WHEN bad.host IS NOT NULL
 """
 
 
-ORACLES: dict[str, str] = {"op5_line_dedup": op5(), "op6_warc": OP6, "op7_top_k": OP7, "op8_mixing": op8(), "op9_url_filters": op9(), "op10_exact_dedup": OP10}
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5, "op6_warc": OP6, "op7_top_k": OP7, "op8_mixing": op8(), "op9_url_filters": op9(), "op10_exact_dedup": OP10}

@@ -5,17 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Buckets of a membership filter: its broadcast never has more rows than this.
-FILTER_BUCKETS = 1 << 20
+#: Words of 64 bits of a membership filter: its broadcast never has more rows than this.
+FILTER_WORDS = 1 << 20
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new, unique folder path below spark.checkpoint.dir (a temporary one only where that is unset)."""
+    """A new, unique folder path below spark.checkpoint.dir. Where that is unset, a temporary one in local mode and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.gettempdir()}/attestor-{spark.sparkContext.applicationId}"
     return f"{root.rstrip('/')}/attestor/{name}-{uuid.uuid4().hex}"
 
@@ -35,15 +37,29 @@ def pieces(batches, rows: int = 256):
             yield batch.slice(start, rows)
 
 
-def bucket_of(column: str):
-    """The filter bucket of a 64-bit hash column."""
-    return F.pmod(F.col(column), F.lit(FILTER_BUCKETS)).cast("int").alias("bucket")
+def filter_of(members: DataFrame, column: str) -> DataFrame:
+    """A filter of 64 * FILTER_WORDS bits over a 64-bit hash column: word, bits."""
+    word, bit = F.pmod(column, F.lit(FILTER_WORDS)).cast("int"), f"shiftleft(1L, CAST(shiftrightunsigned(`{column}`, 58) AS INT))"
+    return members.select(word.alias("_word"), F.expr(bit).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def probed(df: DataFrame, column: str, members: DataFrame, how: str) -> DataFrame:
+    word = F.pmod(df[column], F.lit(FILTER_WORDS)).cast("int")
+    hit = F.expr(f"(shiftrightunsigned(_bits, CAST(shiftrightunsigned(`{column}`, 58) AS INT)) & 1L) = 1")
+    return df.join(F.broadcast(filter_of(members, column)), (word == F.col("_word")) & hit, how)
 
 
 def passing(df: DataFrame, column: str, members: DataFrame) -> DataFrame:
     """Rows of df whose hash may be among members' (a one-hash Bloom filter: no member is lost, some others stay).
 
-    The broadcast side holds at most FILTER_BUCKETS integers, whatever the size of the input.
+    The broadcast side holds at most FILTER_WORDS rows of twelve bytes, whatever the size of the input. Beyond some ten
+    million members more and more others stay: that costs work, never a row.
     """
-    buckets = members.select(bucket_of(column)).distinct()
-    return df.join(F.broadcast(buckets), bucket_of(column) == buckets["bucket"], "left_semi")
+    return probed(df, column, members, "left_semi")
+
+
+def without(df: DataFrame, hashed: Column, gone: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose hash isn't among gone's column of hashes; all columns. Only rows that pass the filter of gone are moved."""
+    packed = df.select(F.struct(*df.columns).alias("row"), hashed.alias(column))
+    left = probed(packed, column, gone, "left_anti").select("row")
+    return left.union(passing(packed, column, gone).join(gone.select(column).distinct(), column, "left_anti").select("row")).select("row.*")
