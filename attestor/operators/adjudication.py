@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.text import fixed, shortened, tidy_number, trimmed
-from attestor.operators.pairing import pairs
+from attestor.operators.pairing import BUCKET_CAP, pairs
+from attestor.sources.scratch import stored
 
 # Fixed values.
 AGREEMENT = 0.005
@@ -116,28 +117,35 @@ def first_leaf() -> Column:
     return out
 
 
+def thin(found: DataFrame) -> DataFrame:
+    """relation_id, fact_a, fact_b, leaf of pairs, and of pairs that a third fact may explain what the search for it needs (`open`, else null)."""
+    c, gap = F.col, F.abs(F.col("a.value_num") - F.col("b.value_num"))
+    needs = F.struct(
+        "entity_id", gap.alias("gap"), is_proportion("a").alias("share"), F.array_compact(F.array("a.as_of_date", "b.as_of_date")).alias("days"), F.array_compact(F.array("a.period_end", "b.period_end")).alias("ends")
+    )
+    worth = (gap >= LEAST_GAP) & (relative_difference(gap, F.abs(c("a.value_num"))) > COMPONENT_OF_ALL) & (relative_difference(gap, F.abs(c("b.value_num"))) > COMPONENT_OF_ALL)
+    leafed = found.withColumn("leaf", first_leaf())
+    return leafed.select("relation_id", "fact_a", "fact_b", "leaf", F.when(c("leaf").isin("R14", "R15") & worth, needs).alias("open"))
+
+
 def bridges(open_pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """relation_id, bridge (struct of the fact) of pairs whose gap exactly one other fact of the entity explains.
+    """relation_id, bridging_fact_id of pairs (thin(), `open` set) whose gap exactly one other fact of the entity explains.
 
     A candidate is worth the gap to within BRIDGE, of the pair's kind, and shares a date with a side unless
     neither has one. Gaps and candidates meet by entity and logarithmic band, not entity alone: an
     entity with very many facts makes no more rows than there are values near a gap.
     """
-    c, gap = F.col, F.abs(F.col("a.value_num") - F.col("b.value_num"))
-    thin = open_pairs.select(
-        "relation_id", "entity_id", gap.alias("gap"), c("a.fact_id").alias("fa"), c("b.fact_id").alias("fb"), is_proportion("a").alias("share"),
-        F.array_compact(F.array("a.as_of_date", "b.as_of_date")).alias("days"), F.array_compact(F.array("a.period_end", "b.period_end")).alias("ends"),
-        relative_difference(gap, F.abs(c("a.value_num"))).alias("off_a"), relative_difference(gap, F.abs(c("b.value_num"))).alias("off_b"),
-    ).where((c("gap") >= LEAST_GAP) & (c("off_a") > COMPONENT_OF_ALL) & (c("off_b") > COMPONENT_OF_ALL))
+    c = F.col
     band = lambda x: F.floor(F.log(x) / BAND)
-    thin = thin.withColumn("band", F.explode(F.array_distinct(F.array(band(c("gap") * (1 - 2 * BRIDGE)), band(c("gap")), band(c("gap") * (1 + 2 * BRIDGE))))))
-    values = facts.where("value_num >= 1").select("entity_id", F.struct("fact_id", "value_num", "value_raw", "unit", "attribute_raw", "page_no", "as_of_date", "period_end").alias("c"))
+    gaps = open_pairs.select("relation_id", "fact_a", "fact_b", "open.*")
+    gaps = gaps.withColumn("band", F.explode(F.array_distinct(F.array(band(c("gap") * (1 - 2 * BRIDGE)), band(c("gap")), band(c("gap") * (1 + 2 * BRIDGE))))))
+    values = facts.where("value_num >= 1").select("entity_id", F.struct("fact_id", "value_num", "value_raw", "unit", "as_of_date", "period_end").alias("c"))
     values = values.withColumn("band", band(c("c.value_num"))).withColumn("c_share", is_proportion("c"))
     dated = F.array_contains("days", c("c.as_of_date")) | F.array_contains("ends", c("c.period_end"))
     undated = (F.size("days") == 0) & (F.size("ends") == 0)
     near = relative_difference(c("c.value_num"), c("gap")) <= BRIDGE
-    met = thin.join(values, ["entity_id", "band"]).where(near & (c("c_share") == c("share")) & (F.coalesce(dated, F.lit(False)) | undated) & (c("c.fact_id") != c("fa")) & (c("c.fact_id") != c("fb")))
-    return met.groupBy("relation_id").agg(F.count(F.lit(1)).alias("n"), F.first("c").alias("bridge")).where("n = 1").select("relation_id", "bridge")
+    met = gaps.join(values, ["entity_id", "band"]).where(near & (c("c_share") == c("share")) & (F.coalesce(dated, F.lit(False)) | undated) & (c("c.fact_id") != c("fact_a")) & (c("c.fact_id") != c("fact_b")))
+    return met.groupBy("relation_id").agg(F.count(F.lit(1)).alias("n"), F.first("c.fact_id").alias("bridging_fact_id")).where("n = 1").select("relation_id", "bridging_fact_id")
 
 
 def explanations() -> dict[str, Column]:
@@ -176,17 +184,43 @@ def explanations() -> dict[str, Column]:
     }
 
 
-def adjudicated(facts: DataFrame) -> DataFrame:
-    """relation_id, fact_a, fact_b, leaf, verdict, method, explanation, bridging_fact_id and both facts of every candidate pair."""
-    found = pairs(facts).withColumn("leaf", first_leaf())
-    proofs = bridges(found.where(F.col("leaf").isin("R14", "R15")), facts.where("grounded AND value_num IS NOT NULL"))
-    joined = found.join(proofs, "relation_id", "left").withColumn("leaf", F.when(F.col("bridge").isNotNull(), "R13").otherwise(F.col("leaf")))
-    reason, verdict, method = None, None, F.when(F.col("leaf") == "R13", "derivation").otherwise("rule")
-    for leaf, v, _ in LEAVES:
-        is_it = F.col("leaf") == leaf
-        reason = F.when(is_it, explanations()[leaf]) if reason is None else reason.when(is_it, explanations()[leaf])
-        verdict = F.when(is_it, v) if verdict is None else verdict.when(is_it, v)
-    return joined.select("relation_id", "fact_a", "fact_b", "leaf", verdict.alias("verdict"), method.alias("method"), reason.alias("explanation"), F.col("bridge.fact_id").alias("bridging_fact_id"), "a", "b")
+def by_leaf(values: dict[str, Column | str]) -> Column:
+    out = None
+    for leaf, value in values.items():
+        out = F.when(F.col("leaf") == leaf, value) if out is None else out.when(F.col("leaf") == leaf, value)
+    return out
+
+
+def verdicts(facts: DataFrame, cap: int = BUCKET_CAP, candidates: DataFrame | None = None) -> DataFrame:
+    """relation_id, fact_a, fact_b, leaf, verdict, method, bridging_fact_id of every candidate pair.
+
+    Pairs are made from the facts, or taken from candidates (relation_id, fact_a, fact_b). The rules are evaluated
+    once: what later steps need of a pair, without its facts, is stored.
+    """
+    found = pairs(facts, cap) if candidates is None else with_facts(candidates, facts).withColumn("entity_id", F.col("a.entity_id"))
+    judged = stored(thin(found), "pairs")
+    proofs = bridges(judged.where("open IS NOT NULL"), facts.where("grounded AND value_num IS NOT NULL"))
+    joined = judged.drop("open").join(proofs, "relation_id", "left").withColumn("leaf", F.when(F.col("bridging_fact_id").isNotNull(), "R13").otherwise(F.col("leaf")))
+    verdict, method = by_leaf({leaf: F.lit(v) for leaf, v, _ in LEAVES}), by_leaf({leaf: F.lit(m) for leaf, _, m in LEAVES})
+    return joined.select("relation_id", "fact_a", "fact_b", "leaf", verdict.alias("verdict"), method.alias("method"), "bridging_fact_id")
+
+
+def with_facts(relations: DataFrame, facts: DataFrame) -> DataFrame:
+    """relations with both facts as structs a and b."""
+    side = lambda x: facts.select(F.col("fact_id").alias(f"fact_{x}"), F.struct(*facts.columns).alias(x))
+    return relations.join(side("a"), "fact_a").join(side("b"), "fact_b")
+
+
+def explained(relations: DataFrame, facts: DataFrame) -> DataFrame:
+    """relations (verdicts(), all or some of them) with both facts and the written reason."""
+    bridge = facts.select(F.col("fact_id").alias("bridging_fact_id"), F.struct("value_num", "attribute_raw", "value_raw", "page_no").alias("bridge"))
+    full = with_facts(relations, facts).join(bridge, "bridging_fact_id", "left")
+    return full.select("relation_id", "fact_a", "fact_b", "leaf", "verdict", "method", by_leaf(explanations()).alias("explanation"), "bridging_fact_id", "a", "b")
+
+
+def adjudicated(facts: DataFrame, cap: int = BUCKET_CAP, candidates: DataFrame | None = None) -> DataFrame:
+    """verdicts() of every candidate pair with both facts and the written reason."""
+    return explained(verdicts(facts, cap, candidates), facts)
 
 
 def asked_first(relations: DataFrame, k: int = MODEL_PAIRS) -> DataFrame:
@@ -223,5 +257,5 @@ def verdict_share(relations: DataFrame) -> DataFrame:
 
 
 def proofs(relations: DataFrame) -> DataFrame:
-    return relations.where("bridging_fact_id IS NOT NULL").select("relation_id", "fact_a", "fact_b", "bridging_fact_id", "explanation")
+    return relations.where("bridging_fact_id IS NOT NULL").select("relation_id", "fact_a", "fact_b", "bridging_fact_id")
 

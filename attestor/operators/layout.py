@@ -159,10 +159,9 @@ def reading_order(boxes: DataFrame, key: str) -> DataFrame:
 
 def headings(lines: DataFrame) -> DataFrame:
     """doc_id, page_no, heading: the largest text near the top that is clearly larger than the page's upper median; '' if none."""
-    page = Window.partitionBy(*PAGE)
-    sizes = F.array_sort(F.collect_list("font_size").over(page))
-    body = F.element_at(sizes, F.floor(F.size(sizes) / 2).cast("int") + 1)
-    judged = lines.withColumns({"body": body, "deepest": F.max("bottom").over(page)})
+    sizes = F.array_sort(F.collect_list("font_size"))
+    measured = lines.groupBy(*PAGE).agg(F.element_at(sizes, F.floor(F.size(sizes) / 2).cast("int") + 1).alias("body"), F.max("bottom").alias("deepest"))
+    judged = lines.join(measured, PAGE)
     fits = (F.col("deepest") > 0) & (F.col("font_size") >= F.col("body") * HEADING_SIZE) & (F.col("top") <= F.col("deepest") * HEADING_REGION)
     best = F.min(F.when(fits, F.struct(-F.col("font_size"), F.col("top"), F.col("line_id"), F.col("text"))))
     return judged.groupBy(*PAGE).agg(best.alias("best")).select(*PAGE, F.coalesce("best.text", F.lit("")).alias("heading"))
@@ -231,7 +230,7 @@ def ingested(lines: DataFrame, tables: DataFrame) -> DataFrame:
     notes = footnotes(noted)
     prose = flow.join(noted.select(*PAGE, "pos"), [*PAGE, "pos"], "left_anti")
     shaped = block_texts(prose, blocks(prose))
-    spoken = shaped.groupBy(*PAGE).agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    spoken = shaped.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda s: s["text"]), " ").alias("text"))
     kept = kept_tables(tables, spoken)
     left = without_table_lines(prose, kept)
     shaped = reading_order(block_texts(left, blocks(prose)), "block")

@@ -43,10 +43,10 @@ def pairs(facts: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
     return joined.select(relation.alias("relation_id"), F.col("a.fact_id").alias("fact_a"), F.col("b.fact_id").alias("fact_b"), *KEYS, "a", "b")
 
 
-def candidates(facts: DataFrame) -> DataFrame:
+def candidates(facts: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:
     """The relations table before any verdict."""
     null = F.lit(None).cast("string")
-    return pairs(facts).select("relation_id", "fact_a", "fact_b", F.lit("candidate").alias("verdict"), F.lit("blocking").alias("method"), null.alias("explanation"), null.alias("bridging_fact_id"))
+    return pairs(facts, cap).select("relation_id", "fact_a", "fact_b", F.lit("candidate").alias("verdict"), F.lit("blocking").alias("method"), null.alias("explanation"), null.alias("bridging_fact_id"))
 
 
 def bucket_sizes(facts: DataFrame, cap: int = BUCKET_CAP) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEARCHED = ("subject_raw", "attribute_raw", "value_raw", "scope_raw")
@@ -42,13 +42,24 @@ def search_relations(relations: DataFrame, verdicts: list[str], across_only: boo
 TRUST = "a.confidence + b.confidence"
 
 
+def better_class(rows: DataFrame, preferred: Column, then: Column | None, k: int, before: bool = False) -> DataFrame:
+    """The k most trusted preferred rows, or the k most trusted of all others if none is preferred.
+
+    then: what orders preferred rows besides trust, before or after it. One pass: k of either kind are ranked, then a kind is chosen.
+    """
+    trust = F.expr(TRUST).desc_nulls_first()
+    kinds = rows.withColumn("_kind", F.when(F.coalesce(preferred, F.lit(False)), 0).otherwise(1))
+    extra = [F.when(F.col("_kind") == 0, then).asc_nulls_last() if before else F.when(F.col("_kind") == 0, then).desc_nulls_first()] if then is not None else []
+    order = [*extra, trust, "relation_id"] if before else [trust, *extra, "relation_id"]
+    top = kinds.withColumn("_rank", F.row_number().over(Window.partitionBy("_kind").orderBy(*order))).where(F.col("_rank") <= k)
+    return top.withColumn("_best", F.min("_kind").over(Window.partitionBy())).where("_kind = _best").orderBy("_rank").select(*rows.columns)
+
+
 def case_corroborated(relations: DataFrame, k: int = 3) -> DataFrame:
     """Agreement across documents in other words; without any, agreement across documents."""
     across = relations.where("verdict = 'corroborates' AND a.doc_id <> b.doc_id")
-    worded = across.where("lower(a.attribute_raw) <> lower(b.attribute_raw)")
-    order = [F.expr(TRUST).desc_nulls_first(), F.abs(F.length("a.attribute_raw") - F.length("b.attribute_raw")).desc_nulls_first(), "relation_id"]
-    found = worded.orderBy(*order).limit(k)
-    return found if not found.isEmpty() else across.orderBy(F.expr(TRUST).desc_nulls_first(), "relation_id").limit(k)
+    near = F.abs(F.length("a.attribute_raw") - F.length("b.attribute_raw"))
+    return better_class(across, F.expr("lower(a.attribute_raw) <> lower(b.attribute_raw)"), near, k)
 
 
 def case_contradicted(relations: DataFrame, k: int = 3) -> DataFrame:
@@ -56,8 +67,7 @@ def case_contradicted(relations: DataFrame, k: int = 3) -> DataFrame:
     trusted = relations.where("verdict = 'contradicts' AND a.confidence >= 0.75 AND b.confidence >= 0.75 AND a.value_in_evidence AND b.value_in_evidence")
     moment = "coalesce(a.period_end, a.as_of_date) = coalesce(b.period_end, b.as_of_date)"
     off = "abs(a.value_num - b.value_num) / greatest(abs(a.value_num), abs(b.value_num), 1D) BETWEEN 0.01 AND 0.5"
-    found = trusted.where(f"{moment} AND {off}").orderBy(F.expr("a.doc_id <> b.doc_id").desc(), F.expr(TRUST).desc_nulls_first(), "relation_id").limit(k)
-    return found if not found.isEmpty() else trusted.orderBy(F.expr(TRUST).desc_nulls_first(), "relation_id").limit(k)
+    return better_class(trusted, F.expr(f"{moment} AND {off}"), F.expr("CAST(a.doc_id = b.doc_id AS INT)"), k, before=True)
 
 
 def case_derived(relations: DataFrame, k: int = 3) -> DataFrame:
@@ -68,8 +78,7 @@ def case_derived(relations: DataFrame, k: int = 3) -> DataFrame:
 def case_scoped(relations: DataFrame, k: int = 3) -> DataFrame:
     """Differences explained by scope, across documents; without any, within."""
     scoped = relations.where("verdict = 'reconciled' AND method = 'rule' AND a.scope_raw IS NOT NULL AND b.scope_raw IS NOT NULL")
-    found = scoped.where("a.doc_id <> b.doc_id").orderBy(F.expr(TRUST).desc_nulls_first(), "relation_id").limit(k)
-    return found if not found.isEmpty() else scoped.orderBy(F.expr(TRUST).desc_nulls_first(), "relation_id").limit(k)
+    return better_class(scoped, F.expr("a.doc_id <> b.doc_id"), None, k)
 
 
 def case_superseded(relations: DataFrame, k: int = 3) -> DataFrame:
@@ -113,6 +122,15 @@ def page_lookup(pages: DataFrame, document: str, page_no: int) -> DataFrame:
     return pages.where(contains_ci(F.col("doc_id"), document) & (F.col("page_no") == page_no))
 
 
+def stored_page(documents: DataFrame, pages: DataFrame, search: str, page_no: int) -> DataFrame:
+    """doc_id, filename, page_no, raw_text, footnotes of the one document whose name or identifier holds the text; if several do, all of them without a page, to choose from."""
+    found = documents.where(contains_ci(F.col("doc_id"), search) | contains_ci(F.col("filename"), search)).select("doc_id", "filename").limit(100)
+    one = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    page = pages.where(F.col("page_no") == page_no).select("doc_id", "page_no", "raw_text", "footnotes")
+    joined = one.join(page, (one.doc_id == page.doc_id) & (one.n == 1), "left")
+    return joined.select(one.doc_id, "filename", "page_no", "raw_text", "footnotes")
+
+
 def evidence_window(facts: DataFrame, pages: DataFrame, around: int = 500) -> DataFrame:
     """fact_id, before, quote, after: the evidence's surroundings on its page."""
     c = F.col

@@ -180,6 +180,11 @@ def entities(facts: DataFrame) -> DataFrame:
     return merged.select(readable_id("ent", F.col("leader")).alias("entity_id"), F.coalesce("best.spelling", "leader").alias("canonical_name"), "aliases", codes.alias("identifiers"), "n_facts")
 
 
+def offered_labels(sizes: DataFrame) -> DataFrame:
+    """label, n_facts of the families that a merge is asked about: at least three facts, the 260 largest."""
+    return sizes.where(F.col("n_facts") >= MERGE_LEAST_FACTS).orderBy(F.desc("n_facts"), "label").limit(MERGE_MOST_LABELS).select("label", "n_facts")
+
+
 def semantic_merge(sizes: DataFrame, groups: DataFrame | None) -> DataFrame:
     """label, final_label of families (label, n_facts), under groups (canonical, members) that a provider suggests.
 
@@ -188,8 +193,7 @@ def semantic_merge(sizes: DataFrame, groups: DataFrame | None) -> DataFrame:
     """
     if groups is None:
         return sizes.select("label", F.col("label").alias("final_label"))
-    order = Window.orderBy(F.desc("n_facts"), "label")
-    offered = sizes.where(F.col("n_facts") >= MERGE_LEAST_FACTS).withColumn("r", F.row_number().over(order)).where(F.col("r") <= MERGE_MOST_LABELS).select("label", "n_facts")
+    offered = offered_labels(sizes)
     members = groups.select("canonical", F.explode("members").alias("label")).join(offered, "label")
     largest = members.groupBy("canonical").agg(F.max_by("label", F.struct("n_facts", "label")).alias("largest"))
     known = offered.select(F.col("label").alias("canonical"), F.lit(True).alias("known"))

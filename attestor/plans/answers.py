@@ -166,7 +166,7 @@ def case_3a_derived(spark, sf_dir):
     return reads.case_derived(relations(spark, sf_dir)).select("relation_id", "bridging_fact_id")
 
 
-@query(f"WITH {o.VERDICTS}, sc AS (SELECT *, a.doc_id <> b.doc_id AS x FROM rl WHERE verdict = 'reconciled' AND method = 'rule' AND a.scope_raw IS NOT NULL AND b.scope_raw IS NOT NULL) SELECT relation_id FROM sc WHERE x OR NOT EXISTS (SELECT 1 FROM sc WHERE x) ORDER BY {_TRUST}, relation_id LIMIT 3")
+@query(f"WITH {o.VERDICTS}, sc AS MATERIALIZED (SELECT relation_id, a, b, a.doc_id <> b.doc_id AS x FROM rl WHERE verdict = 'reconciled' AND method = 'rule' AND a.scope_raw IS NOT NULL AND b.scope_raw IS NOT NULL) SELECT relation_id FROM sc WHERE x = (SELECT max(x) FROM sc) ORDER BY {_TRUST}, relation_id LIMIT 3")
 def case_3b_scoped(spark, sf_dir):
     return reads.case_scoped(relations(spark, sf_dir)).select("relation_id")
 

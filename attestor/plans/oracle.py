@@ -155,7 +155,7 @@ FACT_CTE = f"facts AS ({FACTS.strip()})"
 #: Facts with parsed values: CTEs facts, fy and nf.
 NORMALISED = f"""{FACT_CTE}, {YEAR_END},
 r0 AS (SELECT *, {trim("period_raw")} AS tp, {date("period_raw")} AS pd FROM facts),
-nf AS (SELECT fact_id, doc_id, page_no, entity_id, attribute_family, subject_raw, attribute_raw, value_kind, value_raw, unit, value_text, period_raw, as_of_raw, scope_raw, confidence, grounded, value_in_evidence,
+nf AS MATERIALIZED (SELECT fact_id, doc_id, page_no, entity_id, attribute_family, subject_raw, attribute_raw, value_kind, value_raw, unit, value_text, period_raw, as_of_raw, scope_raw, confidence, grounded, value_in_evidence,
   CASE WHEN value_kind = 'number' THEN {number("value_raw", "unit")} END AS value_num,
   CASE WHEN value_kind = 'number' THEN {multiplier("value_raw", "unit")} END AS multiplier,
   CASE WHEN value_kind = 'number' THEN coalesce(currency, {currency("value_raw")}, {currency("coalesce(unit, '')")}) ELSE currency END AS currency,
@@ -172,11 +172,11 @@ def difference(x: str, y: str) -> str:
 
 
 def proportion(s: str) -> str:
-    return f"(contains(coalesce({s}.value_raw, ''), '%') OR lower({trim(f'coalesce({s}.unit, $$$$)')}) IN ({listed(adj.PROPORTION_UNITS)}))"
+    return f"(contains(coalesce({s}.value_raw, ''), '%') OR lower({trim(f'coalesce({s}.unit, $$$$)')}) IN ('%', 'percent', 'percentage', 'pct', 'bps', 'basis points'))"
 
 
 def bound(s: str) -> str:
-    return "(" + " OR ".join(f"contains(lower(coalesce({s}.value_raw, '')), '{b}')" for b in adj.BOUNDS) + ")"
+    return "(" + " OR ".join(f"contains(lower(coalesce({s}.value_raw, '')), '{b}')" for b in (">", "<", "~", "≈", "+", "at least", "more than", "over")) + ")"
 
 
 _ratio = "(greatest(abs(a.value_num), abs(b.value_num)) / least(abs(a.value_num), abs(b.value_num)))"
@@ -184,34 +184,35 @@ _moment = lambda s: f"coalesce({s}.period_end, {s}.as_of_date)"
 _text = lambda s: f"lower({trim(f'coalesce({s}.value_text, $$$$)')})"
 _trust = lambda s: f"(CASE WHEN coalesce({s}.confidence, 0) = 0 THEN 1 ELSE {s}.confidence END)"
 _off = difference("a.value_num", "b.value_num")
-POWER = f"CASE WHEN a.value_num <> 0 AND b.value_num <> 0 AND {_ratio} >= 9.9 THEN (SELECT min(k) FROM range(1, 40) t(k) WHERE {_ratio} / pow(10, k) < 9.9 AND abs({_ratio} / pow(10, k) - 1) <= {adj.POWER_SLACK}) END"
+POWER = f"CASE WHEN a.value_num <> 0 AND b.value_num <> 0 AND {_ratio} >= 9.9 THEN (SELECT min(k) FROM range(1, 40) t(k) WHERE {_ratio} / pow(10, k) < 9.9 AND abs({_ratio} / pow(10, k) - 1) <= 0.01) END"
 LEAF = f"""CASE WHEN a.currency <> b.currency THEN 'R1'
   WHEN (a.value_num IS NULL) <> (b.value_num IS NULL) THEN 'R2'
   WHEN {proportion("a")} <> {proportion("b")} THEN 'R3'
   WHEN a.period_start IS NOT NULL AND b.period_start IS NOT NULL AND (a.period_start <> b.period_start OR a.period_end IS DISTINCT FROM b.period_end) THEN 'R4'
   WHEN {_moment("a")} <> {_moment("b")} AND a.value_num IS NULL AND {_text("a")} <> {_text("b")} THEN 'R5'
   WHEN {_moment("a")} <> {_moment("b")} AND a.value_num IS NOT NULL THEN 'R6'
-  WHEN len(a.scope_tags) > 0 AND len(b.scope_tags) > 0 AND len(list_intersect(a.scope_tags, b.scope_tags)) / len(list_distinct(list_concat(a.scope_tags, b.scope_tags))) < {adj.SAME_SCOPE} THEN 'R7'
+  WHEN len(a.scope_tags) > 0 AND len(b.scope_tags) > 0 AND len(list_intersect(a.scope_tags, b.scope_tags)) / len(list_distinct(list_concat(a.scope_tags, b.scope_tags))) < 0.5 THEN 'R7'
   WHEN a.value_num IS NULL AND {_text("a")} = {_text("b")} THEN 'R8'
   WHEN a.value_num IS NULL THEN 'R9'
-  WHEN {_off} <= {adj.AGREEMENT} THEN 'R10'
+  WHEN {_off} <= 0.005 THEN 'R10'
   WHEN ({POWER}) IS NOT NULL THEN 'R11'
   WHEN {bound("a")} OR {bound("b")} THEN 'R12'
-  WHEN {_trust("a")} < {adj.LOW_CONFIDENCE} AND {_trust("b")} < {adj.LOW_CONFIDENCE} THEN 'R14' ELSE 'R15' END"""
+  WHEN {_trust("a")} < 0.6 AND {_trust("b")} < 0.6 THEN 'R14' ELSE 'R15' END"""
 
-_gap = "abs(p.a.value_num - p.b.value_num)"
 VERDICTS = f"""{PAIRS},
-lf AS (SELECT relation_id, a, b, {LEAF} AS leaf0 FROM pr),
-br AS (SELECT p.relation_id, count(*) AS n, min(c.fact_id) AS bridging_fact_id, min(c.value_num) AS bridge_num, min(c.attribute_raw) AS bridge_attribute, min(c.value_raw) AS bridge_raw, min(c.page_no) AS bridge_page
-  FROM lf p JOIN nf c ON p.a.entity_id = c.entity_id
-  WHERE p.leaf0 IN ('R14', 'R15') AND c.grounded AND c.value_num >= 1 AND {_gap} >= {adj.LEAST_GAP}
-    AND {difference(_gap, "abs(p.a.value_num)")} > {adj.COMPONENT_OF_ALL} AND {difference(_gap, "abs(p.b.value_num)")} > {adj.COMPONENT_OF_ALL}
-    AND c.fact_id NOT IN (p.a.fact_id, p.b.fact_id) AND {proportion("c")} = {proportion("p.a")}
+lf AS MATERIALIZED (SELECT relation_id, a, b, {LEAF} AS leaf0 FROM pr),
+op AS (SELECT *, unnest(list_distinct([floor(ln(gap * 0.996) / 0.0041), floor(ln(gap) / 0.0041), floor(ln(gap * 1.004) / 0.0041)])) AS band FROM (SELECT *, abs(a.value_num - b.value_num) AS gap FROM lf WHERE leaf0 IN ('R14', 'R15'))
+  WHERE gap >= 50 AND {difference("gap", "abs(a.value_num)")} > 0.05 AND {difference("gap", "abs(b.value_num)")} > 0.05),
+cn AS MATERIALIZED (SELECT *, floor(ln(value_num) / 0.0041) AS band FROM nf WHERE grounded AND value_num >= 1),
+br AS (SELECT p.relation_id, count(*) AS n, min(c.fact_id) AS bridging_fact_id
+  FROM op p JOIN cn c ON p.a.entity_id = c.entity_id AND p.band = c.band
+  WHERE c.fact_id NOT IN (p.a.fact_id, p.b.fact_id) AND {proportion("c")} = {proportion("p.a")}
     AND (coalesce(c.as_of_date = p.a.as_of_date, false) OR coalesce(c.as_of_date = p.b.as_of_date, false) OR coalesce(c.period_end = p.a.period_end, false) OR coalesce(c.period_end = p.b.period_end, false)
       OR (p.a.as_of_date IS NULL AND p.b.as_of_date IS NULL AND p.a.period_end IS NULL AND p.b.period_end IS NULL))
-    AND {difference("c.value_num", _gap)} <= {adj.BRIDGE} GROUP BY p.relation_id HAVING count(*) = 1),
+    AND {difference("c.value_num", "p.gap")} <= 0.002 GROUP BY p.relation_id HAVING count(*) = 1),
 vd AS (SELECT l.relation_id, l.a.fact_id AS fact_a, l.b.fact_id AS fact_b, CASE WHEN br.n = 1 THEN 'R13' ELSE l.leaf0 END AS leaf, br.bridging_fact_id, l.a AS a, l.b AS b FROM lf l LEFT JOIN br USING (relation_id)),
-rl AS (SELECT *, CASE {" ".join(f"WHEN leaf = '{x}' THEN '{v}'" for x, v, _ in adj.LEAVES)} END AS verdict, CASE WHEN leaf = 'R13' THEN 'derivation' ELSE 'rule' END AS method FROM vd)"""
+rl AS (SELECT *, CASE WHEN leaf IN ('R1', 'R2', 'R3') THEN 'unrelated' WHEN leaf IN ('R4', 'R6', 'R7', 'R11', 'R12', 'R13') THEN 'reconciled' WHEN leaf = 'R5' THEN 'superseded' WHEN leaf IN ('R8', 'R10') THEN 'corroborates' WHEN leaf = 'R9' THEN 'needs_a_judgement' ELSE 'contradicts' END AS verdict,
+  CASE WHEN leaf = 'R13' THEN 'derivation' ELSE 'rule' END AS method FROM vd)"""
 
 PAGE_CTE = f"pages_ AS ({adapters.PAGES.replace('{map}', adapters.DUCKDB_NOTES).strip()})"
 _T, _N = lay.TABLES_MARK, lay.FOOTNOTES_MARK
@@ -228,19 +229,19 @@ p0 AS (SELECT doc_id, kind, k, s, unnest(ps) AS p, unnest(range(len(ps))) AS i F
 p1 AS (SELECT *, s + coalesce(sum(length(p) + 2) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM p0),
 pp AS (SELECT doc_id, kind, k, i, trim_p AS p, CAST(off + ld AS INTEGER) AS s, CAST(off + ld + length(trim_p) AS INTEGER) AS e, CAST({_count("trim_p")} AS INTEGER) AS w FROM (SELECT *, {_lead("p")} AS ld, {trim("p")} AS trim_p FROM p1) WHERE trim_p <> '')"""
 SENTENCES = f"""{PARAGRAPHS},
-s0 AS (SELECT doc_id, kind, k, i, s, unnest(ss) AS p, unnest(range(len(ss))) AS j FROM (SELECT *, regexp_extract_all(p, '(?s).+?(?:[.!?]{WS}+|$)') AS ss FROM pp WHERE w > {pas.PARAGRAPH_WORDS})),
+s0 AS (SELECT doc_id, kind, k, i, s, unnest(ss) AS p, unnest(range(len(ss))) AS j FROM (SELECT *, regexp_extract_all(p, '(?s).+?(?:[.!?]{WS}+|$)') AS ss FROM pp WHERE w > 1500)),
 s1 AS (SELECT *, s + coalesce(sum(length(p)) OVER (PARTITION BY doc_id, kind, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s0),
-sp AS (SELECT doc_id, kind, k, i, 0 AS j, s, e, w FROM pp WHERE w <= {pas.PARAGRAPH_WORDS}
+sp AS (SELECT doc_id, kind, k, i, 0 AS j, s, e, w FROM pp WHERE w <= 1500
   UNION ALL SELECT doc_id, kind, k, i, j, CAST(off + {_lead("p")} AS INTEGER), CAST(off + {_lead("p")} + {_body("p")} AS INTEGER), CAST({_count("p")} AS INTEGER) FROM s1 WHERE {trim("p")} <> '')"""
 _refs = f"list_transform(flatten(list_transform(regexp_extract_all(text, '{lay.REFERENCE}', 1), lambda g: string_split(g, ','))), lambda r: trim(r))"
 CHUNKS = f"""{SENTENCES},
 nn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY i, j) AS r FROM sp),
 pk AS (SELECT doc_id, kind, k, r, s, e, w, 1 AS c, w AS tw FROM nn WHERE r = 1
-  UNION ALL SELECT n.doc_id, n.kind, n.k, n.r, n.s, n.e, n.w, CASE WHEN p.tw + n.w <= {pas.PASSAGE_WORDS} THEN p.c ELSE p.c + 1 END, CASE WHEN p.tw + n.w <= {pas.PASSAGE_WORDS} THEN p.tw + n.w ELSE n.w END FROM pk p JOIN nn n ON n.doc_id = p.doc_id AND n.kind = p.kind AND n.r = p.r + 1),
+  UNION ALL SELECT n.doc_id, n.kind, n.k, n.r, n.s, n.e, n.w, CASE WHEN p.tw + n.w <= 1000 THEN p.c ELSE p.c + 1 END, CASE WHEN p.tw + n.w <= 1000 THEN p.tw + n.w ELSE n.w END FROM pk p JOIN nn n ON n.doc_id = p.doc_id AND n.kind = p.kind AND n.r = p.r + 1),
 cs AS (SELECT doc_id, kind, k, c, min(s) AS s, max(e) AS e FROM pk GROUP BY ALL),
 ct AS (SELECT cs.*, g.page_no, g.section_heading, substr(g.raw_text, cs.s + 1, cs.e - cs.s) AS text, row_number() OVER (PARTITION BY cs.doc_id ORDER BY k, c) - 1 AS n FROM cs JOIN pages_ g USING (doc_id)),
 ch AS (SELECT doc_id || '__p0001__c' || lpad(CAST(n AS VARCHAR), 2, '0') AS chunk_id, doc_id, page_no, kind, s AS char_start, e AS char_end, text,
-  CASE WHEN {_count("text")} < {pas.LEAST_WORDS} THEN 'too short to hold a claim' WHEN regexp_matches(text, '[0-9]') OR len(regexp_extract_all(text, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z][a-z]{{2,}}(?:$|[^\\p{{L}}\\p{{N}}_])')) >= {pas.LEAST_CAPITALISED} THEN NULL ELSE 'no numbers and nothing named' END AS why_skipped,
+  CASE WHEN {_count("text")} < 5 THEN 'too short to hold a claim' WHEN regexp_matches(text, '[0-9]') OR len(regexp_extract_all(text, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z][a-z]{{2,}}(?:$|[^\\p{{L}}\\p{{N}}_])')) >= 2 THEN NULL ELSE 'no numbers and nothing named' END AS why_skipped,
   concat_ws(chr(10), CASE WHEN section_heading <> '' THEN '[SECTION] ' || section_heading END, CASE WHEN kind <> 'footnotes' THEN '[FOOTNOTE *] applies to all' END,
     CASE WHEN kind <> 'footnotes' AND list_contains({_refs}, '1') THEN '[FOOTNOTE 1] note one' END, CASE WHEN kind <> 'footnotes' AND list_contains({_refs}, '5') THEN '[FOOTNOTE 5] note five' END) AS context_header FROM ct)"""
 
@@ -250,8 +251,8 @@ GROUNDED = f"""cl AS ({adapters.CLAIMS.strip()}), g0 AS (SELECT *, {trim("coales
 g1 AS (SELECT *, length(e) >= 3 AS ok, {_find("e", "chunk_text")} AS xc, {_find("e", "page_text")} AS xp, nullif(regexp_extract(chunk_text, {_pattern}), '') AS mc, nullif(regexp_extract(page_text, {_pattern}), '') AS mp FROM g0),
 g2 AS (SELECT *, CASE WHEN NOT ok THEN NULL WHEN xc IS NOT NULL THEN 'exact' WHEN mc IS NOT NULL THEN 'flexible' WHEN xp IS NOT NULL OR mp IS NOT NULL THEN 'same_page' END AS method FROM g1),
 gr AS (SELECT fact_id, doc_id, page_no, page_text, method IS NOT NULL AS grounded, method AS grounding_method,
-  CAST(CASE method WHEN 'exact' THEN xc + 10 WHEN 'flexible' THEN {_find("mc", "chunk_text")} + 10 WHEN 'same_page' THEN coalesce(xp, {_find("mp", "page_text")}) END AS INTEGER) AS char_start,
-  CAST(CASE method WHEN 'exact' THEN xc + 10 + length(e) WHEN 'flexible' THEN {_find("mc", "chunk_text")} + 10 + length(mc) WHEN 'same_page' THEN CASE WHEN xp IS NOT NULL THEN xp + length(e) ELSE {_find("mp", "page_text")} + length(mp) END END AS INTEGER) AS char_end,
+  CAST(CASE method WHEN 'exact' THEN xc + chunk_char_start WHEN 'flexible' THEN {_find("mc", "chunk_text")} + chunk_char_start WHEN 'same_page' THEN coalesce(xp, {_find("mp", "page_text")}) END AS INTEGER) AS char_start,
+  CAST(CASE method WHEN 'exact' THEN xc + chunk_char_start + length(e) WHEN 'flexible' THEN {_find("mc", "chunk_text")} + chunk_char_start + length(mc) WHEN 'same_page' THEN CASE WHEN xp IS NOT NULL THEN xp + length(e) ELSE {_find("mp", "page_text")} + length(mp) END END AS INTEGER) AS char_end,
   CASE WHEN ok AND coalesce(value_raw, '') <> '' THEN contains(regexp_replace(lower(e), '(?:{WS}|,)+', '', 'g'), regexp_replace(lower(value_raw), '(?:{WS}|,)+', '', 'g')) ELSE false END AS value_in_evidence FROM g2)"""
 
 LINE_CTE = f"lines AS ({adapters.LINES.strip()})"

@@ -7,13 +7,18 @@ anywhere and a lost executor costs a stage's tasks, not the run.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions.text import readable_id
 from attestor.operators import adjudication, extraction, grounding, layout, pairing, passages, resolution
+from attestor.plans import prompts
 from attestor.plans.settings import Settings
+from attestor.sources import files
+from attestor.sources import tables as tables_
 
 
 class Run:
@@ -33,12 +38,62 @@ class Run:
     def ingest(self, lines: DataFrame, tables: DataFrame) -> DataFrame:
         most = self.settings.max_pages
         keep = (lambda df: df.where(F.col("page_no") <= most)) if most else lambda df: df
-        return self.write(layout.ingested(keep(lines), keep(tables)), "pages")
+        made = self.write(layout.ingested(keep(lines), keep(tables)), "pages")
+        lost = layout.lost_lines(layout.ordered(keep(lines)), made)
+        self.fail("ingest", lost.select(F.lit("line_not_on_its_page").alias("kind"), "line_id", "text"))
+        return made
+
+    def ingest_files(self, folder: str, decoder: Callable[[bytes], dict], glob: str = "*.pdf") -> DataFrame:
+        """Ingestion of a folder's files through a decoder; files that it can't read go to failures."""
+        files_ = self.write(files.decoded(self.spark, folder, decoder, glob), "decoded")
+        made = self.ingest(files.decoded_lines(files_), files.decoded_tables(files_))
+        self.fail("decode", files_.where("error IS NOT NULL").select(F.lit("file_not_decoded").alias("kind"), "doc_id", "error"))
+        return made
+
+    def fail(self, stage: str, rows: DataFrame) -> None:
+        """Write a stage's failures: rows of kind, subject and detail."""
+        self.write(rows.toDF("kind", "subject", "detail").select(F.lit(stage).alias("stage"), "kind", "subject", F.substring("detail", 1, 1500).alias("detail")), f"failures_{stage}")
+
+    def failures(self) -> DataFrame:
+        """All failures of a run: stage, kind, subject, detail."""
+        names = [n for n in (r.name for r in tables_.catalog(self.spark, self.folder).collect()) if n.startswith("failures_")]
+        empty = self.spark.createDataFrame([], "stage string, kind string, subject string, detail string")
+        return reduce(DataFrame.unionByName, (self.read(n) for n in names), empty)
+
+    def ask(self, prompts: DataFrame) -> DataFrame:
+        """request_id, answer, error of prompts (request_id, doc_id, prompt), from the cache where it has them.
+
+        The rest is asked in rounds, and each round's answers are in the cache before the next, so a run that is cut off
+        asks nothing twice.
+        """
+        s = self.settings
+        keyed = prompts.withColumn("key", extraction.cache_key(F.lit(s.prompt_version), F.lit(s.model), F.col("prompt")))
+        errors = self.spark.createDataFrame([], "request_id string, error string")
+        if self.provider is not None:
+            misses = self.write(extraction.cache_misses(keyed, self.cache()), "misses")
+            rounds = max(1, -(-misses.count() // s.requests_per_round))
+            self.write(misses.limit(0).selectExpr("request_id", "key", "CAST(NULL AS STRING) AS answer", "CAST(NULL AS STRING) AS error"), "answers")
+            for n in range(rounds):
+                part = misses.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == n)
+                asked = extraction.answers(part, extraction.with_retries(self.provider), s.requests_per_minute, s.request_tasks)
+                asked.join(part.select("request_id", "key"), "request_id").select("request_id", "key", "answer", "error").write.mode("append").parquet(f"{self.folder}/answers")
+                got = self.read("answers").join(part.select("key").distinct(), "key", "left_semi")
+                got.where("answer IS NOT NULL").select("key", "answer").write.mode("append").parquet(f"{self.folder}/cache")
+            errors = self.read("answers").where("error IS NOT NULL").select("request_id", "error")
+        known = self.cache().groupBy("key").agg(F.first("answer").alias("answer"))
+        return keyed.select("request_id", "doc_id", "key").join(known, "key", "left").drop("key").join(errors, "request_id", "left")
+
+    def cache(self) -> DataFrame:
+        try:
+            return self.read("cache")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], "key string, answer string")
 
     def cut(self) -> DataFrame:
         made = self.write(passages.chunks(self.read("pages")), "chunks")
-        skipped = made.where("why_skipped IS NOT NULL").select(F.lit("chunk").alias("stage"), F.lit("skipped_by_prefilter").alias("kind"), F.col("chunk_id").alias("subject"), F.col("why_skipped").alias("detail"))
-        self.write(skipped, "failures_chunk")
+        self.fail("chunk", made.where("why_skipped IS NOT NULL").select(F.lit("skipped_by_prefilter"), "chunk_id", "why_skipped"))
         return made
 
     def prompts(self, document: str | None = None) -> DataFrame:
@@ -53,35 +108,24 @@ class Run:
         return extraction.prompts(self.read("requests"), chunk, self.settings.instructions)
 
     def extract(self, document: str | None = None) -> DataFrame:
-        """Ask for what the cache lacks, then read all answers into facts; what is dropped goes to failures."""
-        s = self.settings
-        keyed = self.prompts(document).withColumn("key", extraction.cache_key(F.lit(s.prompt_version), F.lit(s.model), F.col("prompt")))
-        keyed = self.write(keyed, "prompts")
-        try:
-            cache = self.read("cache")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            cache = self.spark.createDataFrame([], "key string, answer string")
-        if self.provider is not None:
-            asked = extraction.answers(extraction.cache_misses(keyed, cache), extraction.with_retries(self.provider), s.requests_per_minute, s.request_tasks)
-            got = self.write(asked.join(keyed.select("request_id", "key"), "request_id"), "answers")
-            got.where("answer IS NOT NULL").select("key", "answer").write.mode("append").parquet(f"{self.folder}/cache")
-            cache = self.read("cache")
-        answered = keyed.join(cache.groupBy("key").agg(F.first("answer").alias("answer")), "key").select("request_id", "doc_id", "answer")
-        claims = self.write(extraction.parsed(answered), "claims")
-        dropped = claims.where("complaint IS NOT NULL").select(F.lit("extract").alias("stage"), F.lit("invalid_claim").alias("kind"), F.col("request_id").alias("subject"), F.col("complaint").alias("detail"))
-        self.write(dropped, "failures_extract")
+        """Ask for what the cache lacks, then read all answers into facts; what fails or is dropped goes to failures."""
+        asked = self.write(self.prompts(document), "prompts")
+        answered = self.write(self.ask(asked), "answered")
+        claims = self.write(extraction.parsed(answered.where("answer IS NOT NULL").drop("error")), "claims")
+        invalid = claims.where("complaint IS NOT NULL").select(F.lit("invalid_claim"), "request_id", "complaint")
+        foreign = extraction.misattributed(claims, self.read("requests")).select(F.lit("passage_not_in_request"), "request_id", "chunk_id")
+        failed = answered.where("error IS NOT NULL").select(F.lit("model_call_failed"), "request_id", "error")
+        self.fail("extract", invalid.union(foreign).union(failed))
         return self.write(extraction.attributed(claims, self.read("requests"), self.read("chunks")), "facts_raw")
 
     def ground(self) -> DataFrame:
         sourced = grounding.with_sources(self.read("facts_raw").drop("grounded"), self.read("chunks"), self.read("pages"))
         checked = self.write(grounding.grounded(sourced).drop("chunk_text", "page_text", "chunk_char_start"), "facts_checked")
-        self.write(grounding.rejections(checked).select("stage", "kind", F.col("fact_id").alias("subject"), "detail"), "failures_ground")
+        self.fail("ground", grounding.rejections(checked).select("kind", "fact_id", "detail"))
         return checked
 
     def normalise(self, groups: DataFrame | None = None) -> DataFrame:
-        """Values, entities and families of grounded facts; groups: a provider's merges of family labels."""
+        """Values, entities and families of grounded facts; groups of family labels are given, else the provider is asked for them."""
         facts = self.read("facts_checked").where("grounded")
         valued = resolution.resolved_subjects(resolution.normalised(facts)).withColumn("phrase", resolution.simple_attribute(F.col("attribute_raw")))
         valued = self.write(valued.withColumn("scope_tags", resolution.scope_tags(F.col("scope_raw"))), "facts_valued")
@@ -90,16 +134,29 @@ class Run:
         self.write(resolution.entities(named), "entities")
         families = resolution.family_leaders(valued).select("phrase", F.col("leader").alias("label"))
         sizes = valued.join(families, "phrase").groupBy("label").agg(F.count(F.lit(1)).alias("n_facts"))
+        if groups is None and self.provider is not None:
+            sizes = self.write(sizes, "family_sizes")
+            merged = self.write(self.ask(prompts.merge_prompt(sizes)), "answered_families")
+            self.fail("normalise", merged.where("error IS NOT NULL").select(F.lit("family_merge_failed"), "request_id", "error"))
+            groups = prompts.merge_groups(merged)
         mapping = families.join(resolution.semantic_merge(sizes, groups), "label").select("phrase", F.col("final_label").alias("label"))
         self.write(resolution.family_rows(mapping), "attribute_families")
         full = named.join(mapping, "phrase").withColumns({"entity_id": readable_id("ent", F.col("leader")), "attribute_family": readable_id("fam", F.col("label"))})
         return self.write(full.drop("subject", "phrase", "leader", "label"), "facts")
 
     def pair(self) -> DataFrame:
-        return self.write(pairing.candidates(self.read("facts")), "candidates")
+        return self.write(pairing.candidates(self.read("facts"), self.settings.bucket_cap), "candidates")
 
     def adjudicate(self, answers: DataFrame | None = None) -> DataFrame:
-        found = self.write(adjudication.adjudicated(self.read("facts")), "verdicts")
+        """Verdicts of the candidates that pair() wrote; answers on pairs that no rule settles are given, else the provider is asked for them."""
+        candidates = self.read("candidates").select("relation_id", "fact_a", "fact_b")
+        found = self.write(adjudication.adjudicated(self.read("facts"), candidates=candidates), "verdicts")
+        if answers is None and self.provider is not None:
+            said = self.write(self.ask(prompts.adjudication_prompts(found, self.settings.model_pairs)), "answered_pairs")
+            answers = prompts.adjudication_answers(said.where("answer IS NOT NULL"))
+            invalid = said.where("answer IS NOT NULL").join(answers.select(F.col("relation_id").alias("request_id")), "request_id", "left_anti")
+            failed = said.where("error IS NOT NULL").select(F.lit("model_call_failed"), "request_id", "error")
+            self.fail("adjudicate", failed.union(invalid.select(F.lit("no_known_verdict"), "request_id", "answer")))
         return self.write(adjudication.settled(found, answers, self.settings.model_pairs), "relations")
 
     def all(self, lines: DataFrame, tables: DataFrame) -> DataFrame:

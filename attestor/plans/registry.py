@@ -36,10 +36,15 @@ def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts over facts that are parsed once and stored, as in a run of the pipeline."""
+    """Verdicts with both facts, over facts that are parsed once and stored, as in a run of the pipeline."""
     return adj.adjudicated(stored(normalised(spark, sf_dir), "facts"))
 
 
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts alone."""
+    return adj.verdicts(stored(normalised(spark, sf_dir), "facts"))
+
+
 @query(f"WITH {o.FACT_CTE} SELECT fact_id, CASE WHEN {o.trim('value_raw')} <> '' THEN {o.number('value_raw', 'unit')} END AS value, {o.multiplier('value_raw', 'unit')} AS multiplier, {o.percentage('value_raw', 'unit')} AS percentage, regexp_matches(lower(value_raw), '>|<|~|≈|\\+|approx|about|over|under') AS approximate, coalesce(currency, {o.currency('value_raw')}, {o.currency('coalesce(unit, $$$$)')}) AS currency FROM facts")
 def parse_numbers(spark, sf_dir):
     p = parsing.parse_number(F.col("value_raw"), F.col("unit"), F.col("currency"))
@@ -100,27 +105,27 @@ def pair_stats(spark, sf_dir):
 
 @query(f"WITH {o.VERDICTS} SELECT verdict, method, leaf, count(*) AS n FROM rl GROUP BY ALL")
 def verdict_leaves(spark, sf_dir):
-    return relations(spark, sf_dir).groupBy("verdict", "method", "leaf").agg(F.count(F.lit(1)).alias("n"))
+    return verdicts(spark, sf_dir).groupBy("verdict", "method", "leaf").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {o.VERDICTS} SELECT relation_id, leaf, verdict, method, bridging_fact_id FROM rl")
 def adjudicate_pairs(spark, sf_dir):
-    return relations(spark, sf_dir).select("relation_id", "leaf", "verdict", "method", "bridging_fact_id")
+    return verdicts(spark, sf_dir).select("relation_id", "leaf", "verdict", "method", "bridging_fact_id")
 
 
 @query(f"WITH {o.VERDICTS} SELECT verdict, method, count(*) AS n FROM rl GROUP BY ALL")
 def verdict_counts(spark, sf_dir):
-    return adj.verdict_counts(relations(spark, sf_dir))
+    return adj.verdict_counts(verdicts(spark, sf_dir))
 
 
 @query(f"WITH {o.VERDICTS} SELECT verdict, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM rl), 4) AS percent FROM rl GROUP BY verdict")
 def verdict_share(spark, sf_dir):
-    return adj.verdict_share(relations(spark, sf_dir))
+    return adj.verdict_share(verdicts(spark, sf_dir))
 
 
 @query(f"WITH {o.VERDICTS} SELECT relation_id, fact_a, fact_b, bridging_fact_id FROM rl WHERE bridging_fact_id IS NOT NULL")
 def derivation_proofs(spark, sf_dir):
-    return adj.proofs(relations(spark, sf_dir)).drop("explanation")
+    return adj.proofs(verdicts(spark, sf_dir))
 
 
 @query(f"WITH {o.VERDICTS} SELECT relation_id, a.doc_id = b.doc_id AS same_document FROM rl WHERE verdict = 'needs_a_judgement' ORDER BY 2, 1 LIMIT 15")

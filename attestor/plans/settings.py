@@ -6,17 +6,20 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import SparkSession
 
+from attestor.plans.prompts import EXTRACTION
+
 
 @dataclass(frozen=True)
 class Settings:
     model: str = "none"
     prompt_version: str = "v1"
-    instructions: str = "Extract claims."
+    instructions: str = EXTRACTION
     model_pairs: int = 15
     max_pages: int | None = None
     max_requests: int | None = None
     requests_per_minute: float = 12.0
     request_tasks: int = 4
+    requests_per_round: int = 500
     bucket_cap: int = 120
 
     @classmethod

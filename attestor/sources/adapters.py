@@ -36,11 +36,12 @@ SELECT concat('doc_', CAST(doc_id AS STRING)) AS doc_id, 1 AS page_no,
 FROM documents
 """
 SPARK_NOTES, DUCKDB_NOTES = "map('5', 'note five', '1', 'note one', '*', 'applies to all')", "MAP {'5': 'note five', '1': 'note one', '*': 'applies to all'}"
+#: Claims on pages of one document each; the passage is the page's second half, and some evidence stands in the first.
 CLAIMS = """
 SELECT concat('f', CAST(doc_id AS STRING)) AS fact_id, concat('doc_', CAST(doc_id AS STRING)) AS doc_id, 1 AS page_no,
-  CASE doc_id % 6 WHEN 0 THEN substr(text, 20, 60) WHEN 1 THEN concat(' ', replace(substr(text, 20, 60), ' ', '  '), ' ') WHEN 2 THEN substr(text, 1500, 50) WHEN 3 THEN replace(substr(text, 1500, 50), ' ', chr(10)) WHEN 4 THEN 'no such words 1,008' ELSE ' x ' END AS evidence_text,
-  CASE WHEN doc_id % 6 = 4 THEN '1008' ELSE substr(text, 30, 6) END AS value_raw, substr(text, 11, 800) AS chunk_text, 10 AS chunk_char_start, text AS page_text
-FROM documents
+  CASE doc_id % 6 WHEN 0 THEN substr(text, h + 20, 60) WHEN 1 THEN concat(' ', replace(substr(text, h + 20, 60), ' ', '  '), ' ') WHEN 2 THEN substr(text, CAST(floor(h / 2.0) AS INT), 50) WHEN 3 THEN replace(substr(text, CAST(floor(h / 2.0) AS INT), 50), ' ', chr(10)) WHEN 4 THEN 'no such words 1,008' ELSE ' x ' END AS evidence_text,
+  CASE WHEN doc_id % 6 = 4 THEN '1008' ELSE substr(text, h + 30, 6) END AS value_raw, substr(text, h + 1) AS chunk_text, h AS chunk_char_start, text AS page_text
+FROM (SELECT doc_id, text, CAST(floor(length(text) / 2.0) AS INT) AS h FROM documents) x
 """
 LINES = """
 SELECT concat('d', CAST(l_orderkey % 60 AS STRING)) AS doc_id, CAST(l_linenumber AS INT) AS page_no,

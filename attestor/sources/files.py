@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from attestor.operators.layout import cleaned
 
 
 def document_id(name: Column, sha256: Column) -> Column:
@@ -19,6 +25,48 @@ def scanned(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
     return named.select(document_id(F.col("filename"), F.col("sha256")).alias("doc_id"), "filename", "sha256", "path", "length")
 
 
+#: What a decoder gives for each line of text and each row of a table of a document.
+LINE = "page_no int, line_id string, text string, left double, top double, right double, bottom double, font_size double, page_width double, page_height double"
+ROW = "page_no int, table_no int, row_no int, cells array<string>"
+
+
+def decoded(spark: SparkSession, folder: str, decoder: Callable[[bytes], dict], glob: str = "*.pdf") -> DataFrame:
+    """doc_id, lines, rows, error of the files of a folder, decoded by executors a file at a time.
+
+    decoder: a file's bytes to {"lines": [...], "tables": [...]}, dicts with the names of LINE and ROW. A file that it can't read
+    gives an error in place of both, and the others go on.
+    """
+    kinds = (pa.list_(struct_of(StructType.fromDDL(LINE))), pa.list_(struct_of(StructType.fromDDL(ROW))), pa.string())
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    named = files.select(document_id(F.element_at(F.split("path", "/"), -1), F.sha2("content", 256)).alias("doc_id"), "content")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                try:
+                    got = decoder(batch.column("content")[i].as_py())
+                    out = [got.get("lines", []), got.get("tables", []), None]
+                except Exception as error:  # one unreadable file must not lose the others
+                    out = [None, None, f"{type(error).__name__}: {error}"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), *(pa.array([x], t) for x, t in zip(out, kinds, strict=True))], ["doc_id", "lines", "rows", "error"])
+
+    return named.mapInArrow(run, f"doc_id string, lines array<struct<{LINE}>>, rows array<struct<{ROW}>>, error string")
+
+
+def struct_of(fields: StructType) -> pa.DataType:
+    kinds = {"int": pa.int32(), "double": pa.float64(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+    return pa.struct([(f.name, kinds[f.dataType.simpleString()]) for f in fields])
+
+
+def decoded_lines(files: DataFrame) -> DataFrame:
+    """Lines of decoded files, their text without control characters, as ingestion takes them."""
+    return files.select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.*").withColumn("text", cleaned(F.col("text")))
+
+
+def decoded_tables(files: DataFrame) -> DataFrame:
+    return files.select("doc_id", F.explode("rows").alias("r")).select("doc_id", "r.*")
+
+
 def fresh_uploads(uploads: DataFrame, documents: DataFrame) -> DataFrame:
     """One upload of each fingerprint that no document has: the first by name."""
     first = uploads.groupBy("sha256").agg(F.min("filename").alias("filename"))

@@ -63,6 +63,24 @@ def run_script(spark: SparkSession, script: str) -> None:
             spark.sql(statement)
 
 
+def catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """name, files, bytes of the tables that a folder holds."""
+    parts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder).select("path", "length")
+    name = F.regexp_extract(F.col("path"), "/([^/]+)/(?:[^/]+=[^/]*/)*[^/]+$", 1)
+    return parts.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
+def missing_tables(spark: SparkSession, folder: str, expected: list[str]) -> list[str]:
+    """Names of expected tables that the folder lacks."""
+    there = {r.name for r in catalog(spark, folder).select("name").collect()}
+    return [n for n in expected if n not in there]
+
+
+def sampled(df: DataFrame, k: int, key: str, seed: int = 0) -> DataFrame:
+    """k rows at random, the same in every run with one seed: those whose key hashes lowest."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
+
+
 def table_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """name, n of stored tables."""
     counted = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n, p in paths.items()]
