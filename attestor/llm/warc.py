@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.work import folder, stored
+from attestor.llm.work import folder, passing, probed, stored
 
 #: Magic of the skippable frame that holds a dictionary, as the format's description has it.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -177,12 +177,16 @@ def planned(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest (hex SHA-1), response_id of every page: the smallest page_id among equal payloads.
 
     Payloads are equal if their SHA-256 and lengths are. Rows with the smallest page_id of a payload,
-    more than one if rows repeat, are responses. A null page_id is smallest only among nulls.
+    more than one if rows repeat, are responses. A null page_id is smallest only among nulls. Only payloads that may
+    occur more than once are moved.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("key", F.unhex(F.sha2("payload", 256))).withColumn("size", F.octet_length("payload"))
-    first = stored(rows.groupBy("key", "size").agg(F.min("page_id").alias("response_id")), "warc-responses")
-    return rows.join(first, ["key", "size"]).select("page_id", "url", "payload", "response_id")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("h", F.xxhash64("payload"))
+    named = lambda df: df.withColumns({"key": F.unhex(F.sha2("payload", 256)), "size": F.octet_length("payload")})
+    first = named(rows).groupBy("key", "size", "h").agg(F.min("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = stored(first, "warc-responses")
+    again = named(passing(rows, "h", first)).join(first.drop("h"), ["key", "size"], "left")
+    once = probed(rows, "h", first, "left_anti").select("page_id", "url", "payload", F.col("page_id").alias("response_id"))
+    return once.union(again.select("page_id", "url", "payload", F.coalesce("response_id", "page_id")))
 
 
 def write(pages: DataFrame) -> DataFrame:
