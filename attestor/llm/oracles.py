@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from attestor.llm import kdtree, mixing, url_trust
 
+#: Rounds of PageRank, over which what is left of a start is below 1e-7.
+ROUNDS = 104
 NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
 
 OP10 = f"""
@@ -74,7 +76,7 @@ FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents) d LEFT JOIN
 
 
 def op9() -> str:
-    """PageRank unrolled: ROUNDS steps of trust along the links and of distrust against them."""
+    """PageRank as recursive queries: ROUNDS steps of trust along the links and of distrust against them."""
     after = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END"
     ordered = sorted(url_trust.RULES, key=lambda r: (-len(r[1]) - len(r[2]), r[1], r[2]))
     case = lambda f: "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{f(v, h, p)}'" for v, h, p in ordered) + " END"
@@ -82,12 +84,11 @@ def op9() -> str:
     link = url_trust.LINK.replace("'", "''")
     steps = []
     for kind, edges, seed in (("t", "e", "allowed"), ("x", "v", "blocked")):
-        steps.append(f"{kind}s AS (SELECT host, {seed} / (SELECT sum({seed}) FROM sums) AS seed FROM sums WHERE {seed} > 0), {kind}0 AS (SELECT host, seed AS score FROM {kind}s)")
-        for i in range(1, url_trust.ROUNDS + 1):
-            steps.append(f"{kind}{i} AS (SELECT host, sum(score) AS score FROM (SELECT {edges}.dst AS host, {edges}.weight * n.score * {url_trust.DAMPING} AS score FROM {edges} JOIN {kind}{i - 1} n ON {edges}.src = n.host UNION ALL SELECT host, seed * (1 - {url_trust.DAMPING}) FROM {kind}s) GROUP BY host)")
-    r = url_trust.ROUNDS
+        steps.append(f"""{kind}s AS (SELECT host, {seed} / (SELECT sum({seed}) FROM sums) AS seed FROM sums WHERE {seed} > 0),
+{kind} AS (SELECT 0 AS i, host, seed AS score FROM {kind}s UNION ALL SELECT i + 1, host, sum(score) FROM (SELECT n.i, l.dst AS host, l.weight * n.score * 0.85 AS score FROM {edges} l JOIN {kind} n ON l.src = n.host WHERE n.i < {ROUNDS}
+  UNION ALL SELECT n.i, s.host, s.seed * 0.15 FROM {kind}s s, (SELECT DISTINCT i FROM {kind} WHERE i < {ROUNDS}) n) GROUP BY i, host)""")
     return f"""
-WITH u AS (SELECT page_id, html, {after} AS rest FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, html, {after} AS rest FROM pages),
 h AS (SELECT page_id, html, coalesce({lower.format("regexp_extract(rest, '^([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
 j AS (SELECT *, {case(lambda v, h, p: v)} AS own, {case(lambda v, h, p: h + p)} AS rule FROM h),
 sums AS (SELECT host, CAST(count(*) FILTER (WHERE own = 'allow') AS DOUBLE) AS allowed, CAST(count(*) FILTER (WHERE own = 'block') AS DOUBLE) AS blocked FROM j WHERE host <> '' GROUP BY host),
@@ -95,7 +96,7 @@ links AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, {lower.format
 e AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS weight FROM links),
 v AS (SELECT dst AS src, src AS dst, weight / sum(weight) OVER (PARTITION BY dst) AS weight FROM e),
 {", ".join(steps)},
-bad AS (SELECT host FROM (SELECT host, score AS trust, 0.0 AS distrust FROM t{r} UNION ALL SELECT host, 0.0, score FROM x{r}) GROUP BY host HAVING sum(distrust) - sum(trust) > {url_trust.MARGIN})
+bad AS (SELECT host FROM (SELECT host, score AS trust, 0.0 AS distrust FROM t WHERE i = {ROUNDS} UNION ALL SELECT host, 0.0, score FROM x WHERE i = {ROUNDS}) GROUP BY host HAVING sum(distrust) - sum(trust) > {url_trust.MARGIN})
 SELECT page_id, j.host, path, rule, coalesce(own, CASE WHEN bad.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN bad ON j.host = bad.host
 """
 
