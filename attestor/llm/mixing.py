@@ -88,6 +88,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as it is taken, with the columns of docs."""
+    """The mix itself: each row as often as it is taken, with the columns of docs.
+
+    Nulls, empty texts, repeated rows and ties are as in planned(). An empty table stays empty.
+    """
     again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     return planned(docs).where("copies > 0").select("row", again.alias("copy")).select("row.*")

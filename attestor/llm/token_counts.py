@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.work import pieces
+from attestor.llm.work import pieces, small_batches
 
 MARK = "▁"
 PARTS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -93,5 +93,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array([count(t, counts) for t in batch.column("text").to_pylist()], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return sized.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

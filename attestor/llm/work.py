@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of 64 bits of a membership filter: its broadcast never has more rows than this.
 FILTER_WORDS = 1 << 20
+#: Rows that a worker is handed at once.
+BATCH_ROWS = 1024
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new, unique folder path below spark.checkpoint.dir. Where that is unset, a temporary one in local mode and an error on a cluster."""
+    """A new, unique folder path below spark.checkpoint.dir, which is deleted when the application ends.
+
+    Where that is unset, a temporary one in local mode and an error on a cluster.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.gettempdir()}/attestor-{spark.sparkContext.applicationId}"
-    return f"{root.rstrip('/')}/attestor/{name}-{uuid.uuid4().hex}"
+        root = f"file://{tempfile.gettempdir()}"
+    own = f"{root.rstrip('/')}/attestor-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
@@ -30,11 +43,20 @@ def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have the session hand workers few rows at a time, where it was left at Spark's default: texts may be long, and both sides hold whole batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def pieces(batches, rows: int = 256):
-    """Arrow batches in slices of few rows, so that a worker holds few texts at a time as Python objects."""
+    """Arrow batches in slices of few rows, so that a worker holds few texts at a time as Python objects. At the end what was freed goes back to the system."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def filter_of(members: DataFrame, column: str) -> DataFrame:
