@@ -10,6 +10,7 @@ case, and its pattern; special tokens inside a text are found first.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import sys
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from attestor.llm.work import pieces
+from attestor.llm.work import pieces, small_batches
 
-WORD_MEMO = 150_000
+WORD_MEMO = 120_000
+#: Pairs of tokens whose test is kept, beyond those of one batch.
+PAIR_MEMO = 400_000
 PAIR_BASE = 1 << 20
-#: Words of more letters are merged one by one.
+#: Words of more letters are merged one by one, the others together.
 LONG = 40
 #: Below this character, lower case is all that normalisation changes, and classes of characters are certain.
 SIMPLE = re.compile("[^\x00-ɏ]")
@@ -43,7 +46,7 @@ def byte_letters() -> list[str]:
 
 
 class Words(dict):
-    """Distinct words to ids as bytes, and in `texts` to their tokens joined by spaces.
+    """Distinct words to ids as bytes.
 
     Filled for whole batches by speculate-and-verify. Two generations of WORD_MEMO words bound the memory and
     keep what recurs.
@@ -55,7 +58,7 @@ class Words(dict):
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"]
-        self.names = {i: t for t, i in self.vocab.items()}
+        self.names = {i: t for t, i in self.vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.ranks = {self.vocab[a] * PAIR_BASE + self.vocab[b]: r for r, (a, b) in enumerate(model["merges"])}
         self.results = [self.vocab[a + b] for a, b in model["merges"]]
         self.rank_keys = np.array(sorted(self.ranks), np.int64)
@@ -67,8 +70,7 @@ class Words(dict):
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.table = (np.zeros(0, np.int64), np.zeros(0, bool))
-        self.texts: dict[str, str] = {}
-        self.old: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
+        self.old: dict[str, bytes] = {}
         self.tried = self.failed = 0
         # Only tokens whose own letters merge to them can be proposed: those that end a word, and the others by prefix.
         self.last: dict[str, int] = {}
@@ -84,21 +86,26 @@ class Words(dict):
                 self.prefixes[letters] = i
                 for n in range(1, len(letters)):
                     self.prefixes.setdefault(letters[:n], -1)
+        self.longest = max(map(len, self.last), default=0)
 
     def merged(self, symbols: list[int]) -> list[int]:
-        """Exact merging: the lowest-ranked adjacent pair first, the leftmost of equals."""
-        rank, none = self.ranks.get, len(self.results)
-        ids = list(symbols)
-        near = [rank(a * PAIR_BASE + b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while near and (least := min(near)) < none:
-            i = near.index(least)
-            ids[i : i + 2] = [new := self.results[least]]
-            del near[i]
-            if i:
-                near[i - 1] = rank(ids[i - 1] * PAIR_BASE + new, none)
-            if i < len(near):
-                near[i] = rank(new * PAIR_BASE + ids[i + 1], none)
-        return ids
+        """Exact merging: the lowest-ranked adjacent pair first, the leftmost of equals. A heap of pairs over a linked list, n log n in the letters."""
+        rank, none, ids, n = self.ranks.get, len(self.results), list(symbols), len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (r := rank(a * PAIR_BASE + b, none)) < none]
+        heapq.heapify(heap)
+        while heap:
+            least, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:  # one of the two has been merged since
+                continue
+            ids[i], ids[j], after[i] = self.results[least], -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for left, right in ((before[i], i), (i, after[i])):
+                if left >= 0 and right < n and (r := rank(ids[left] * PAIR_BASE + ids[right], none)) < none:
+                    heapq.heappush(heap, (r, left, ids[left], ids[right]))
+        return [t for t in ids if t >= 0]
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, that of no merge where there is none."""
@@ -156,7 +163,7 @@ class Words(dict):
     def proposed(self, spelled: str) -> list[int]:
         """Greedy longest match; the last token carries the end of the word."""
         out, i, n, last, prefixes = [], 0, len(spelled), self.last, self.prefixes
-        while (token := last.get(spelled[i:])) is None:
+        while (token := last.get(spelled[i:]) if n - i <= self.longest else None) is None:
             j, longest = i + 1, i
             while j < n and (found := prefixes.get(spelled[i:j])) is not None:
                 if found >= 0:
@@ -192,9 +199,10 @@ class Words(dict):
         at = np.searchsorted(known, unique)
         new = unique[(at == len(known)) | (known[np.minimum(at, max(len(known) - 1, 0))] != unique)] if len(known) else unique
         if len(new):
-            merged = np.concatenate([known, new])
-            order = np.argsort(merged)
-            self.table = known, good = merged[order], np.concatenate([good, self.pairs_stand(new)])[order]
+            if len(known) + len(new) > PAIR_MEMO:  # starts anew with this batch's pairs
+                known, good, new = known[:0], good[:0], unique
+            at = np.searchsorted(known, new)
+            self.table = known, good = np.insert(known, at, new), np.insert(good, at, self.pairs_stand(new))
         owner = np.repeat(np.arange(len(words)), lengths)
         failed = np.zeros(len(words), bool)
         if len(keys):
@@ -204,10 +212,8 @@ class Words(dict):
         wrong = np.flatnonzero(failed).tolist()
         for i, ts in zip(wrong, self.merged_all([self.symbols(spelled[i], True) for i in wrong]), strict=True):
             ids[i] = ts
-        names, texts = self.names.__getitem__, self.texts
         for w, ts in zip(words, ids, strict=True):
             self[w] = pack(f"<{len(ts)}I", *ts)
-            texts[w] = " ".join(map(names, ts))
 
     def parts(self, text: str) -> list[str]:
         """The words that the tokenizer's normaliser and pattern make of a text without special tokens."""
@@ -220,13 +226,13 @@ class Words(dict):
     def know(self, words: set[str]) -> None:
         """Have all these words in this generation."""
         if len(self) > WORD_MEMO:
-            self.old, self.texts = (dict(self), self.texts), {}
+            self.old = dict(self)
             self.clear()
-        ids, texts = self.old
+        old = self.old
         missing = list(filterfalse(self.__contains__, words))  # set operations with the dictionary's keys would visit all of them
-        for w in filter(ids.__contains__, missing):
-            self[w], self.texts[w] = ids[w], texts[w]
-        if new := list(filterfalse(ids.__contains__, missing)):
+        for w in filter(old.__contains__, missing):
+            self[w] = old[w]
+        if new := list(filterfalse(old.__contains__, missing)):
             self.learn(new)
 
     def encoded(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
@@ -234,10 +240,10 @@ class Words(dict):
         pieces = [self.special_parts.split(t) if t and self.special_parts and any(s in t for s in self.special) else [t or ""] for t in texts]
         cut = [[p if p in self.special else self.parts(p) for p in row if p] for row in pieces]
         self.know(set().union(*(p for row in cut for p in row if isinstance(p, list))))
-        out = []
+        out, name = [], self.names.__getitem__
         for row in cut:
-            ids = [self.special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(map(self.__getitem__, p)) for p in row]
-            out.append((b"".join(ids), " ".join([p if isinstance(p, str) else " ".join(map(self.texts.__getitem__, p)) for p in row if p])))
+            ids = b"".join([self.special[p].to_bytes(4, "little") if isinstance(p, str) else b"".join(map(self.__getitem__, p)) for p in row])
+            out.append((ids, " ".join(map(name, np.frombuffer(ids, "<u4").tolist()))))
         return out
 
 
@@ -258,6 +264,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             got = words.encoded(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.frombuffer(b, "<u4").astype("int32") for b, _ in got], pa.list_(pa.int32())), pa.array([t for _, t in got], pa.string())], ["doc_id", "ids", "decoded"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
@@ -278,4 +285,5 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
