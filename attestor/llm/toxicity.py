@@ -28,23 +28,29 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.work import pieces, stored
+from attestor.llm.work import pieces, small_batches, stored
 
 TRAIN_POSITIVE = 12_000
 TRAIN_NEGATIVE = 12_000
 LENGTHS = (4, 5, 6, 7, 8)
+BACKWARDS = LENGTHS[::-1]
 #: Pseudo-counts of the tight and the diffuse prior, and the diffuse one's share.
 TIGHT, DIFFUSE, DIFFERS = 500.0, 1.0, 1e-3
 TOLERANCE = 0.02
 DRIFT = 0.3
 #: Evidence beyond this says no more: rows with wrong labels would bend the curve.
 ENOUGH = 20.0
+#: What near copies among the labelled rows are told by.
+MINIMA, SHINGLE = 2, 5
 #: Largest number of segments expected by chance of a passage that is reported.
 SIGNIFICANT = 0.01
 THRESHOLD = 0.7
+#: Holds the curve's slope down where the classes are apart, so that its middle lies between them.
+RIDGE = 5.0
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Ends the key of a whole token.
@@ -112,7 +118,12 @@ class Scores(dict):
         self.held = held
 
     def __missing__(self, token: str) -> float:
-        s = next((self.held[key] for key in reversed(contexts(token)) if key in self.held), 0.0) - DRIFT
+        held = self.held
+        s = held.get(token + END)
+        for n in BACKWARDS if s is None else ():
+            if n <= len(token) and (s := held.get(token[:n])) is not None:
+                break
+        s = (s or 0.0) - DRIFT
         if len(self) > 150_000:
             self.clear()
         self[token] = s
@@ -200,9 +211,9 @@ def lexicon(counted: DataFrame, toxic: str, clean: str) -> dict[str, float]:
 
 
 def karlin_lambda(histogram: Counter) -> float:
-    """The positive root of E[exp(lambda s)] = 1 over a histogram of clean token scores, within 0.05 to 4."""
+    """The positive root of E[exp(lambda s)] = 1 over a histogram of clean token scores, within 0.05 to 16."""
     s, n = np.array(list(histogram), float), np.array(list(histogram.values()), float)
-    lo, hi = 0.05, 4.0
+    lo, hi = 0.05, 16.0
     if not len(s) or s.max() <= 0:
         return 1.0
     for _ in range(60):
@@ -231,7 +242,7 @@ def probability(total, curve: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(features(np.atleast_1d(np.asarray(total, float))) @ curve, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
     """Weighted logistic regression by Newton steps, with a ridge on all but the constant."""
     w, penalty = np.zeros(x.shape[1]), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
     for _ in range(50):
@@ -244,11 +255,29 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 def sampled(spark: SparkSession, docs: DataFrame, known: DataFrame) -> DataFrame:
-    """text, toxic, part (0 to 2) of the rows to learn from: each text once, toxic if any of its rows is."""
+    """text, toxic, part (0 to 2) of the rows to learn from: each text once, toxic if any of its rows is, and one of each set of near copies.
+
+    Near copies would count a rare token as often as they are copied. They are told by minima of hashed shingles: a text that
+    shares one of MINIMA minima with another is learnt from only if it comes first, by hash, among those that share it.
+    """
     chosen = [r for y, most in ((1, TRAIN_POSITIVE), (0, TRAIN_NEGATIVE)) for r in known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     picked = spark.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int")
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text IS NOT NULL").groupBy("text").agg(F.max("toxic").alias("toxic"))
-    return texts.withColumn("part", F.pmod(F.xxhash64("text", F.lit("part")), F.lit(3)))
+    multipliers = [np.uint64(xxhash.xxh64_intdigest(b"copy %d" % i) | 1) for i in range(MINIMA)]
+
+    def run(batches):
+        for batch in pieces(batches):
+            keys = []
+            for text in batch.column("text").to_pylist():
+                words = text.lower().split()
+                n = max(len(words) - SHINGLE, 0) + 1
+                hashed = np.fromiter((xxhash.xxh64_intdigest(" ".join(words[i : i + SHINGLE]).encode("utf-8", "surrogatepass")) for i in range(n)), np.uint64, n)
+                keys.append([int((x := hashed * m, x ^ x >> np.uint64(29))[1].min().view(np.int64)) for m in multipliers])
+            yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(keys, pa.list_(pa.int64()))], ["text", "toxic", "keys"])
+
+    keyed = stored(texts.mapInArrow(run, "text string, toxic int, keys array<long>").withColumn("at", F.xxhash64("text")), "toxicity-texts")
+    copies = keyed.select("at", F.posexplode("keys")).groupBy("pos", "col").agg(F.min("at").alias("first"), F.collect_set("at").alias("of")).select("first", F.explode("of").alias("at")).where("at <> first").select("at").distinct()
+    return keyed.join(copies, "at", "left_anti").select("text", "toxic", F.pmod(F.xxhash64("text", F.lit("part")), F.lit(3)).alias("part"))
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict | None:
@@ -257,6 +286,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> dict | None:
     Labels with a null or another value are left out; repeated labels of a doc_id count as toxic if any is. Rows with equal
     texts are learnt from once, null texts not at all. Ties of the hash that chooses rows go to the smaller doc_id.
     """
+    small_batches(spark)
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
@@ -329,6 +359,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
                 ["doc_id", "score", "predicted", "n_tokens", "passages"],
             )
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -353,4 +384,5 @@ def filtered(docs: DataFrame, model: dict | None) -> DataFrame:
         for batch in pieces(batches):
             yield batch.filter(pa.array(judged(batch, scores, m)[0] < THRESHOLD, pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
