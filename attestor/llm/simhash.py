@@ -15,15 +15,16 @@ within one bit of both, and no such meeting point has more than 65 members.
 from __future__ import annotations
 
 from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.llm.components import components
-from attestor.llm.work import passing, pieces, stored
+from attestor.llm.work import passing, pieces, small_batches, stored, without
 
 PIVOTS = 16
 RADIUS = 2
@@ -36,6 +37,7 @@ BANDS, ROWS = 8, 3
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"minimum %d" % i, SEED) | 1 for i in range(BANDS * ROWS)], np.uint64)
 #: Of the table that orders shingles.
 BUCKETS = 1 << 18
+COUNT_BITS = 44
 BUCKET_MULTIPLIER = np.uint64(xxhash.xxh64_intdigest(b"bucket", SEED) | 1)
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
@@ -46,8 +48,10 @@ def hashes_of(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, "<u8")
-    grams = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    return np.array([xxhash.xxh64_intdigest(g, seed) for g in grams], dtype="<u8")
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], "<u8")
+    grams = map(b" ".join, zip(*(islice(words, i, None) for i in range(shingle)), strict=False))
+    return np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), "<u8", len(words) - shingle + 1)
 
 
 def fingerprint_of(hashes: np.ndarray) -> int:
@@ -71,6 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             fps = np.array([fingerprint_of(hashes_of(t, shingle, seed)) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
@@ -133,72 +138,65 @@ def keys_of(shingles: np.ndarray) -> list[int]:
     return [int(k) for k in np.array(keys, np.uint64).view(np.int64)]
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sets of shingles, each its distinct hashes in order."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
+def similar(a: str, b: str, least: Fraction):
+    """Whether two columns of distinct shingle hashes have a Jaccard similarity of at least `least`, in whole numbers."""
+    both = F.size(F.array_intersect(a, b))
+    return both * least.denominator >= (F.size(a) + F.size(b) - both) * least.numerator
 
 
 def keyed(docs: DataFrame, shingle: int) -> DataFrame:
-    """node, doc_id, fp, keys, same (a hash of the set of shingles) of every row with words. docs: node, doc_id, text."""
+    """node, doc_id, fp, keys, same (a hash of the set of shingles) of every row with words. docs: node, doc_id, text.
+
+    Rows with a null `same` hold how many shingles a task found in buckets of hashes, in keys: bucket and number in one long.
+    """
 
     def run(batches):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["node", "doc_id", "fp", "same", "keys"])
+        crowd = np.zeros(BUCKETS, np.int64)
         for batch in pieces(batches):
             rows = []
             for node, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("node", "doc_id", "text")), strict=True):
                 if len(h := hashes_of(text, shingle)):
                     same = xxhash.xxh64_intdigest((u := np.unique(h)).tobytes(), SEED)
                     rows.append((node, doc_id, *np.array([fingerprint_of(h), same], np.uint64).view(np.int64).tolist(), keys_of(u)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["node", "doc_id", "fp", "same", "keys"])
+                    np.add.at(crowd, bucketed(u), 1)
+            yield made(rows)
+        if len(at := np.flatnonzero(crowd)):
+            yield made([(None, None, None, None, (at << COUNT_BITS) + crowd[at])])
 
     return docs.select("node", "doc_id", "text").mapInArrow(run, "node long, doc_id long, fp long, same long, keys array<long>")
 
 
 def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
-    """node, shingles (distinct hashes in order, eight bytes each) of every row with words. Made anew where needed: stored, they would be larger than the texts."""
+    """node, shingles (distinct hashes) of every row with words. Made anew where needed: stored for all, they would be larger than the texts."""
 
     def run(batches):
-        for batch in pieces(batches):
-            sets = [np.unique(hashes_of(t, shingle)).tobytes() for t in batch.column("text").to_pylist()]
-            made = pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
-            yield made.filter(pa.array([len(x) > 0 for x in sets], pa.bool_()))
+        for batch in pieces(batches, 64):
+            sets = [np.unique(hashes_of(t, shingle)).view(np.int64) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), made], ["node", "shingles"]).filter(pa.array(np.diff(ends) > 0))
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
 
 def node_of(docs: DataFrame):
     return F.xxhash64(docs.doc_id, docs.text)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least `least`. Only sets of nodes in pairs are moved."""
     nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash-paired")
     sets = stored(sets_of(passing(texts.select("node", "text"), "node", nodes), shingle).join(nodes, "node").groupBy("node").agg(F.first("shingles").alias("shingles")), "simhash-nodes")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    return both.where(similar("sa", "sb", least)).select("a", "b")
 
-    def run(batches):
-        for batch in batches:
-            for part in pieces([batch]):
-                close = [similarity(x, y) >= least for x, y in zip(part.column("sa").to_pylist(), part.column("sb").to_pylist(), strict=True)]
-                yield part.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def crowding(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles in each of BUCKETS buckets of hashes: a table of fixed size that puts shingles of many texts last."""
 
-    def run(batches):
-        n = np.zeros(BUCKETS, np.int64)
-        for batch in pieces(batches):
-            for text in batch.column("text").to_pylist():
-                np.add.at(n, bucketed(np.unique(hashes_of(text, shingle))), 1)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["bucket", "n"])
-
-    found = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+def crowding(keys: DataFrame) -> np.ndarray:
+    """Shingles in each of BUCKETS buckets of hashes, from keyed(): a table of fixed size that puts shingles of many texts last."""
+    counted = keys.where("same IS NULL").select(F.explode("keys").alias("x")).select(F.shiftright("x", COUNT_BITS).alias("bucket"), F.col("x").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).alias("n"))
+    found = counted.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return out
@@ -215,9 +213,9 @@ def prefix_of(shingles: np.ndarray, table: np.ndarray, least: Fraction) -> np.nd
     return shingles[order[: n - -(-n * least.numerator // least.denominator) + 1]]
 
 
-def prefixes(texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+def prefixes(texts: DataFrame, shingle: int, least: Fraction, crowd: np.ndarray) -> DataFrame:
     """token, node, size (of the set), at (place in the order) of all shingles of the prefixes."""
-    shared = texts.sparkSession.sparkContext.broadcast(crowding(texts, shingle))
+    shared = texts.sparkSession.sparkContext.broadcast(crowd)
 
     def run(batches):
         for part in pieces(batches, 64):
@@ -230,54 +228,62 @@ def prefixes(texts: DataFrame, shingle: int, least: Fraction) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "token long, node long, size long, at long")
 
 
-def pairs_apart(texts: DataFrame, shingle: int, roots: DataFrame, least: Fraction) -> DataFrame:
+def pairs_apart(texts: DataFrame, shingle: int, roots: DataFrame, least: Fraction, crowd: np.ndarray) -> DataFrame:
     """All pairs (a, b) of nodes under different roots that can have a similarity of at least `least`, and some that don't.
 
-    Exact: two such sets have a first common shingle in both prefixes, and what follows it in either is enough
-    for the overlap. Shingles of one root only are left out before anything is paired.
+    Exact, as two sets of sizes m and n with such a similarity s have at least s / (1 + s) (m + n) common shingles. The first of them is in
+    both prefixes. Of a prefix only shingles that another root has too can be common, so a set counts for what it has of them and for what
+    follows its prefix, and from the first common shingle on both sets must have that many left. Pairs meet where that holds, so the
+    more of its prefix a set has for itself, the fewer pairs it makes.
     """
-    first = stored(prefixes(texts, shingle, least), "simhash-prefixes")
+    first = stored(prefixes(texts, shingle, least, crowd), "simhash-prefixes")
     ends = lambda c: (F.min(c).alias("lo"), F.max(c).alias("hi"))
     shared = stored(first.groupBy("token").agg(*ends("node")).where("lo <> hi").select("token"), "simhash-tokens")
-    meeting = stored(passing(first, "token", shared).join(shared, "token"), "simhash-meeting")
+    meeting = passing(first, "token", shared).join(shared, "token")
     rooted = stored(meeting.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "simhash-rooted")
-    between = stored(rooted.groupBy("token").agg(*ends("root")).where("lo <> hi").select("token"), "simhash-between")
-    apart = stored(rooted.join(between, "token").distinct(), "simhash-apart")
+    counts = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
+    between = counts.groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("major"), *ends("root")).where("lo <> hi").select("token", "major")
     p, q = least.numerator, least.denominator
-    rest = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
-    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (rest * (p + q) >= (F.col("a.size") + F.col("b.size")) * p)
-    return stored(apart.alias("a").join(apart.alias("b"), on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "simhash-apart-pairs")
-
-
-def similar_pairs(rows: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    after = F.floor((F.col("size") * p + q - 1) / q) - 1
+    of_node = Window.partitionBy("node")
+    apart = rooted.join(stored(between, "simhash-between"), "token").distinct()
+    rest = F.count(F.lit(1)).over(of_node.orderBy(F.desc("at"), "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + after
+    apart = apart.select("token", "node", "root", "major", "size", rest.alias("rest")).where(F.col("rest") * q >= F.col("size") * p)
+    apart = stored(apart, "simhash-apart")
+    enough = lambda common, m, n: common * (p + q) >= (F.col(m) + F.col(n)) * p
+    # Nodes of a token's largest root are met by the others only, so a large group that shares a few shingles is never paired with itself.
+    other = (F.col("b.root") == F.col("b.major")) | (F.col("a.node") < F.col("b.node"))
+    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & other & enough(F.least("a.rest", "b.rest"), "a.size", "b.size")
+    met = apart.where("root <> major").alias("a").join(apart.alias("b"), on)
+    return stored(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), "simhash-apart-pairs")
+
+
+def similar_pairs(rows: DataFrame, texts: DataFrame, shingle: int, least: Fraction, crowd: np.ndarray) -> DataFrame:
     """Links (a, b) that connect exactly the nodes with a similarity of at least `least`, directly or through others.
 
-    Most are found in blocks: equal sets are compared with the first of them; in a block of up to BLOCK nodes all that pass
-    the pivot table are compared with each other, in a larger one each with four leaders, the node nearest to the block's majority
-    fingerprint and three that hashes pick. Blocks only save work: whatever they leave apart is paired by pairs_apart.
+    Most are found first, so that groups of copies are one root before anything is paired: equal sets are compared with the
+    first of them, and in a block each node with two leaders, the one nearest to the block's majority
+    fingerprint and one that a hash picks, unless the pivot table discards the pair. That only
+    saves work: whatever it leaves apart is paired by pairs_apart.
     """
-    thin = rows.select("node", "fp", *pivot_distances(), F.explode("keys").alias("block"))
-    sizes = stored(thin.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "simhash-sizes")
-    blocked = stored(thin.join(sizes, "block"), "simhash-bands")
-    a, b = (blocked.where(F.col("size") <= BLOCK).alias(x) for x in "ab")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.node") < F.col("b.node")) & within(STAGE_RADIUS)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    crowd = blocked.where(F.col("size") > BLOCK)
+    thin = rows.select("node", "fp", F.explode("keys").alias("block"))
+    shared = stored(thin.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block"), "simhash-shared")
+    thin = stored(passing(thin, "block", shared).join(shared, "block"), "simhash-blocks")
     bit = lambda i: F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))
-    sums = crowd.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *(F.sum(bit(i)).alias(f"s{i}") for i in range(64)))
+    sums = thin.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *(F.sum(bit(i)).alias(f"s{i}") for i in range(64)))
     middle = sums.select("block", sum((F.when(F.col(f"s{i}") * 2 > F.col("n"), F.lit(int(np.uint64(1 << i).view(np.int64)))).otherwise(0) for i in range(1, 64)), F.when(F.col("s0") * 2 > F.col("n"), F.lit(1)).otherwise(0)).alias("middle"))
-    whole = F.struct("node", "fp", *(f"p{i}" for i in range(PIVOTS)))
-    off = F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
-    picks = [F.min_by(whole, F.struct(off, F.col("node"))), *(F.min_by(whole, F.xxhash64("node", F.lit(i))) for i in range(3))]
-    middle = stored(middle, "simhash-middles")
-    leaders = crowd.join(middle, "block").groupBy("block").agg(F.array_distinct(F.array(*picks)).alias("l")).select("block", F.explode("l").alias("l")).select("block", "l.*")
-    leaders = stored(leaders, "simhash-leaders")
-    x, y = crowd.alias("a"), leaders.alias("b")
-    stars = x.join(y, (F.col("a.block") == F.col("b.block")) & (F.col("a.node") != F.col("b.node")) & within(STAGE_RADIUS)).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+    met = thin.join(stored(middle, "simhash-middles"), "block")
+    whole, off = F.struct("node", "fp"), F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
+    picks = [F.min_by(whole, F.struct(off, F.col("node"))), F.min_by(whole, F.xxhash64("node"))]
+    leaders = met.groupBy("block").agg(F.array_distinct(F.array(*picks)).alias("l")).select("block", F.explode("l").alias("l")).select("block", "l.*")
+    leaders = stored(leaders.select("block", "node", "fp", *pivot_distances()), "simhash-leaders")
+    on = (F.col("a.block") == F.col("b.block")) & (F.col("a.node") != F.col("b.node")) & within(STAGE_RADIUS)
+    stars = thin.select("block", "node", "fp", *pivot_distances()).alias("a").join(leaders.alias("b"), on).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
     firsts = stored(rows.groupBy("same").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("same", "a"), "simhash-firsts")
     equal = rows.select("node", "same").join(firsts, "same").where("node <> a").select("a", F.col("node").alias("b"))
-    found = stored(pairs.union(stars).union(equal).distinct(), "simhash-pairs")
+    found = stored(stars.union(equal).distinct(), "simhash-pairs")
     links = stored(verified(found, texts, shingle, least), "simhash-links")
-    apart = pairs_apart(texts, shingle, stored(components(links, "simhash-components"), "simhash-linked"), Fraction(str(least)))
+    apart = pairs_apart(texts, shingle, stored(components(links, "simhash-components"), "simhash-linked"), least, crowd)
     return links.union(verified(apart, texts, shingle, least))
 
 
@@ -291,9 +297,11 @@ def kept_of_near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.
     doc_id and text stay or go together; a null doc_id yields to any other.
     """
     texts = docs.select(node_of(docs).alias("node"), "doc_id", "text")
-    rows = stored(keyed(texts, shingle), "simhash-keys")
-    roots = stored(components(similar_pairs(rows, texts, shingle, least), "simhash-components"), "simhash-roots")
+    small_batches(docs.sparkSession)
+    keys = stored(keyed(texts, shingle), "simhash-keys")
+    rows = keys.where("same IS NOT NULL")
+    roots = stored(components(similar_pairs(rows, texts, shingle, Fraction(str(least)), crowding(keys)), "simhash-components"), "simhash-roots")
     named = rows.select("node", "doc_id").distinct().join(roots, "node")
     stay = stored(named.groupBy("root").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("stay")), "simhash-stay")
     gone = stored(roots.join(stay, "root").where("node <> stay").select("node").distinct(), "simhash-gone")
-    return docs.join(gone, node_of(docs) == gone.node, "left_anti")
+    return without(docs, node_of(docs), gone, "node")

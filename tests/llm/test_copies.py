@@ -110,8 +110,8 @@ def test_one_of_each_near_group_stays(spark, monkeypatch):
     rows, group = planted()
     df = spark.createDataFrame([*rows, (500, None, "src", 0.0), (501, "", "s", 0.0)], DOCS + ", node string, sketch double")
     want = sorted([min(i for i in group if group[i] == g) for g in set(group.values())] + [500, 501])
-    for block in (simhash.BLOCK, 2):  # also where all groups are crowded
-        monkeypatch.setattr(simhash, "BLOCK", block)
+    for radius in (simhash.STAGE_RADIUS, -1):  # also where no block links anything, so that the prefix filter finds all pairs
+        monkeypatch.setattr(simhash, "STAGE_RADIUS", radius)
         kept = simhash.kept_of_near_duplicates(df)
         assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == want
 
@@ -135,6 +135,21 @@ def test_similarity_is_exact_at_the_limit(spark):
     assert sorted(r.doc_id for r in simhash.kept_of_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()) == want
 
 
+def test_recall_of_pairs_from_the_limit_up(spark):
+    """Similarities of 0.7 to 1 over texts of one base each, which share a passage with all others: every pair from 0.8 on is found."""
+    rng, rows = random.Random(31), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(80)]
+    for g in range(60):
+        base = [*passage, *(word() for _ in range(rng.randint(20, 300)))]
+        for c in range(rng.randint(1, 6)):
+            t = list(base)
+            for _ in range(round(len(t) * rng.choice([0, 0.01, 0.02, 0.025, 0.03, 0.04])) if c else 0):
+                t[rng.randrange(len(t))] = word()
+            rows.append((len(rows), " ".join(t)))
+    assert sorted(r.doc_id for r in simhash.kept_of_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()) == kept_by_hand(rows)
+
+
 def crowded(seed=21):
     """150 texts that share 85 % of their shingles (0.74 alike), and near copies of 40 of them."""
     rng = random.Random(seed)
@@ -160,28 +175,29 @@ def test_every_near_copy_is_found_where_blocks_are_crowded(spark, monkeypatch):
 
 
 def exact_by_hand(rows):
-    groups = defaultdict(list)
+    """Rows of groups() in any order, and the normalised text, identifier and size of each that stays."""
+    groups, out, stay = defaultdict(list), [], []
     for i, t in rows:
         groups[SPACE.sub("", t or "")].append((-len(t or ""), i is None, i or 0, i))
-    out = {}
     for normal, members in groups.items():
-        size, _, _, keep = min(members)
-        for s, _, _, i in members:
-            out.setdefault((i, s), []).append((keep, len(members), i == keep and s == size, hashlib.sha256(normal.encode()).hexdigest()))
-    return out
+        members.sort()
+        for place, (size, _, _, i) in enumerate(members):
+            out.append((i, members[0][3], len(members), place == 0, hashlib.sha256(normal.encode()).hexdigest()))
+            if not place:
+                stay.append((normal, i, -size))
+    return Counter(out), sorted(stay)
 
 
-ROWS = [(1, "a b"), (2, "ab"), (3, "a  b"), (4, "a\tb "), (5, None), (6, ""), (7, " \n"), (8, "é\u00a0"), (9, "é"), (10, "ab"), (10, "ab"), (None, "a  b"), (11, "x" * 50000), (12, "x" * 50000), (3, "other"), (13, "oth er")]
+ROWS = [(1, "a b"), (2, "ab"), (3, "a  b"), (4, "a\tb "), (5, None), (6, ""), (7, " \n"), (8, "é\u00a0"), (9, "é"), (10, "ab"), (10, "ab"), (None, "a  b"), (11, "x" * 50000), (12, "x" * 50000), (3, "other"), (13, "oth er"), (13, "ot her"), (13, "oth er"), (20, "q r"), (20, "q\tr"), (21, "qr")]
 
 
-def check_exact(spark):
-    df = spark.createDataFrame([(*r, "z") for r in ROWS], DOCS + ", digest string")
-    want = exact_by_hand(ROWS)
-    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_index.groups(df).collect())
-    assert got == Counter((i, *v) for (i, _), vs in want.items() for v in vs)
+def check_exact(spark, rows=ROWS):
+    df = spark.createDataFrame([(*r, "z", True) for r in rows], DOCS + ", digest string, row boolean")
+    want, stay = exact_by_hand(rows)
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_index.groups(df).collect()) == want
     kept = exact_index.distinct_documents(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted({(i, t) for i, t in ROWS if want[(i, -len(t or ""))][0][2]}, key=str) or Counter(SPACE.sub("", r.text or "") for r in kept.collect()).most_common(1)[0][1] == 1
+    assert sorted((SPACE.sub("", r.text or ""), r.doc_id, len(r.text or "")) for r in kept.collect()) == stay
 
 
 def test_exact(spark):
@@ -190,33 +206,62 @@ def test_exact(spark):
 
 def test_exact_survives_collisions(spark, monkeypatch):
     """With a digest of one byte most texts collide; byte verification has to tell them apart."""
-    plain = exact_index.digested
     rows = [(i, f"text {i % 12}" + " " * (i % 3)) for i in range(40)]
     df = spark.createDataFrame(rows, DOCS)
-    monkeypatch.setattr(exact_index, "digested", lambda d: plain(d).withColumn("digest", F.substring(F.sha1("normal").cast("binary"), 1, 1)))
-    want = {i: v[0][:3] for (i, _), v in exact_by_hand(rows).items()}
-    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_index.groups(df).collect()} == want
+    monkeypatch.setattr(exact_index.F, "sha2", lambda c, n: F.hex(F.substring(F.sha1(c), 1, 1)))
+    want = {(r[0], *r[1:4]) for r in exact_by_hand(rows)[0]}
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_index.groups(df).collect()} == want
+
+
+def test_later_runs_meet_an_older_level(spark):
+    rows = [(i, f"text {i % 70}" + " " * (i % 5)) for i in range(400)]
+    parts = [spark.createDataFrame([r for r in rows if r[0] % 3 == k], DOCS) for k in range(3)]
+    level = None
+    for part in parts:
+        level = exact_index.compacted(exact_index.flushed(part), level)
+    whole = exact_index.compacted(exact_index.flushed(spark.createDataFrame(rows, DOCS)))
+    plain = lambda df: sorted((bytes(r.digest), r.best.less, r.best.doc_id, r.group_size) for r in df.collect())
+    assert plain(level) == plain(whole) and len(plain(level)) == 70
 
 
 def lines_by_hand(rows):
     tokens = lambda line: ["<*>" if re.search("[0-9]", t) else t for t in SPACE.split(line) if t]
-    leaf = lambda t: (len(t), tuple(t[: line_templates.DEPTH]))
-    docs, shapes = defaultdict(set), {}
-    for i, text in rows:
+
+    def paths(t):
+        half = 4 + (len(t) - 4) // 2
+        return [("whole", *t)] + ([("first", len(t), *t[:half]), ("second", len(t), *t[:4], "..", *t[half:])] if len(t) >= 8 else [])
+
+    texts = defaultdict(set)
+    for _, text in rows:
         for line in (text.split("\n") if text is not None else []):
-            if t := tokens(line):
-                docs[leaf(t)].add(i)
-                old = shapes.setdefault(leaf(t), list(t))
-                shapes[leaf(t)] = [a if a == b else "<*>" for a, b in zip(old, t, strict=True)]
-    gone = {k for k, d in docs.items() if len(d) >= line_templates.LEAST_DOCUMENTS and sum(x != "<*>" for x in shapes[k]) >= len(shapes[k]) * line_templates.SIMILARITY}
+            for path in paths(tokens(line)) if tokens(line) else []:
+                texts[path].add(text)
+    gone = {p for p, d in texts.items() if len(d) >= (2 if p[0] == "whole" and len(p) > 51 else 10)}
     out = []
     for i, text in rows:
         all_ = text.split("\n") if text is not None else []
-        kept = [x for x in all_ if not (tokens(x) and leaf(tokens(x)) in gone)]
+        kept = [x for x in all_ if not (tokens(x) and gone.intersection(paths(tokens(x))))]
         out.append((i, len(all_), len(all_) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest() if text is not None else None))
     return sorted(out, key=str)
 
 
+def test_a_stray_line_shields_nothing(spark):
+    """A licence line in 26 texts, a stray line of its length and first words, a notice whose end varies, a long passage in two texts and in copies of one."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    licence = " ".join(word() for _ in range(17))
+    stray = " ".join(licence.split()[:4] + [word() for _ in range(13)])
+    passage, alone = (" ".join(word() for _ in range(60)) for _ in range(2))
+    rows = [(i, "\n".join([word(), licence, f"Sent from the office of {word()} {word()} by {word()}"])) for i in range(26)]
+    rows += [(100, stray), (101, passage + "\nx"), (102, "y\n" + passage), (103, alone), (104, alone)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.n_dropped for r in line_templates.digest(df).collect()}
+    assert [got[i] for i in range(26)] == [1] * 26 and [got[i] for i in range(100, 105)] == [0, 1, 1, 0, 0]
+    notes = spark.createDataFrame([(i, f"Sent from the office of the mayor {word()} {word()} {word()} {i}") for i in range(12)], DOCS)
+    assert [r.n_dropped for r in line_templates.digest(notes).collect()] == [1] * 12
+    assert [(r.template, r.documents) for r in line_templates.templates(notes).collect()] == [("11 Sent from the office of the mayor ..", 12)]
+
+
 def test_lines(spark):
     rng = random.Random(4)
     rows = []
