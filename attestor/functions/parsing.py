@@ -60,11 +60,14 @@ def bound(x: Column, use) -> Column:
 
 def scale_of(x: Column) -> Column:
     """Multiplier of the first scale, in the order of the table, with a word that has no ASCII letter beside it; 1 if none."""
-    return bound(F.lower(x), lambda low: first_of([(low.rlike(f"(?<![a-z])(?:{w})(?![a-z])"), F.lit(m)) for m, w in SCALES], F.lit(1.0)))
+    alone = lambda words: f"(?<![a-z])(?:{words})(?![a-z])"
+    none = lambda low: ~low.rlike(alone("|".join(w for _, w in SCALES)))
+    return bound(F.lower(x), lambda low: first_of([(none(low), F.lit(1.0)), *((low.rlike(alone(w)), F.lit(m)) for m, w in SCALES)], F.lit(1.0)))
 
 
 def currency_of(x: Column) -> Column:
-    return bound(F.lower(x), lambda low: first_of([(low.rlike(f"(?U){w}"), F.lit(c)) for c, w in CURRENCIES], F.lit(None).cast("string")))
+    none = lambda low: ~low.rlike("(?U)" + "|".join(w for _, w in CURRENCIES))
+    return bound(F.lower(x), lambda low: first_of([(none(low), F.lit(None).cast("string")), *((low.rlike(f"(?U){w}"), F.lit(c)) for c, w in CURRENCIES)], F.lit(None).cast("string")))
 
 
 def parse_number(value: Column, unit: Column, currency: Column | None = None) -> Column:

@@ -40,42 +40,36 @@ def regions(text: Column) -> Column:
     return bound(marks, cut)
 
 
-def tight(text: Column, start: Column, end: Column) -> Column:
-    """Span (start, end, words) without white space at its ends."""
+def tight(piece: Column, start: Column) -> Column:
+    """Span (start, end, words) of a piece that begins at start, without white space at its ends."""
+    lead = F.length(piece) - F.length(F.regexp_replace(piece, r"(?U)^\s+", ""))
+    body = F.length(F.regexp_replace(piece, r"(?U)^\s+|\s+$", ""))
+    return bound(F.struct((start + lead).cast("int").alias("start"), body.cast("int").alias("n"), word_count(piece).alias("words")), lambda s: F.struct(s["start"], (s["start"] + s["n"]).alias("end"), s["words"]))
 
-    def fit(s: Column) -> Column:
-        lead = F.length(s) - F.length(F.regexp_replace(s, r"(?U)^\s+", ""))
-        body = F.length(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
-        return F.struct((start + lead).cast("int").alias("start"), (start + lead + body).cast("int").alias("end"), word_count(s).alias("words"))
 
-    return bound(part(text, start, end), fit)
-
-
-def running(pieces: Column, start: Column, gap: int) -> Column:
-    """Array of (start, end) of consecutive pieces with `gap` characters between them."""
-    state = F.struct(start.cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    step = lambda s, p: F.struct((s["at"] + F.length(p) + gap).cast("int").alias("at"), F.array_append(s["out"], F.struct(s["at"].alias("start"), (s["at"] + F.length(p)).cast("int").alias("end"))).alias("out"))
-    return F.aggregate(pieces, state, step)["out"]
+def spans(pieces: Column, start: Column, gap: int) -> Column:
+    """Spans of consecutive pieces with `gap` characters between them; those without words go."""
+    state = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda s, p: F.struct((s["at"] + F.length(p) + gap).cast("int").alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
+    return bound(pieces, lambda ps: F.filter(F.zip_with(ps, F.aggregate(ps, state, step)["out"], tight), lambda s: s["words"] > 0))
 
 
 def paragraphs(text: Column, start: Column, end: Column) -> Column:
     """Spans of paragraphs, parted by blank lines; empty ones go."""
-    spans = running(F.split(part(text, start, end), "\n\n"), start, 2)
-    return F.filter(F.transform(spans, lambda s: tight(text, s["start"], s["end"])), lambda s: s["words"] > 0)
+    return spans(F.split(part(text, start, end), "\n\n"), start, 2)
 
 
 def sentences(text: Column, span: Column) -> Column:
     """Spans of a paragraph's sentences."""
-    spans = running(F.regexp_extract_all(part(text, span["start"], span["end"]), F.lit(SENTENCE), 0), span["start"], 0)
-    return F.filter(F.transform(spans, lambda s: tight(text, s["start"], s["end"])), lambda s: s["words"] > 0)
+    return spans(F.regexp_extract_all(part(text, span["start"], span["end"]), F.lit(SENTENCE), 0), span["start"], 0)
 
 
-def broken(text: Column, spans: Column) -> Column:
+def broken(text: Column, of: Column) -> Column:
     """Spans with those of too many words replaced by their sentences."""
-    return F.flatten(F.transform(spans, lambda s: F.when(s["words"] > PARAGRAPH_WORDS, sentences(text, s)).otherwise(F.array(s))))
+    return F.flatten(F.transform(of, lambda s: F.when(s["words"] > PARAGRAPH_WORDS, sentences(text, s)).otherwise(F.array(s))))
 
 
-def packed(spans: Column, most: int = PASSAGE_WORDS) -> Column:
+def packed(of: Column, most: int = PASSAGE_WORDS) -> Column:
     """Consecutive spans joined greedily while their words stay within `most`."""
     state = F.struct(F.array().cast(SPAN).alias("out"), F.lit(None).cast("struct<start:int,end:int,words:int>").alias("now"))
 
@@ -84,7 +78,7 @@ def packed(spans: Column, most: int = PASSAGE_WORDS) -> Column:
         fits = s["now"].isNotNull() & (s["now"]["words"] + p["words"] <= most)
         return F.when(s["now"].isNull(), F.struct(s["out"].alias("out"), p.alias("now"))).when(fits, F.struct(s["out"].alias("out"), grown.alias("now"))).otherwise(F.struct(F.array_append(s["out"], s["now"]).alias("out"), p.alias("now")))
 
-    return F.aggregate(spans, state, step, lambda s: F.when(s["now"].isNull(), s["out"]).otherwise(F.array_append(s["out"], s["now"])))
+    return F.aggregate(of, state, step, lambda s: F.when(s["now"].isNull(), s["out"]).otherwise(F.array_append(s["out"], s["now"])))
 
 
 def header(heading: Column, notes: Column, text: Column, kind: Column) -> Column:
@@ -116,9 +110,9 @@ def chunks(pages: DataFrame) -> DataFrame:
     pages: doc_id, page_no, raw_text, section_heading, footnotes. Passages are numbered through a page.
     """
     text = F.col("raw_text")
-    spans = lambda r: F.transform(packed(broken(text, paragraphs(text, r["start"], r["end"]))), lambda s: F.struct(r["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    cuts = lambda r: F.transform(packed(broken(text, paragraphs(text, r["start"], r["end"]))), lambda s: F.struct(r["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     there = pages.where(F.regexp_replace(F.coalesce("raw_text", F.lit("")), r"(?U)\s+", "") != "")
-    cut = there.select("doc_id", "page_no", "raw_text", "section_heading", "footnotes", F.posexplode(F.flatten(F.transform(regions(text), spans))).alias("n", "s"))
+    cut = there.select("doc_id", "page_no", "raw_text", "section_heading", "footnotes", F.posexplode(F.flatten(F.transform(regions(text), cuts))).alias("n", "s"))
     cut = cut.withColumn("text", part(text, F.col("s.start"), F.col("s.end"))).withColumn("why_skipped", why_skipped(F.col("text")))
     head = header(F.col("section_heading"), F.col("footnotes"), F.col("text"), F.col("s.kind"))
     return cut.select(

@@ -9,13 +9,21 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written below spark.checkpoint.dir and read again. Where that is unset, a temporary folder in local mode and an error on a cluster."""
+    """df, written below spark.checkpoint.dir and read again; the folder is deleted when the application ends.
+
+    Where that is unset, a temporary folder in local mode and an error on a cluster.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.gettempdir()}/attestor-{spark.sparkContext.applicationId}"
-    path = f"{root.rstrip('/')}/attestor/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        root = f"file://{tempfile.gettempdir()}"
+    own = f"{root.rstrip('/')}/attestor-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    at = f"{own}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
