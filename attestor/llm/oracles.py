@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from attestor.llm import kdtree, mixing, url_trust
-
 #: Rounds of PageRank, over which what is left of a start is below 1e-7.
 ROUNDS = 104
 NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')"
@@ -15,7 +13,7 @@ FROM n WINDOW w AS (PARTITION BY normal ORDER BY size DESC, doc_id NULLS LAST RO
 """
 
 OP7 = f"""
-WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({kdtree.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
   FROM s q JOIN s c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
@@ -43,17 +41,16 @@ def op8() -> str:
   THEN ((SELECT tot FROM total) - coalesce(sum(CASE WHEN most <= weight * {last}.lv THEN most END), 0)) / sum(CASE WHEN most > weight * {last}.lv THEN weight END) ELSE {last}.lv END FROM w)) AS lv FROM {last})""")
         last = f"l{i}"
     u = lambda seed: f"(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || {seed}), 1, 8) AS BIGINT) / 4294967296.0)"
-    weights = ", ".join(f"{x}.0" for x in mixing.WEIGHTS)
     return f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
-w AS (SELECT source, source_size, source_size * {mixing.CAP} AS most, CAST(list_extract([{weights}], CAST(place % {len(mixing.WEIGHTS)} AS INTEGER) + 1) AS DOUBLE) AS weight FROM s),
-total AS (SELECT CAST(sum(source_size) AS DOUBLE) * {mixing.SHARE} AS tot FROM w),
+w AS (SELECT source, source_size, source_size * 2.0 AS most, CAST(list_extract([3.0, 1.0, 2.0], CAST(place % 3 AS INTEGER) + 1) AS DOUBLE) AS weight FROM s),
+total AS (SELECT CAST(sum(source_size) AS DOUBLE) * 1.5 AS tot FROM w),
 l0 AS (SELECT (SELECT tot FROM total) / (SELECT sum(weight) FROM w) AS lv),
 {", ".join(steps)},
 t AS (SELECT source, source_size, least(most, weight * lv) AS target, CASE WHEN source_size > 0 THEN least(most, weight * lv) / source_size ELSE 0.0 END AS rate FROM w, {last}),
 c AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-k AS (SELECT source, seed, abs(sum(size * (floor(rate) + CASE WHEN {u("seed")} < rate - floor(rate) THEN 1 ELSE 0 END)) - first(target)) AS off FROM c, (SELECT CAST(range AS VARCHAR) AS seed FROM range({mixing.SEEDS})) GROUP BY source, seed),
+k AS (SELECT source, seed, abs(sum(size * (floor(rate) + CASE WHEN {u("seed")} < rate - floor(rate) THEN 1 ELSE 0 END)) - first(target)) AS off FROM c, (SELECT CAST(range AS VARCHAR) AS seed FROM range(16)) GROUP BY source, seed),
 b AS (SELECT source, first(seed ORDER BY off, CAST(seed AS INTEGER)) AS seed FROM k GROUP BY source)
 SELECT c.doc_id, c.size, c.source_size, c.target, CAST(c.size * (floor(c.rate) + CASE WHEN {u("b.seed")} < c.rate - floor(c.rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source
@@ -78,10 +75,10 @@ FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents) d LEFT JOIN
 def op9() -> str:
     """PageRank as recursive queries: ROUNDS steps of trust along the links and of distrust against them."""
     after = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END"
-    ordered = sorted(url_trust.RULES, key=lambda r: (-len(r[1]) - len(r[2]), r[1], r[2]))
+    ordered = (("allow", "www.example.com", "/en/"), ("block", "example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"), ("allow", "com", "/"))
     case = lambda f: "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{f(v, h, p)}'" for v, h, p in ordered) + " END"
-    lower = f"translate({{}}, '{url_trust.UPPER}', '{url_trust.LOWER}')"
-    link = url_trust.LINK.replace("'", "''")
+    lower = f"translate({{}}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    link = r"""(?i)(?:href|src)\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)"""
     steps = []
     for kind, edges, seed in (("t", "e", "allowed"), ("x", "v", "blocked")):
         steps.append(f"""{kind}s AS (SELECT host, {seed} / (SELECT sum({seed}) FROM sums) AS seed FROM sums WHERE {seed} > 0),
@@ -96,7 +93,7 @@ links AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, {lower.format
 e AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS weight FROM links),
 v AS (SELECT dst AS src, src AS dst, weight / sum(weight) OVER (PARTITION BY dst) AS weight FROM e),
 {", ".join(steps)},
-bad AS (SELECT host FROM (SELECT host, score AS trust, 0.0 AS distrust FROM t WHERE i = {ROUNDS} UNION ALL SELECT host, 0.0, score FROM x WHERE i = {ROUNDS}) GROUP BY host HAVING sum(distrust) - sum(trust) > {url_trust.MARGIN})
+bad AS (SELECT host FROM (SELECT host, score AS trust, 0.0 AS distrust FROM t WHERE i = {ROUNDS} UNION ALL SELECT host, 0.0, score FROM x WHERE i = {ROUNDS}) GROUP BY host HAVING sum(distrust) - sum(trust) > 0.000002)
 SELECT page_id, j.host, path, rule, coalesce(own, CASE WHEN bad.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN bad ON j.host = bad.host
 """
 
