@@ -1,7 +1,8 @@
 """DuckDB expressions and common table expressions that the oracle queries share.
 
 They are written against DuckDB's own functions (no look-behind, ASCII classes), not translated
-from the Column expressions, so that the two check each other.
+from the Column expressions, so that the two check each other. Thresholds are written out here; fixed word lists and
+patterns are those of the functions, whose golden cases tests/test_parsing.py holds.
 """
 
 from __future__ import annotations
