@@ -34,6 +34,7 @@ SEED = 42
 #: Of the stage: bits that pairs of the least similarity may differ in in a block, keys of blocks.
 STAGE_RADIUS = 20
 BANDS, ROWS = 8, 3
+JURY = 32
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(b"minimum %d" % i, SEED) | 1 for i in range(BANDS * ROWS)], np.uint64)
 #: Of the table that orders shingles.
 BUCKETS = 1 << 18
@@ -214,7 +215,7 @@ def prefix_of(shingles: np.ndarray, table: np.ndarray, least: Fraction) -> np.nd
 
 
 def prefixes(texts: DataFrame, shingle: int, least: Fraction, crowd: np.ndarray) -> DataFrame:
-    """token, node, size (of the set), at (place in the order) of all shingles of the prefixes."""
+    """token, node, size (of the set), at (place in the order), end (number by which the prefix's last shingle is ordered) of all shingles of the prefixes."""
     shared = texts.sparkSession.sparkContext.broadcast(crowd)
 
     def run(batches):
@@ -222,19 +223,20 @@ def prefixes(texts: DataFrame, shingle: int, least: Fraction, crowd: np.ndarray)
             members = [np.unique(hashes_of(t, shingle)) for t in part.column("text").to_pylist()]
             firsts = [prefix_of(x, shared.value, least) if len(x) else x for x in members]
             n = [len(x) for x in firsts]
-            columns = np.concatenate(firsts).view(np.int64), np.repeat(part.column("node").to_numpy(), n), np.repeat([len(x) for x in members], n), np.concatenate([np.arange(k) for k in n])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "node", "size", "at"])
+            ends = [int(shared.value[bucketed(x[-1:])][0]) if len(x) else 0 for x in firsts]
+            columns = np.concatenate(firsts).view(np.int64), np.repeat(part.column("node").to_numpy(), n), np.repeat([len(x) for x in members], n), np.concatenate([np.arange(k) for k in n]), np.repeat(ends, n)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "node", "size", "at", "end"])
 
-    return texts.select("node", "text").mapInArrow(run, "token long, node long, size long, at long")
+    return texts.select("node", "text").mapInArrow(run, "token long, node long, size long, at long, end long")
 
 
 def pairs_apart(texts: DataFrame, shingle: int, roots: DataFrame, least: Fraction, crowd: np.ndarray) -> DataFrame:
     """All pairs (a, b) of nodes under different roots that can have a similarity of at least `least`, and some that don't.
 
     Exact, as two sets of sizes m and n with such a similarity s have at least s / (1 + s) (m + n) common shingles. The first of them is in
-    both prefixes. Of a prefix only shingles that another root has too can be common, so a set counts for what it has of them and for what
-    follows its prefix, and from the first common shingle on both sets must have that many left. Pairs meet where that holds, so the
-    more of its prefix a set has for itself, the fewer pairs it makes.
+    both prefixes, and from it on both sets must have that many left. Of the two, take the one whose prefix ends earlier in the order: a shingle
+    of its prefix that the other has stands in the other's prefix too, so shingles of its prefix that no other root's prefix holds aren't common and don't count.
+    The more rare shingles a set has for itself, the fewer pairs it makes. Shingles of one root only are left out before anything is paired.
     """
     first = stored(prefixes(texts, shingle, least, crowd), "simhash-prefixes")
     ends = lambda c: (F.min(c).alias("lo"), F.max(c).alias("hi"))
@@ -248,12 +250,12 @@ def pairs_apart(texts: DataFrame, shingle: int, roots: DataFrame, least: Fractio
     of_node = Window.partitionBy("node")
     apart = rooted.join(stored(between, "simhash-between"), "token").distinct()
     rest = F.count(F.lit(1)).over(of_node.orderBy(F.desc("at"), "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + after
-    apart = apart.select("token", "node", "root", "major", "size", rest.alias("rest")).where(F.col("rest") * q >= F.col("size") * p)
-    apart = stored(apart, "simhash-apart")
+    apart = stored(apart.select("token", "node", "root", "major", "size", "end", (F.col("size") - F.col("at")).alias("all"), rest.alias("rest")), "simhash-apart")
     enough = lambda common, m, n: common * (p + q) >= (F.col(m) + F.col(n)) * p
+    left = [F.when(F.col(f"{x}.end") < F.col(f"{y}.end"), F.col(f"{x}.rest")).otherwise(F.col(f"{x}.all")) for x, y in ("ab", "ba")]
     # Nodes of a token's largest root are met by the others only, so a large group that shares a few shingles is never paired with itself.
     other = (F.col("b.root") == F.col("b.major")) | (F.col("a.node") < F.col("b.node"))
-    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & other & enough(F.least("a.rest", "b.rest"), "a.size", "b.size")
+    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & other & enough(F.least(*left), "a.size", "b.size")
     met = apart.where("root <> major").alias("a").join(apart.alias("b"), on)
     return stored(met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct(), "simhash-apart-pairs")
 
@@ -262,21 +264,20 @@ def similar_pairs(rows: DataFrame, texts: DataFrame, shingle: int, least: Fracti
     """Links (a, b) that connect exactly the nodes with a similarity of at least `least`, directly or through others.
 
     Most are found first, so that groups of copies are one root before anything is paired: equal sets are compared with the
-    first of them, and in a block each node with two leaders, the one nearest to the block's majority
-    fingerprint and one that a hash picks, unless the pivot table discards the pair. That only
+    first of them, and in a block each node with two leaders, the middle one of
+    JURY members that hashes pick and the first of them, unless the pivot table discards the pair. That only
     saves work: whatever it leaves apart is paired by pairs_apart.
     """
     thin = rows.select("node", "fp", F.explode("keys").alias("block"))
     shared = stored(thin.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block"), "simhash-shared")
     thin = stored(passing(thin, "block", shared).join(shared, "block"), "simhash-blocks")
-    bit = lambda i: F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))
-    sums = thin.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *(F.sum(bit(i)).alias(f"s{i}") for i in range(64)))
-    middle = sums.select("block", sum((F.when(F.col(f"s{i}") * 2 > F.col("n"), F.lit(int(np.uint64(1 << i).view(np.int64)))).otherwise(0) for i in range(1, 64)), F.when(F.col("s0") * 2 > F.col("n"), F.lit(1)).otherwise(0)).alias("middle"))
-    met = thin.join(stored(middle, "simhash-middles"), "block")
-    whole, off = F.struct("node", "fp"), F.bit_count(F.col("fp").bitwiseXOR(F.col("middle")))
-    picks = [F.min_by(whole, F.struct(off, F.col("node"))), F.min_by(whole, F.xxhash64("node"))]
-    leaders = met.groupBy("block").agg(F.array_distinct(F.array(*picks)).alias("l")).select("block", F.explode("l").alias("l")).select("block", "l.*")
-    leaders = stored(leaders.select("block", "node", "fp", *pivot_distances()), "simhash-leaders")
+    few = thin.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("node"), "node"))).where(F.col("r") <= JURY)
+    jury = few.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("r", "node", "fp"))).alias("j"))
+    far = lambda x: F.aggregate("j", F.lit(0), lambda s, y: s + F.bit_count(x["fp"].bitwiseXOR(y["fp"])))
+    middle = F.array_min(F.transform("j", lambda x: F.struct(far(x).alias("far"), x["node"].alias("node"), x["fp"].alias("fp"))))
+    first = F.get("j", F.lit(0))
+    both = F.array_distinct(F.array(F.struct(middle["node"].alias("node"), middle["fp"].alias("fp")), F.struct(first["node"].alias("node"), first["fp"].alias("fp"))))
+    leaders = stored(jury.select("block", F.explode(both).alias("l")).select("block", "l.*").select("block", "node", "fp", *pivot_distances()), "simhash-leaders")
     on = (F.col("a.block") == F.col("b.block")) & (F.col("a.node") != F.col("b.node")) & within(STAGE_RADIUS)
     stars = thin.select("block", "node", "fp", *pivot_distances()).alias("a").join(leaders.alias("b"), on).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
     firsts = stored(rows.groupBy("same").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("same", "a"), "simhash-firsts")

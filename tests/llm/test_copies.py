@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -123,8 +124,10 @@ def kept_by_hand(rows):
     return sorted(i for i, _ in rows if up.get(i, i) == i)
 
 
-def test_similarity_is_exact_at_the_limit(spark):
+@pytest.mark.parametrize("radius", [simhash.STAGE_RADIUS, -1])  # also where blocks link nothing, so that the prefix filter finds all pairs
+def test_similarity_is_exact_at_the_limit(spark, monkeypatch, radius):
     """Pairs a little over and a little under 0.8: an estimate takes some for the other kind."""
+    monkeypatch.setattr(simhash, "STAGE_RADIUS", radius)
     rng, rows = random.Random(12), []
     for i in range(60):
         base = [f"w{rng.randrange(10**9)}" for _ in range(604)]
@@ -135,8 +138,10 @@ def test_similarity_is_exact_at_the_limit(spark):
     assert sorted(r.doc_id for r in simhash.kept_of_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()) == want
 
 
-def test_recall_of_pairs_from_the_limit_up(spark):
+@pytest.mark.parametrize("radius", [simhash.STAGE_RADIUS, -1])
+def test_recall_of_pairs_from_the_limit_up(spark, monkeypatch, radius):
     """Similarities of 0.7 to 1 over texts of one base each, which share a passage with all others: every pair from 0.8 on is found."""
+    monkeypatch.setattr(simhash, "STAGE_RADIUS", radius)
     rng, rows = random.Random(31), []
     word = lambda: f"w{rng.randrange(10**6)}"
     passage = [word() for _ in range(80)]
