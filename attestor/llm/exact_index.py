@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.work import passing, probed, stored, without
+from attestor.llm.work import passing, probed, stored, whole, without
 
 SPACES = r"[\x20\x09-\x0D]+"
 RUN = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000", "parquet.enable.dictionary#digest": "false"}
@@ -108,5 +108,5 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     again = rows.where("kept")
     if again.isEmpty():
         return left
-    packed = docs.select(F.struct(*docs.columns).alias("row"), pair(docs.doc_id, F.xxhash64(text_of(docs))).alias("pair"))
+    packed = docs.select(whole(docs).alias("row"), pair(docs.doc_id, F.xxhash64(text_of(docs))).alias("pair"))
     return left.union(passing(packed, "pair", again).join(again.select("pair"), "pair").dropDuplicates(["pair"]).select("row.*"))

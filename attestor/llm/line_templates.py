@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.work import passing, probed, stored
+from attestor.llm.work import passing, probed, stored, whole
 
 DEPTH = 4
 LEAST_REST = 4
@@ -87,7 +87,7 @@ def dropped(docs: DataFrame) -> DataFrame:
     kept = stored(recurring(lines), "lines-templates")
     hits = passing(lines.select("key", "at", "h", "c"), "h", kept).join(kept.select("h", "c"), ["h", "c"]).select("key", "at").distinct()
     marked = stored(hits.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("gone")), "lines-marked")
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    packed = docs.select(whole(docs).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
     joined = passing(packed, "key", marked).join(marked.hint("merge"), "key", "left")
     joined = joined.union(probed(packed, "key", marked, "left_anti").select("key", "row", F.lit(None).cast("array<int>").alias("gone")))
     joined = joined.select("row", "gone", F.split("row.text", "\n").alias("lines"))

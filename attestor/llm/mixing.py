@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.work import stored
+from attestor.llm.work import stored, whole
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -75,7 +75,7 @@ def planned(docs: DataFrame) -> DataFrame:
     seeds = drawn.select("source", F.array_min(off)["seed"].cast("string").alias("seed"))
     plan = stored(rates.join(seeds, rates.source.eqNullSafe(seeds.source)).select(rates.source.alias("key"), "source_size", "target", "rate", "seed"), "mixing-plan")
     few = plan.limit(10_001).count() <= 10_000
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source")
+    packed = docs.select(whole(docs).alias("row"), "doc_id", "source")
     named = packed.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("key")))
     return named.withColumn("copies", (F.floor("rate") + (uniform(F.col("seed")) < fraction).cast("int")).cast("long")).drop("key", "seed")
 

@@ -80,8 +80,13 @@ def passing(df: DataFrame, column: str, members: DataFrame) -> DataFrame:
     return probed(df, column, members, "left_semi")
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns of df as one struct, whatever their names."""
+    return F.struct(*("`" + c.replace("`", "``") + "`" for c in df.columns))
+
+
 def without(df: DataFrame, hashed: Column, gone: DataFrame, column: str) -> DataFrame:
     """Rows of df whose hash isn't among gone's column of hashes; all columns. Only rows that pass the filter of gone are moved."""
-    packed = df.select(F.struct(*df.columns).alias("row"), hashed.alias(column))
+    packed = df.select(whole(df).alias("row"), hashed.alias(column))
     left = probed(packed, column, gone, "left_anti").select("row")
     return left.union(passing(packed, column, gone).join(gone.select(column).distinct(), column, "left_anti").select("row")).select("row.*")

@@ -109,7 +109,7 @@ def planted(n=120):
 
 def test_one_of_each_near_group_stays(spark, monkeypatch):
     rows, group = planted()
-    df = spark.createDataFrame([*rows, (500, None, "src", 0.0), (501, "", "s", 0.0)], DOCS + ", node string, sketch double")
+    df = spark.createDataFrame([*rows, (500, None, "src", 0.0), (501, "", "s", 0.0)], DOCS + ", node string, `a.b` double")
     want = sorted([min(i for i in group if group[i] == g) for g in set(group.values())] + [500, 501])
     for radius in (simhash.STAGE_RADIUS, -1):  # also where no block links anything, so that the prefix filter finds all pairs
         monkeypatch.setattr(simhash, "STAGE_RADIUS", radius)
@@ -197,7 +197,7 @@ ROWS = [(1, "a b"), (2, "ab"), (3, "a  b"), (4, "a\tb "), (5, None), (6, ""), (7
 
 
 def check_exact(spark, rows=ROWS):
-    df = spark.createDataFrame([(*r, "z", True) for r in rows], DOCS + ", digest string, row boolean")
+    df = spark.createDataFrame([(*r, "z", True, 1) for r in rows], DOCS + ", digest string, row boolean, `a.b` int")
     want, stay = exact_by_hand(rows)
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_index.groups(df).collect()) == want
     kept = exact_index.distinct_documents(df)
@@ -276,6 +276,6 @@ def test_lines(spark):
         rng.shuffle(lines)
         rows.append((i, "\n".join(lines)))
     rows += [(50, None), (51, ""), (52, "\n\n"), (53, "x " * 20000), (3, "Copyright 5 by the author number 9"), (None, "Licensed under v9"), (0, rows[0][1])]
-    df = spark.createDataFrame([(*r, [1]) for r in rows], DOCS + ", lines array<int>")
+    df = spark.createDataFrame([(*r, [1], 2) for r in rows], DOCS + ", lines array<int>, `a.b` int")
     assert sorted((tuple(r) for r in line_templates.digest(df).select("doc_id", "n_lines", "n_dropped", "text_sha256").collect()), key=str) == lines_by_hand(rows)
     assert line_templates.dropped(df).count() == len(rows)
