@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions.text import collapsed, trimmed
+from attestor.sources.scratch import stored
 
 # Fixed values.
 FURNITURE_FONT = 9.0
@@ -210,8 +211,9 @@ def page_texts(placed: DataFrame, kept: DataFrame, notes: DataFrame) -> DataFram
     tables = kept.groupBy(*PAGE, "table_no").agg(joined(None, ["row_no"], "line", "\n").alias("lines"))
     tables = tables.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_no", "lines"))), lambda s: F.concat(F.lit("TABLE "), s["table_no"].cast("string"), F.lit("\n"), s["lines"])), "\n\n").alias("tables"))
     noted = notes.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("marker", "body"))), lambda s: F.concat(F.lit("("), s["marker"], F.lit(") "), s["body"])), "\n").alias("notes"))
-    pages = prose.select(*PAGE).union(tables.select(*PAGE)).union(noted.select(*PAGE)).distinct()
-    all_ = pages.join(prose, PAGE, "left").join(tables, PAGE, "left").join(noted, PAGE, "left")
+    none = F.lit(None).cast("string")
+    every = prose.select(*PAGE, "prose", none.alias("tables"), none.alias("notes")).union(tables.select(*PAGE, none, "tables", none)).union(noted.select(*PAGE, none, none, "notes"))
+    all_ = every.groupBy(*PAGE).agg(*(F.max(c).alias(c) for c in ("prose", "tables", "notes")))
     sections = F.array(F.when(trimmed(F.col("prose")) != "", F.col("prose")), F.concat(F.lit(TABLES_MARK + "\n"), "tables"), F.concat(F.lit(FOOTNOTES_MARK + "\n"), "notes"))
     return all_.select(*PAGE, F.array_join(F.array_compact(sections), "\n\n").alias("raw_text"))
 
@@ -225,15 +227,16 @@ def block_texts(lines: DataFrame, block: DataFrame) -> DataFrame:
 
 def ingested(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """doc_id, page_no, raw_text, section_heading, footnotes of pages: the whole chain from lines and raw tables."""
-    flow = ordered(lines)
+    flow = stored(ordered(lines), "flow")
     noted = footnote_lines(flow)
-    notes = footnotes(noted)
-    prose = flow.join(noted.select(*PAGE, "pos"), [*PAGE, "pos"], "left_anti")
-    shaped = block_texts(prose, blocks(prose))
+    notes = stored(footnotes(noted), "notes")
+    prose = stored(flow.join(noted.select(*PAGE, "pos"), [*PAGE, "pos"], "left_anti"), "prose")
+    block = stored(blocks(prose), "blocks")
+    shaped = block_texts(prose, block)
     spoken = shaped.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda s: s["text"]), " ").alias("text"))
-    kept = kept_tables(tables, spoken)
+    kept = stored(kept_tables(tables, spoken), "tables")
     left = without_table_lines(prose, kept)
-    shaped = reading_order(block_texts(left, blocks(prose)), "block")
+    shaped = reading_order(block_texts(left, block), "block")
     texts = page_texts(shaped, kept, notes)
     heads = headings(flow).withColumnRenamed("heading", "section_heading")
     maps = notes.groupBy(*PAGE).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("marker", "body")))).alias("footnotes"))
