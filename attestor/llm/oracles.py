@@ -98,4 +98,30 @@ SELECT page_id, j.host, path, rule, coalesce(own, CASE WHEN bad.host IS NOT NULL
 """
 
 
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5, "op6_warc": OP6, "op7_top_k": OP7, "op8_mixing": op8(), "op9_url_filters": op9(), "op10_exact_dedup": OP10}
+def op11() -> str:
+    """Both kinds of trees level by level; each leaf's siblings are the nodes at its ancestors' places with the last bit turned."""
+    text = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda n: "sha256(" + " || ".join(text(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+    crc = "xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: list_reduce(range(8), lambda k, i: xor(k >> 1, 3988292384 * (k & 1)), xor(c, b)), 4294967295), 4294967295)"
+    up = lambda name, start, tree: f"""{name} AS ({start} UNION ALL SELECT l + 1, {tree}, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY l, {tree}, i // 2, n)"""
+    step = "sha256(CASE WHEN f.i % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END)"
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, lang, {leaf("n_chars")} AS leaf,
+  CASE WHEN n_chars IS NOT NULL AND {crc} % 7 = 0 THEN {leaf("(CAST(n_chars AS HUGEINT) + 1)")} END AS claimed FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS size FROM d),
+{up("lv", "SELECT 0 AS l, lang, place AS i, size AS n, leaf AS h FROM p", "lang")},
+sub AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS size FROM lv WHERE n = 1),
+{up("tp", "SELECT 0 AS l, 0 AS tree, place AS i, size AS n, subroot AS h FROM sub", "tree")},
+sib AS (SELECT p.r, 0 AS kind, s.l, s.h FROM p JOIN lv s ON s.lang IS NOT DISTINCT FROM p.lang AND s.i = xor(p.place >> s.l, 1)
+  UNION ALL SELECT p.r, 1, s.l, s.h FROM p JOIN sub u ON u.lang IS NOT DISTINCT FROM p.lang JOIN tp s ON s.i = xor(u.place >> s.l, 1)),
+proof AS (SELECT r, sha256(string_agg(h, '' ORDER BY kind, l)) AS proof_sha256 FROM sib GROUP BY r),
+f0 AS (SELECT r, 0 AS l, lang, place AS i, size AS n, coalesce(claimed, leaf) AS h FROM p
+  UNION ALL SELECT f.r, f.l + 1, f.lang, f.i // 2, (f.n + 1) // 2, {step} FROM f0 f LEFT JOIN lv s ON s.l = f.l AND s.lang IS NOT DISTINCT FROM f.lang AND s.i = xor(f.i, 1) WHERE f.n > 1),
+f1 AS (SELECT f.r, 0 AS l, u.place AS i, u.size AS n, f.h FROM f0 f JOIN sub u ON u.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1
+  UNION ALL SELECT f.r, f.l + 1, f.i // 2, (f.n + 1) // 2, {step} FROM f1 f LEFT JOIN tp s ON s.l = f.l AND s.i = xor(f.i, 1) WHERE f.n > 1)
+SELECT p.doc_id, p.leaf, sub.subroot, root.h AS root, coalesce(proof.proof_sha256, sha256('')) AS proof_sha256, f1.h AS folded_root, f1.h = root.h AS verified
+FROM p JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang JOIN f1 ON f1.r = p.r AND f1.n = 1 LEFT JOIN proof ON proof.r = p.r, (SELECT h FROM tp WHERE n = 1) root
+"""
+
+
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5, "op6_warc": OP6, "op7_top_k": OP7, "op8_mixing": op8(), "op9_url_filters": op9(), "op10_exact_dedup": OP10, "op11_merkle": op11()}

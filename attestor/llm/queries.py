@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, exact_index, kdtree, line_templates, mixing, simhash, token_counts, toxicity, url_trust, warc
+from attestor.llm import bpe, exact_index, kdtree, line_templates, merkle, mixing, simhash, token_counts, toxicity, url_trust, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_index.groups(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_token_counts, op4_bpe, op5_line_dedup, op6_warc, op7_top_k, op8_mixing, op9_url_filters, op10_exact_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_token_counts, op4_bpe, op5_line_dedup, op6_warc, op7_top_k, op8_mixing, op9_url_filters, op10_exact_dedup, op11_merkle)
 }
