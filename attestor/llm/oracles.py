@@ -124,4 +124,18 @@ FROM p JOIN sub ON sub.lang IS NOT DISTINCT FROM p.lang JOIN f1 ON f1.r = p.r AN
 """
 
 
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5, "op6_warc": OP6, "op7_top_k": OP7, "op8_mixing": op8(), "op9_url_filters": op9(), "op10_exact_dedup": OP10, "op11_merkle": op11()}
+OP13 = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+c AS (SELECT r, doc_id, term, count(*) AS tf FROM (SELECT r, doc_id, unnest(ts) AS term FROM t) GROUP BY r, doc_id, term),
+n AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM c GROUP BY r),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+m AS (SELECT r, 25 + (75 * n * docs) // terms AS m FROM n, s),
+i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark),
+k AS (SELECT q, item_id, term, count(*) AS k FROM (SELECT q, item_id, unnest(ts) AS term FROM i) GROUP BY q, item_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM c, s GROUP BY term, docs),
+p AS (SELECT q, item_id, r, doc_id, CAST(sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM k JOIN c USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY q, item_id, r, doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM p WHERE score > 0) WHERE rank <= 10
+"""
+
+
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5, "op6_warc": OP6, "op7_top_k": OP7, "op8_mixing": op8(), "op9_url_filters": op9(), "op10_exact_dedup": OP10, "op11_merkle": op11(), "op13_ranked_search": OP13}
