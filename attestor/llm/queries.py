@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, exact_index, kdtree, line_templates, merkle, mixing, ranked_search, simhash, token_counts, toxicity, url_trust, warc
+from attestor.llm import bpe, exact_index, kdtree, line_templates, main_text, merkle, mixing, ranked_search, simhash, token_counts, toxicity, url_trust, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,10 +62,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return main_text.extracted(pages, main_text.fit(pages))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_token_counts, op4_bpe, op5_line_dedup, op6_warc, op7_top_k, op8_mixing, op9_url_filters, op10_exact_dedup, op11_merkle, op13_ranked_search)
+    f.__name__: f for f in (op1_toxicity, op2_simhash, op3_token_counts, op4_bpe, op5_line_dedup, op6_warc, op7_top_k, op8_mixing, op9_url_filters, op10_exact_dedup, op11_merkle, op12_main_text, op13_ranked_search)
 }
