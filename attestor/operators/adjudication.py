@@ -82,6 +82,8 @@ LEAVES = (
     ("R6", "reconciled", "rule"), ("R7", "reconciled", "rule"), ("R8", "corroborates", "rule"), ("R9", "needs_a_judgement", "rule"), ("R10", "corroborates", "rule"),
     ("R11", "reconciled", "rule"), ("R12", "reconciled", "rule"), ("R13", "reconciled", "derivation"), ("R14", "contradicts", "rule"), ("R15", "contradicts", "rule"),
 )
+#: A relation that lost a fact, or whose fact isn't grounded any more, is a candidate as before any verdict.
+LOST = ("R19", "candidate", "blocking")
 
 
 def conditions() -> dict[str, Column]:
@@ -124,7 +126,7 @@ def thin(found: DataFrame) -> DataFrame:
         "entity_id", gap.alias("gap"), is_proportion("a").alias("share"), F.array_compact(F.array("a.as_of_date", "b.as_of_date")).alias("days"), F.array_compact(F.array("a.period_end", "b.period_end")).alias("ends")
     )
     worth = (gap >= LEAST_GAP) & (relative_difference(gap, F.abs(c("a.value_num"))) > COMPONENT_OF_ALL) & (relative_difference(gap, F.abs(c("b.value_num"))) > COMPONENT_OF_ALL)
-    leafed = found.withColumn("leaf", first_leaf())
+    leafed = found.withColumn("leaf", F.when(c("a").isNull() | c("b").isNull(), LOST[0]).otherwise(first_leaf()))
     return leafed.select("relation_id", "fact_a", "fact_b", "leaf", F.when(c("leaf").isin("R14", "R15") & worth, needs).alias("open"))
 
 
@@ -194,25 +196,26 @@ def by_leaf(values: dict[str, Column | str]) -> Column:
 def verdicts(facts: DataFrame, cap: int = BUCKET_CAP, candidates: DataFrame | None = None) -> DataFrame:
     """relation_id, fact_a, fact_b, leaf, verdict, method, bridging_fact_id of every candidate pair.
 
-    Pairs are made from the facts, or taken from candidates (relation_id, fact_a, fact_b). The rules are evaluated
-    once: what later steps need of a pair, without its facts, is stored.
+    Pairs are made from the facts, or taken from candidates (relation_id, fact_a, fact_b), of which those without both facts
+    among the grounded ones stay candidates. The rules are evaluated once: what later steps need of a pair, without its facts, is stored.
     """
-    found = pairs(facts, cap) if candidates is None else with_facts(candidates, facts).withColumn("entity_id", F.col("a.entity_id"))
+    found = pairs(facts, cap) if candidates is None else with_facts(candidates, facts.where("grounded")).withColumn("entity_id", F.col("a.entity_id"))
     judged = stored(thin(found), "pairs")
     proofs = bridges(judged.where("open IS NOT NULL"), facts.where("grounded AND value_num IS NOT NULL"))
     joined = judged.drop("open").join(proofs, "relation_id", "left").withColumn("leaf", F.when(F.col("bridging_fact_id").isNotNull(), "R13").otherwise(F.col("leaf")))
-    verdict, method = by_leaf({leaf: F.lit(v) for leaf, v, _ in LEAVES}), by_leaf({leaf: F.lit(m) for leaf, _, m in LEAVES})
+    verdict, method = by_leaf({leaf: F.lit(v) for leaf, v, _ in (*LEAVES, LOST)}), by_leaf({leaf: F.lit(m) for leaf, _, m in (*LEAVES, LOST)})
     return joined.select("relation_id", "fact_a", "fact_b", "leaf", verdict.alias("verdict"), method.alias("method"), "bridging_fact_id")
 
 
 def with_facts(relations: DataFrame, facts: DataFrame) -> DataFrame:
-    """relations with both facts as structs a and b."""
+    """relations with both facts as structs a and b, null for a fact that isn't there."""
     side = lambda x: facts.select(F.col("fact_id").alias(f"fact_{x}"), F.struct(*facts.columns).alias(x))
-    return relations.join(side("a"), "fact_a").join(side("b"), "fact_b")
+    return relations.join(side("a"), "fact_a", "left").join(side("b"), "fact_b", "left")
 
 
 def explained(relations: DataFrame, facts: DataFrame) -> DataFrame:
-    """relations (verdicts(), all or some of them) with both facts and the written reason."""
+    """relations (verdicts(), all or some of them) with both facts and the written reason, of which a lost fact leaves none."""
+    facts = facts.where("grounded")
     bridge = facts.select(F.col("fact_id").alias("bridging_fact_id"), F.struct("value_num", "attribute_raw", "value_raw", "page_no").alias("bridge"))
     full = with_facts(relations, facts).join(bridge, "bridging_fact_id", "left")
     return full.select("relation_id", "fact_a", "fact_b", "leaf", "verdict", "method", by_leaf(explanations()).alias("explanation"), "bridging_fact_id", "a", "b")

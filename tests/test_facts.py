@@ -49,6 +49,27 @@ def test_leaf(spark, leaf, a, b):
     assert [r.leaf for r in row] == [leaf] and row[0].explanation
 
 
+def test_relations_of_lost_facts_stay_candidates(spark):
+    before = facts(spark, num(100), num(150), num(100.2), num(170))
+    candidates = P.candidates(before).select("relation_id", "fact_a", "fact_b")
+    assert candidates.count() == 6
+    gone = before.where("fact_id <> 'f3'").withColumn("grounded", F.col("fact_id") != "f0")
+    got = {r.relation_id: r for r in A.adjudicated(gone, candidates=candidates).collect()}
+    assert len(got) == 6
+    assert {k for k, r in got.items() if (r.leaf, r.verdict, r.method, r.explanation) == ("R19", "candidate", "blocking", None)} == {k for k in got if "f0" in k or "f3" in k}
+    assert got["rel_f1__f2"].leaf == "R15"
+    assert {r.relation_id: r.verdict for r in A.settled(A.adjudicated(gone, candidates=candidates)).collect()} == {k: r.verdict for k, r in got.items()}
+
+
+def test_a_bridge_that_is_lost_proves_nothing(spark):
+    a, b = num(8703000000.0), num(8863030000.0)
+    bridge = num(160030000.0, attribute_family="g", attribute_raw="acquired", value_raw="160.03m")
+    before = facts(spark, a, b, bridge)
+    candidates = P.candidates(before).select("relation_id", "fact_a", "fact_b")
+    assert [r.leaf for r in A.adjudicated(before, candidates=candidates).collect()] == ["R13"]
+    assert [r.leaf for r in A.adjudicated(before.withColumn("grounded", F.col("fact_id") != "f2"), candidates=candidates).collect()] == ["R15"]
+
+
 def test_bridge_must_be_the_only_one(spark):
     a, b = num(8703000000.0), num(8863030000.0)
     bridge = num(160030000.0, attribute_family="g", attribute_raw="acquired", value_raw="160.03m")
