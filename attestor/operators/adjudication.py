@@ -193,15 +193,15 @@ def by_leaf(values: dict[str, Column | str]) -> Column:
     return out
 
 
-def verdicts(facts: DataFrame, cap: int = BUCKET_CAP, candidates: DataFrame | None = None) -> DataFrame:
-    """relation_id, fact_a, fact_b, leaf, verdict, method, bridging_fact_id of every candidate pair.
+def verdicts(facts: DataFrame, cap: int = BUCKET_CAP, candidates: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
+    """relation_id, fact_a, fact_b, leaf, verdict, method, bridging_fact_id of every candidate pair. What explains a gap is looked for `among` other facts if given.
 
     Pairs are made from the facts, or taken from candidates (relation_id, fact_a, fact_b), of which those without both facts
     among the grounded ones stay candidates. The rules are evaluated once: what later steps need of a pair, without its facts, is stored.
     """
     found = pairs(facts, cap) if candidates is None else with_facts(candidates, facts.where("grounded")).withColumn("entity_id", F.col("a.entity_id"))
     judged = stored(thin(found), "pairs")
-    proofs = bridges(judged.where("open IS NOT NULL"), facts.where("grounded AND value_num IS NOT NULL"))
+    proofs = bridges(judged.where("open IS NOT NULL"), (facts if among is None else among).where("grounded AND value_num IS NOT NULL"))
     joined = judged.drop("open").join(proofs, "relation_id", "left").withColumn("leaf", F.when(F.col("bridging_fact_id").isNotNull(), "R13").otherwise(F.col("leaf")))
     verdict, method = by_leaf({leaf: F.lit(v) for leaf, v, _ in (*LEAVES, LOST)}), by_leaf({leaf: F.lit(m) for leaf, _, m in (*LEAVES, LOST)})
     return joined.select("relation_id", "fact_a", "fact_b", "leaf", verdict.alias("verdict"), method.alias("method"), "bridging_fact_id")
@@ -221,9 +221,9 @@ def explained(relations: DataFrame, facts: DataFrame) -> DataFrame:
     return full.select("relation_id", "fact_a", "fact_b", "leaf", "verdict", "method", by_leaf(explanations()).alias("explanation"), "bridging_fact_id", "a", "b")
 
 
-def adjudicated(facts: DataFrame, cap: int = BUCKET_CAP, candidates: DataFrame | None = None) -> DataFrame:
+def adjudicated(facts: DataFrame, cap: int = BUCKET_CAP, candidates: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
     """verdicts() of every candidate pair with both facts and the written reason."""
-    return explained(verdicts(facts, cap, candidates), facts)
+    return explained(verdicts(facts, cap, candidates, among), facts if among is None else among)
 
 
 def asked_first(relations: DataFrame, k: int = MODEL_PAIRS) -> DataFrame:

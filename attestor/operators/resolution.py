@@ -78,9 +78,9 @@ def learn_year_end(facts: DataFrame) -> DataFrame:
     return top.select(F.coalesce("b.month", F.lit(12)).alias("month"), F.coalesce("b.day", F.lit(31)).alias("day"))
 
 
-def normalised(facts: DataFrame) -> DataFrame:
-    """facts with value_num, multiplier, currency, period_start, period_end, as_of_date from their raw columns."""
-    end = learn_year_end(facts).select(F.struct("month", "day")).scalar()
+def normalised(facts: DataFrame, year_end: DataFrame | None = None) -> DataFrame:
+    """facts with value_num, multiplier, currency, period_start, period_end, as_of_date from their raw columns. year_end: month, day; learnt from the facts if not given."""
+    end = (learn_year_end(facts) if year_end is None else year_end).select(F.struct("month", "day")).scalar()
     number = F.when(F.col("value_kind") == "number", parsing.parse_number(F.col("value_raw"), F.col("unit"), F.col("currency")))
     period = F.when(F.coalesce("period_raw", F.lit("")) != "", parsing.parse_period(F.col("period_raw"), F.col("_fy.month"), F.col("_fy.day")))
     stated = F.when(F.coalesce("as_of_raw", F.lit("")) != "", parsing.parse_date(F.col("as_of_raw")))

@@ -24,9 +24,11 @@ from attestor.sources import tables as tables_
 class Run:
     """A run below a folder. provider: prompt to answer, None for a run without a model."""
 
-    def __init__(self, spark: SparkSession, folder: str, provider: Callable[[str], str] | None = None, settings: Settings | None = None):
+    def __init__(self, spark: SparkSession, folder: str, provider: Callable[[str], str] | None = None, settings: Settings | None = None, cache: str | None = None):
+        """cache: the folder of answers that runs share, else the run's own."""
         self.spark, self.folder, self.provider = spark, folder.rstrip("/"), provider
         self.settings = settings or Settings.of(spark)
+        self.cached = cache or f"{self.folder}/cache"
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
@@ -78,14 +80,14 @@ class Run:
                 asked = extraction.answers(part, extraction.with_retries(self.provider), s.requests_per_minute, s.request_tasks)
                 asked.join(part.select("request_id", "key"), "request_id").select("request_id", "key", "answer", "error").write.mode("append").parquet(f"{self.folder}/answers")
                 got = self.read("answers").join(part.select("key").distinct(), "key", "left_semi")
-                got.where("answer IS NOT NULL").select("key", "answer").write.mode("append").parquet(f"{self.folder}/cache")
+                got.where("answer IS NOT NULL").select("key", "answer").write.mode("append").parquet(self.cached)
             errors = self.read("answers").where("error IS NOT NULL").select("request_id", "error")
         known = self.cache().groupBy("key").agg(F.first("answer").alias("answer"))
         return keyed.select("request_id", "doc_id", "key").join(known, "key", "left").drop("key").join(errors, "request_id", "left")
 
     def cache(self) -> DataFrame:
         try:
-            return self.read("cache")
+            return self.spark.read.parquet(self.cached)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise

@@ -11,9 +11,10 @@ from attestor.functions import parsing
 from attestor.operators import adjudication as adj
 from attestor.operators import pairing
 from attestor.operators import resolution as res
+from attestor.plans import incremental
 from attestor.plans import oracle as o
-from attestor.sources import adapters
-from attestor.sources.scratch import stored
+from attestor.sources import adapters, versions
+from attestor.sources.scratch import folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,6 +118,21 @@ def lost_facts(spark, sf_dir):
     return adj.verdicts(later, candidates=candidates).groupBy("verdict", "method", "leaf").agg(F.count(F.lit(1)).alias("n"), F.count("bridging_fact_id").alias("with_bridge"))
 
 
+@query(f"WITH {o.VERDICTS} SELECT verdict, method, leaf, count(*) AS n, count(bridging_fact_id) AS with_bridge FROM rl GROUP BY ALL")
+def incremental_relations(spark, sf_dir):
+    """Relations after an upload: a stored version has the documents' facts with doc_2's values of before, and doc_2 is replaced by a delta."""
+    facts = stored(normalised(spark, sf_dir), "facts")
+    new = F.col("doc_id") == "doc_2"
+    store = versions.Versions(spark, folder(spark, "corpus"))
+    change = store.change()
+    change.replace("facts", facts.withColumn("value_num", F.when(new, F.col("value_num") + 1).otherwise(F.col("value_num"))))
+    change.replace("relations", incremental.judged(change.read("facts")))
+    change.commit()
+    change = store.change()
+    incremental.delta(change, facts.where(new), facts.where(new))
+    return change.read("relations").groupBy("verdict", "method", "leaf").agg(F.count(F.lit(1)).alias("n"), F.count("bridging_fact_id").alias("with_bridge"))
+
+
 @query(f"WITH {o.VERDICTS} SELECT relation_id, leaf, verdict, method, bridging_fact_id FROM rl")
 def adjudicate_pairs(spark, sf_dir):
     return verdicts(spark, sf_dir).select("relation_id", "leaf", "verdict", "method", "bridging_fact_id")

@@ -5,15 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written below spark.checkpoint.dir and read again; the folder is deleted when the application ends.
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir; it is deleted when the application ends.
 
     Where that is unset, a temporary folder in local mode and an error on a cluster.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -24,6 +23,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     files.mkdirs(path)
     files.deleteOnExit(path)
-    at = f"{own}/{name}-{uuid.uuid4().hex}"
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a new scratch folder and read again."""
+    at = folder(df.sparkSession, name)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -53,6 +53,11 @@ TABLES = {
     "facts_raw": Table("fact_id", "doc_id"),
     "facts": Table("fact_id", "entity_id"),
     "relations": Table("relation_id", "entity_id"),
+    "subjects": Table("phrase", "phrase"),
+    "families": Table("phrase", "phrase"),
+    "entities": Table("entity_id", "entity_id"),
+    "attribute_families": Table("family_id", "family_id"),
+    "year_end": Table("month", "month"),
 }
 LINKS = (
     Link("pages", "doc_id", "documents", "doc_id"),
