@@ -81,7 +81,7 @@ def op9() -> str:
     link = r"""(?i)(?:href|src)\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)"""
     steps = []
     for kind, edges, seed in (("t", "e", "allowed"), ("x", "v", "blocked")):
-        steps.append(f"""{kind}s AS (SELECT host, {seed} / (SELECT sum({seed}) FROM sums) AS seed FROM sums WHERE {seed} > 0),
+        steps.append(f"""{kind}s AS (SELECT host, {seed} / (allowed + blocked) AS seed FROM sums WHERE {seed} > 0),
 {kind} AS (SELECT 0 AS i, host, seed AS score FROM {kind}s UNION ALL SELECT i + 1, host, sum(score) FROM (SELECT n.i, l.dst AS host, l.weight * n.score * 0.85 AS score FROM {edges} l JOIN {kind} n ON l.src = n.host WHERE n.i < {ROUNDS}
   UNION ALL SELECT n.i, s.host, s.seed * 0.15 FROM {kind}s s, (SELECT DISTINCT i FROM {kind} WHERE i < {ROUNDS}) n) GROUP BY i, host)""")
     return f"""
@@ -93,7 +93,7 @@ links AS (SELECT src, dst, count(*) AS n FROM (SELECT host AS src, {lower.format
 e AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS weight FROM links),
 v AS (SELECT dst AS src, src AS dst, weight / sum(weight) OVER (PARTITION BY dst) AS weight FROM e),
 {", ".join(steps)},
-bad AS (SELECT host FROM (SELECT host, score AS trust, 0.0 AS distrust FROM t WHERE i = {ROUNDS} UNION ALL SELECT host, 0.0, score FROM x WHERE i = {ROUNDS}) GROUP BY host HAVING sum(distrust) - sum(trust) > 0.000002)
+bad AS (SELECT host FROM (SELECT host, score AS trust, 0.0 AS distrust FROM t WHERE i = {ROUNDS} UNION ALL SELECT host, 0.0, score FROM x WHERE i = {ROUNDS}) GROUP BY host HAVING sum(distrust) >= 1e-12 AND sum(distrust) > 1.0001 * sum(trust))
 SELECT page_id, j.host, path, rule, coalesce(own, CASE WHEN bad.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN bad ON j.host = bad.host
 """
 

@@ -2,8 +2,9 @@
 
 Rules name a host and a path; the longest that fits a page decides. Hosts with pages that rules
 allow are trusted seeds, hosts with pages that rules block are blocked seeds. Trust is personalised
-PageRank along links between hosts, distrust is personalised PageRank against them. A host whose
-distrust exceeds its trust by more than MARGIN is blocked; it is above the error that the rounds leave.
+PageRank along links between hosts, distrust is personalised PageRank against them. A host is blocked if its
+distrust exceeds its trust by more than the share MARGIN of it. Seeds are shares of a host's own pages, so scores of one
+place in the graph are the same however large the rest is; rounds go on until no host's score changes by more than a share TOLERANCE of it.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ RULES = (
 )
 DAMPING = 0.85
 STEP = 4
+#: Greatest change of a host's score in STEP rounds, as a share of the score, at which rounds end; and the share by which distrust must exceed trust.
 TOLERANCE = 1e-6
-MARGIN = 2e-6
+MARGIN = 1e-4
+#: A score below this counts as none: a seed's, over more than some 170 links.
+LEAST = 1e-12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
@@ -64,33 +68,37 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 
 def spread(edges: DataFrame, seeds: DataFrame, name: str, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
-    """host, score: personalised PageRank from seeds (host, seed; seeds sum to 1). What reaches a host without links is not passed on.
+    """host, score: personalised PageRank from seeds (host, seed). What reaches a host without links is not passed on.
 
-    Rounds go on until the scores of STEP rounds ago, each host's change added up, are within the tolerance. As every round
-    passes on `damping` of the last change at most, that comes after some log(tolerance) / log(damping) rounds on any graph.
+    Rounds go on until no host's score from LEAST on differs from that of STEP rounds ago by more than the share `tolerance` of itself. A score is a sum over
+    paths from the seeds, and what paths of more than k links add to it falls with damping ** k, so the count of rounds has a bound that doesn't depend on the count of hosts.
     """
     seeds = stored(seeds, f"trust-{name}")
     base = seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
     now = seeds.select("host", F.col("seed").alias("score"))
-    while True:
+    while True:  # ends after some log(LEAST * tolerance) / log(damping) rounds
         before = now
         for _ in range(STEP):
             flow = edges.join(now, edges.src == now.host).select(F.col("dst").alias("host"), (F.col("weight") * F.col("score") * damping).alias("score"))
             now = flow.union(base).groupBy("host").agg(F.sum("score").alias("score"))
         now = stored(now, f"trust-{name}")
-        moved = now.union(before.select("host", -F.col("score"))).groupBy("host").agg(F.sum("score").alias("d"))
-        if (moved.agg(F.sum(F.abs("d")).alias("d")).first().d or 0.0) <= tolerance:
+        both = now.select("host", "score", F.lit(0.0).alias("was")).union(before.select("host", F.lit(0.0), "score")).groupBy("host").agg(F.sum("score").alias("score"), F.sum("was").alias("was"))
+        if both.where((F.greatest("score", "was") >= LEAST) & (F.abs(F.col("score") - F.col("was")) > tolerance * F.greatest("score", "was"))).isEmpty():
             return now
 
 
 def host_scores(pages: DataFrame) -> DataFrame:
-    """host, trust, distrust of every host with a score. pages: host, html, fit."""
+    """host, trust, distrust of every host with a score. pages: host, html, fit.
+
+    A host's seed is the share of its judged pages that are allowed (for distrust: blocked), so neither the count of hosts nor of pages elsewhere enters
+    its score. Pages without a host and null html give none; repeated rows count as often as they occur. An empty table gives none.
+    """
     sums = pages.where("host <> ''").groupBy("host").agg(F.sum((F.col("fit.verdict") == "allow").cast("double")).alias("allowed"), F.sum((F.col("fit.verdict") == "block").cast("double")).alias("blocked"))
     sums = stored(sums.na.fill(0.0), "trust-seeds")
-    total = sums.agg(F.coalesce(F.sum("allowed"), F.lit(0.0)).alias("a"), F.coalesce(F.sum("blocked"), F.lit(0.0)).alias("b")).first()
+    judged_pages = F.col("allowed") + F.col("blocked")
     edges = stored(host_edges(pages), "trust-edges")
-    trust = spread(edges, sums.where("allowed > 0").select("host", (F.col("allowed") / F.lit(total.a or 1.0)).alias("seed")), "trust")
-    distrust = spread(reversed_edges(edges), sums.where("blocked > 0").select("host", (F.col("blocked") / F.lit(total.b or 1.0)).alias("seed")), "distrust")
+    trust = spread(edges, sums.where("allowed > 0").select("host", (F.col("allowed") / judged_pages).alias("seed")), "trust")
+    distrust = spread(reversed_edges(edges), sums.where("blocked > 0").select("host", (F.col("blocked") / judged_pages).alias("seed")), "distrust")
     both = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0), "score"))
     return both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
 
@@ -103,7 +111,7 @@ def verdicts(pages: DataFrame, rules=RULES, margin: float = MARGIN) -> DataFrame
     get the same verdict. An empty table gives an empty result.
     """
     rows = judged(pages.select("page_id", "url", "html"), rules)
-    bad = host_scores(rows).where(F.col("distrust") - F.col("trust") > margin).select(F.col("host").alias("bad_host"))
+    bad = host_scores(rows).where((F.col("distrust") >= LEAST) & (F.col("distrust") > F.col("trust") * (1 + margin))).select(F.col("host").alias("bad_host"))
     fitted = rows.select("page_id", "host", "path", "fit")
     bad = stored(bad, "trust-bad")
     named = fitted.join(bad, fitted.host == bad.bad_host, "left")

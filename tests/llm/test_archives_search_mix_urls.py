@@ -5,12 +5,14 @@ import hashlib
 import io
 import math
 import random
+import re
 from fractions import Fraction
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from attestor.llm import kdtree, mixing, oracles, url_trust, warc
 
@@ -177,3 +179,27 @@ def test_verdicts(spark):
     assert by[2][4] == "block" and by[3][4] == "block" and by[4][4] == "block"  # c.net has blocked pages, e.org links to it, f.org to e.org
     assert by[1][4] == "allow"
     assert url_trust.verdicts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 1000, 100_000])
+def test_verdicts_do_not_depend_on_the_count_of_hosts(spark, n):
+    hosts = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), "id", F.lit(".net")).alias("host"))
+    seeds = hosts.select("page_id", F.concat("host", F.lit("/fr/")).alias("url"), F.lit("").alias("html"))
+    others = hosts.select((F.col("page_id") + n).alias("page_id"), F.concat("host", F.lit("/q")), F.lit(""))
+    got = url_trust.verdicts(seeds.union(others))
+    assert got.where("verdict = 'block'").count() == 2 * n
+
+
+def test_a_graph_among_its_copies_has_the_same_verdicts(spark):
+    def copy(k):
+        named = lambda text: text and re.sub(r"\b([acdefx]|good)\.(com|org|net)\b", rf"\g<1>{k}.\2", re.sub(r"www\.A", "www.a", text))
+        return [(1000 * k + i, named(u), named(h)) for i, u, h in pages() if i < 100]
+
+    one = {r.page_id: r.verdict for r in url_trust.verdicts(spark.createDataFrame(copy(0), PAGES)).collect()}
+    many = url_trust.verdicts(spark.createDataFrame([r for k in range(60) for r in copy(k)], PAGES)).collect()
+    assert {"allow", "block"} == set(one.values()) and all(r.verdict == one[r.page_id % 1000] for r in many)
+
+
+def test_a_long_chain_passes_distrust_on(spark):
+    rows = [(i, f"http://h{i}.org/", f'<a href="http://h{i + 1}.org/">') for i in range(30)] + [(30, "http://h30.org/", '<a href="http://bad.net/">'), (31, "http://bad.net/es/", "")]
+    assert {r.verdict for r in url_trust.verdicts(spark.createDataFrame(rows, PAGES)).collect()} == {"block"}
