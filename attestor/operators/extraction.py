@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor.functions.arrays import chain, runs
+from attestor.functions.parsing import bound
 from attestor.functions.text import trimmed, word_count
 
 # Fixed values.
@@ -32,16 +34,19 @@ def packed(chunk: DataFrame) -> DataFrame:
     """request_id, doc_id, chunk_ids of passages worth a call: in order of chunk_id, up to 1,200 words and four passages; one alone is always let in."""
     item = F.struct("chunk_id", word_count(F.col("text")).alias("words"))
     listed = chunk.where("was_sent_to_llm").groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    open_ = "struct<ids:array<string>,words:int>"
-    state = F.struct(F.array().cast("array<array<string>>").alias("out"), F.lit(None).cast(open_).alias("now"))
 
-    def step(s: Column, p: Column) -> Column:
-        full = (s["now"]["words"] + p["words"] > REQUEST_WORDS) | (F.size(s["now"]["ids"]) >= REQUEST_PASSAGES)
-        fresh = F.struct(F.array(p["chunk_id"]).alias("ids"), p["words"].alias("words"))
-        grown = F.struct(F.array_append(s["now"]["ids"], p["chunk_id"]).alias("ids"), (s["now"]["words"] + p["words"]).alias("words"))
-        return F.when(s["now"].isNull(), F.struct(s["out"].alias("out"), fresh.alias("now"))).when(full, F.struct(F.array_append(s["out"], s["now"]["ids"]).alias("out"), fresh.alias("now"))).otherwise(F.struct(s["out"].alias("out"), grown.alias("now")))
-
-    requests = F.aggregate("items", state, step, lambda s: F.when(s["now"].isNull(), s["out"]).otherwise(F.array_append(s["out"], s["now"]["ids"])))
+    def after(items: Column, i: Column) -> Column:
+        """The place of the first passage that a request from place i doesn't hold."""
+        words, fits, count = F.get(items, i)["words"], F.lit(True), F.lit(1)
+        for k in range(1, REQUEST_PASSAGES):
+            words = words + F.get(items, i + k)["words"]
+            fits = fits & F.coalesce(words <= REQUEST_WORDS, F.lit(False))
+            count = count + fits.cast("int")
+        return i + count
+
+    starts = lambda items: chain(F.transform(items, lambda _, i: after(items, i)))
+    ids = lambda items, r: F.transform(F.slice(items, r["start"] + 1, r["end"] - r["start"]), lambda p: p["chunk_id"])
+    requests = bound(F.col("items"), lambda items: F.transform(bound(starts(items), lambda s: runs(s, F.size(items))), lambda r: ids(items, r)))
     rows = listed.select("doc_id", F.posexplode(requests).alias("n", "chunk_ids"))
     return rows.select(F.format_string("%s__r%04d", "doc_id", "n").alias("request_id"), "doc_id", "chunk_ids")
 

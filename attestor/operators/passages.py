@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestor.functions.arrays import chain, reach, running, runs
 from attestor.functions.parsing import bound
 from attestor.functions.text import word_count
 from attestor.operators.layout import FOOTNOTES_MARK, TABLES_MARK, references
@@ -18,7 +19,6 @@ CAPITALISED = r"(?U)\b[A-Z][a-z]{2,}\b"
 SYMBOLS = ("*", "†", "‡", "§")
 SENTENCE = r"(?sU).+?(?:(?<=[.!?])\s+|\z)"
 KINDS = ("prose", "table", "footnotes")
-SPAN = "array<struct<start:int,end:int,words:int>>"
 
 
 def part(text: Column, start: Column, end: Column) -> Column:
@@ -49,9 +49,12 @@ def tight(piece: Column, start: Column) -> Column:
 
 def spans(pieces: Column, start: Column, gap: int) -> Column:
     """Spans of consecutive pieces with `gap` characters between them; those without words go."""
-    state = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda s, p: F.struct((s["at"] + F.length(p) + gap).cast("int").alias("at"), F.array_append(s["out"], s["at"]).alias("out"))
-    return bound(pieces, lambda ps: F.filter(F.zip_with(ps, F.aggregate(ps, state, step)["out"], tight), lambda s: s["words"] > 0))
+
+    def cut(ps: Column) -> Column:
+        ends = running(F.transform(ps, lambda p: F.length(p) + gap))
+        return F.zip_with(ps, F.transform(ends, lambda e, i: (start + e - F.length(F.get(ps, i)) - gap).cast("int")), tight)
+
+    return F.filter(bound(pieces, cut), lambda s: s["words"] > 0)
 
 
 def paragraphs(text: Column, start: Column, end: Column) -> Column:
@@ -71,14 +74,15 @@ def broken(text: Column, of: Column) -> Column:
 
 def packed(of: Column, most: int = PASSAGE_WORDS) -> Column:
     """Consecutive spans joined greedily while their words stay within `most`."""
-    state = F.struct(F.array().cast(SPAN).alias("out"), F.lit(None).cast("struct<start:int,end:int,words:int>").alias("now"))
 
-    def step(s: Column, p: Column) -> Column:
-        grown = F.struct(s["now"]["start"].alias("start"), p["end"].alias("end"), (s["now"]["words"] + p["words"]).alias("words"))
-        fits = s["now"].isNotNull() & (s["now"]["words"] + p["words"] <= most)
-        return F.when(s["now"].isNull(), F.struct(s["out"].alias("out"), p.alias("now"))).when(fits, F.struct(s["out"].alias("out"), grown.alias("now"))).otherwise(F.struct(F.array_append(s["out"], s["now"]).alias("out"), p.alias("now")))
+    def pack(x: Column) -> Column:
+        n, sums = F.size(x["of"]), x["sums"]
+        starts = chain(F.transform(x["of"], lambda _, i: reach(sums, i, most)))
+        words = lambda r: F.get(sums, r["end"] - 1) - F.coalesce(F.get(sums, r["start"] - 1), F.lit(0))
+        joined = lambda r: F.struct(F.get(x["of"], r["start"])["start"].alias("start"), F.get(x["of"], r["end"] - 1)["end"].alias("end"), words(r).cast("int").alias("words"))
+        return F.transform(bound(starts, lambda s: runs(s, n)), joined)
 
-    return F.aggregate(of, state, step, lambda s: F.when(s["now"].isNull(), s["out"]).otherwise(F.array_append(s["out"], s["now"])))
+    return bound(of, lambda spans: bound(F.struct(spans.alias("of"), running(F.transform(spans, lambda s: s["words"])).alias("sums")), pack))
 
 
 def header(heading: Column, notes: Column, text: Column, kind: Column) -> Column:

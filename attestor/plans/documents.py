@@ -44,7 +44,16 @@ def neighbour_predicates(spark, sf_dir):
     return lay.neighbours(lay.ordered(adapters.lines(spark, sf_dir)))
 
 
-@query()
+_box = '{l: "left", r: "right", b: bottom, h: bottom - top}'
+_join = '{l: least(x.l, "left"), r: greatest(x.r, "right"), b: greatest(x.b, bottom), h: least(x.h, bottom - top)}'
+_slim, _common = 'greatest(1.0, least("right" - "left", x.r - x.l))', '(least("right", x.r) - greatest("left", x.l))'
+_meets = f"(CASE WHEN {_slim} <= 45 THEN greatest(0.0, -{_common}) <= 12 ELSE {_common} > 0 AND {_common} / {_slim} >= 0.25 END) AND (top - x.b <= 0 OR top - x.b <= least(x.h, bottom - top) + 6)"
+
+
+@query(f"""WITH RECURSIVE {o.FLOW}, bk AS (SELECT doc_id, page_no, pos, 0 AS block, [{_box}] AS bs FROM fl WHERE pos = 1
+  UNION ALL SELECT doc_id, page_no, pos, coalesce(found, len(bs)), CASE WHEN found IS NULL THEN list_append(bs, {_box}) ELSE list_transform(bs, lambda x, i: CASE WHEN i = found + 1 THEN {_join} ELSE x END) END
+    FROM (SELECT fl.*, bs, list_sort(list_filter(list_transform(bs, lambda x, i: CASE WHEN {_meets} THEN {{gap: top - x.b, i: i - 1}} END), lambda y: y IS NOT NULL))[1].i AS found FROM bk JOIN fl ON fl.doc_id = bk.doc_id AND fl.page_no = bk.page_no AND fl.pos = bk.pos + 1))
+SELECT doc_id, page_no, CAST(pos AS INTEGER) AS pos, CAST(block AS INTEGER) AS block FROM bk""")
 def block_grouping(spark, sf_dir):
     return lay.blocks(lay.ordered(adapters.lines(spark, sf_dir)))
 
