@@ -313,7 +313,11 @@ def fit(pages: DataFrame) -> Trees:
     """Trees fitted on the laid-out text of a bounded sample of pages (page_id, html); of any table, an empty one too."""
     rows = stored(training_nodes(pages), "main-text-nodes")
     classifier = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, seed=7)
-    return as_trees(classifier.fit(rows.coalesce(PARTS).select(array_to_vector("features").alias("features"), "label")))
+    held = rows.coalesce(PARTS).select(array_to_vector("features").alias("features"), "label").persist()
+    try:
+        return as_trees(classifier.fit(held))
+    finally:
+        held.unpersist()
 
 
 # --- decoding -------------------------------------------------------------
