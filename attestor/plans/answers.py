@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestor.functions.similarity import token_sort_ratio_native, token_sort_ratio_udf
+from attestor.functions.similarity import register, token_sort_ratio_native
 from attestor.functions.text import readable_id
 from attestor.operators import passages as pas
 from attestor.operators import reads
@@ -107,18 +107,22 @@ lc AS (SELECT a, b, x, y, 0 AS i, list_transform(range(length(y) + 1), lambda k:
 SELECT a, b, round(200.0 * r[len(r)] / (length(x) + length(y)), 6) AS score FROM lc WHERE i = length(x)"""
 
 
+def _name_pairs(spark, sf_dir):
+    names = adapters.table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
+    return names.join(names.withColumnRenamed("a", "b"), (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.col("a") < F.col("b")))
+
+
 @query(_SCORES)
 def token_sort_pairs(spark, sf_dir):
     """Scores of the part names' pairs with one first letter: a small vocabulary, whatever the size of the table."""
-    names = adapters.table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
-    pairs = names.join(names.withColumnRenamed("a", "b"), (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.col("a") < F.col("b")))
-    return pairs.select("a", "b", F.round(token_sort_ratio_udf()("a", "b"), 6).alias("score"))
+    register(spark)
+    return spark.sql("SELECT a, b, round(token_sort_ratio(a, b), 6) AS score FROM {pairs}", pairs=_name_pairs(spark, sf_dir))
 
 
 @query(_SCORES)
 def token_sort_native(spark, sf_dir):
     """The same scores by higher-order functions."""
-    return token_sort_pairs(spark, sf_dir).select("a", "b", F.round(token_sort_ratio_native(F.col("a"), F.col("b")), 6).alias("score"))
+    return _name_pairs(spark, sf_dir).select("a", "b", F.round(token_sort_ratio_native(F.col("a"), F.col("b")), 6).alias("score"))
 
 
 @query(f"WITH {o.NORMALISED} SELECT count(*) AS facts, count(*) FILTER (WHERE value_kind = 'number') AS numeric, count(value_num) AS parsed, count(period_start) AS with_period, count(as_of_date) AS with_as_of, count(entity_id) AS with_entity, count(*) FILTER (WHERE len(scope_tags) > 0) AS with_scope FROM nf")

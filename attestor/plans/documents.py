@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from attestor.operators import extraction as ext
 from attestor.operators import grounding as gro
 from attestor.operators import layout as lay
+from attestor.operators import model_calls as calls
 from attestor.operators import passages as pas
 from attestor.plans import oracle as o
 from attestor.plans.registry import query
@@ -240,19 +243,26 @@ def cache_misses(spark, sf_dir):
     return ext.cache_misses(keyed, keyed.where(F.col("request_id").endswith("0__r0000")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_REQUESTS} SELECT request_id, doc_id, CASE WHEN NOT starts_with(prompt_sha256, '0') AND NOT starts_with(prompt_sha256, '1') THEN '{{"facts": [], "of": "' || prompt_sha256 || '"}}' END AS answer,
+  CASE WHEN starts_with(prompt_sha256, '0') THEN 'the model gave no answer' WHEN starts_with(prompt_sha256, '1') THEN 'refused' END AS error FROM rs""")
 def model_answers(spark, sf_dir):
-    """Answers of a deterministic provider in place of a model."""
+    """Answers of a deterministic provider in place of a model, which gives none to some prompts and fails on others."""
     made = chunks(spark, sf_dir)
-    provider = ext.with_retries(lambda prompt: '{"facts": []}')
-    return ext.answers(ext.prompts(ext.packed(made), made, "Extract claims."), provider)
+
+    def provider(prompt: str) -> str | None:
+        own = hashlib.sha256(prompt.encode()).hexdigest()
+        if own[0] == "1":
+            raise ValueError("refused")
+        return None if own[0] == "0" else f'{{"facts": [], "of": "{own}"}}'
+
+    return calls.paced(ext.prompts(ext.packed(made), made, "Extract claims."), provider, 1e6)
 
 
 _COMPLAINT = """CASE WHEN event_id % 13 = 0 THEN 'answer is not JSON' WHEN event_id % 17 = 0 THEN 'value_raw is missing' WHEN user_id % 4 = 3 AND event_id % 7 = 0 THEN 'value_kind is not known' WHEN event_id % 19 = 0 THEN 'source_kind is not known' END"""
 _CLAIMS = f"cx AS (SELECT *, {_COMPLAINT} AS complaint, 'c' || event_id % 50 AS chunk_id FROM events)"
 
 
-@query(f"WITH {_CLAIMS} SELECT 'r' || event_id AS request_id, complaint, CASE WHEN event_id % 13 <> 0 THEN 'user ' || user_id END AS subject, CASE WHEN event_id % 13 <> 0 AND event_id % 17 <> 0 THEN event_id || ' mn' END AS value_raw, CASE WHEN event_id % 13 <> 0 AND event_id % 2 = 1 THEN 'mn' END AS unit, CAST(NULL AS VARCHAR) AS scope FROM cx")
+@query(f"WITH {_CLAIMS} SELECT 'r' || event_id AS request_id, complaint, CASE WHEN event_id % 13 <> 0 THEN 'user ' || user_id END AS subject, CASE WHEN event_id % 13 <> 0 AND event_id % 17 <> 0 THEN event_id || ' mn' END AS value_raw, CASE WHEN event_id % 13 <> 0 AND event_id % 2 = 1 THEN 'mn' END AS unit, CASE WHEN event_id % 13 <> 0 AND event_id % 4 = 0 THEN 'standalone' END AS scope FROM cx")
 def validate_claims(spark, sf_dir):
     return ext.parsed(adapters.answers(spark, sf_dir)).select("request_id", "complaint", "subject", "value_raw", "unit", "scope")
 
@@ -281,7 +291,7 @@ def misattributed_claims(spark, sf_dir):
     return ext.misattributed(ext.parsed(adapters.answers(spark, sf_dir)), _sent(spark, sf_dir)[0])
 
 
-@query(f"WITH {_CLAIMS} SELECT {_KIND} AS source_kind, count(*) AS n, 0 AS with_period, 0 AS with_as_of, 0 AS with_scope, count(*) AS with_subject FROM cx WHERE complaint IS NULL AND event_id % 6 <> 0 GROUP BY 1")
+@query(f"WITH {_CLAIMS} SELECT {_KIND} AS source_kind, count(*) AS n, count(*) FILTER (WHERE user_id % 3 = 0) AS with_period, count(*) FILTER (WHERE event_id % 3 = 1) AS with_as_of, count(*) FILTER (WHERE event_id % 4 = 0) AS with_scope, count(*) AS with_subject FROM cx WHERE complaint IS NULL AND event_id % 6 <> 0 GROUP BY 1")
 def fill_rates(spark, sf_dir):
     requests, passages = _sent(spark, sf_dir)
     return ext.fill_rates(ext.attributed(ext.parsed(adapters.answers(spark, sf_dir)), requests, passages))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions.text import readable_id
-from attestor.operators import adjudication, extraction, grounding, layout, pairing, passages, resolution
+from attestor.operators import adjudication, extraction, grounding, layout, model_calls, pairing, passages, resolution
 from attestor.plans import prompts
 from attestor.plans.settings import Settings
 from attestor.sources import files
@@ -65,25 +65,26 @@ class Run:
     def ask(self, prompts: DataFrame) -> DataFrame:
         """request_id, answer, error of prompts (request_id, doc_id, prompt), from the cache where it has them.
 
-        The rest is asked in rounds, and each round's answers are in the cache before the next, so a run that is cut off
-        asks nothing twice.
+        The rest is asked in rounds, equal prompts once, and each round's answers are in the cache before the next, so a run that is cut off
+        asks nothing twice. With a provider every request has an answer or an error.
         """
         s = self.settings
         keyed = prompts.withColumn("key", extraction.cache_key(F.lit(s.prompt_version), F.lit(s.model), F.col("prompt")))
-        errors = self.spark.createDataFrame([], "request_id string, error string")
+        errors = self.spark.createDataFrame([], "key string, error string")
         if self.provider is not None:
-            misses = self.write(extraction.cache_misses(keyed, self.cache()), "misses")
+            first = extraction.cache_misses(keyed, self.cache()).groupBy("key").agg(F.min(F.struct("request_id", "doc_id", "prompt")).alias("r"))
+            misses = self.write(first.select("key", "r.*"), "misses")
             rounds = max(1, -(-misses.count() // s.requests_per_round))
             self.write(misses.limit(0).selectExpr("request_id", "key", "CAST(NULL AS STRING) AS answer", "CAST(NULL AS STRING) AS error"), "answers")
             for n in range(rounds):
                 part = misses.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == n)
-                asked = extraction.answers(part, extraction.with_retries(self.provider), s.requests_per_minute, s.request_tasks)
+                asked = model_calls.paced(part, self.provider, s.requests_per_minute, s.request_tasks)
                 asked.join(part.select("request_id", "key"), "request_id").select("request_id", "key", "answer", "error").write.mode("append").parquet(f"{self.folder}/answers")
-                got = self.read("answers").join(part.select("key").distinct(), "key", "left_semi")
+                got = self.read("answers").join(part.select("key"), "key", "left_semi")
                 got.where("answer IS NOT NULL").select("key", "answer").write.mode("append").parquet(self.cached)
-            errors = self.read("answers").where("error IS NOT NULL").select("request_id", "error")
-        known = self.cache().groupBy("key").agg(F.first("answer").alias("answer"))
-        return keyed.select("request_id", "doc_id", "key").join(known, "key", "left").drop("key").join(errors, "request_id", "left")
+            errors = self.read("answers").where("error IS NOT NULL").select("key", "error")
+        known = self.cache().groupBy("key").agg(F.min("answer").alias("answer"))
+        return keyed.select("request_id", "doc_id", "key").join(known, "key", "left").join(errors, "key", "left").drop("key")
 
     def cache(self) -> DataFrame:
         try:

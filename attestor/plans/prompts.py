@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from attestor.functions.text import collapsed, shortened
 from attestor.operators.adjudication import MODEL_VERDICTS, asked_first
@@ -69,6 +70,18 @@ Answer with JSON alone: {"verdict": word, "explanation": two or three sentences
 """
 
 
+def texts(required: str, optional: str = "") -> StructType:
+    """A type of string fields."""
+    return StructType([StructField(n, StringType(), n in optional.split()) for n in (required + " " + optional).split()])
+
+
+#: What answers look like, for providers that bind theirs to a schema.
+CLAIM = texts("chunk_id attribute value_raw value_kind source_kind evidence", "subject unit currency period_text as_of_text scope")
+CLAIMS_ANSWER = StructType([StructField("facts", ArrayType(CLAIM), False)])
+MERGE_ANSWER = ArrayType(StructType([StructField("canonical", StringType(), False), StructField("members", ArrayType(StringType()), False)]))
+VERDICT_ANSWER = texts("verdict explanation")
+
+
 def claim_text(side: str) -> Column:
     stated = lambda name, none="not stated": F.coalesce(F.nullif(collapsed(F.col(f"{side}.{name}")), F.lit("")), F.lit(none))
     value = collapsed(F.concat_ws(" ", f"{side}.value_raw", f"{side}.unit", f"{side}.currency"))

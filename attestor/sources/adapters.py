@@ -64,7 +64,7 @@ ANSWERS = """
 SELECT concat('r', CAST(event_id AS STRING)) AS request_id, 'doc_0' AS doc_id,
   CASE WHEN event_id % 13 = 0 THEN '{"facts": [' WHEN event_id % 10 = 0 THEN concat('{"facts": ', body, '}') ELSE body END AS answer
 FROM (SELECT event_id, concat('[{"chunk_id": "c', CAST(event_id % 50 AS STRING), '", "subject": "  user ', CAST(user_id AS STRING), ' ", "attribute": "', event_type, '", "value_raw": "', CASE WHEN event_id % 17 = 0 THEN ' ' ELSE concat(CAST(event_id AS STRING), ' mn') END,
-  '", "value_kind": "', CASE user_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'date' WHEN 2 THEN 'number' ELSE CASE WHEN event_id % 7 = 0 THEN 'amount' ELSE 'number' END END, '", "unit": "', CASE WHEN event_id % 2 = 0 THEN 'N/A' ELSE ' mn ' END, '", "period_text": null, "scope": "not stated", "source_kind": "', CASE WHEN event_id % 19 = 0 THEN 'picture' ELSE 'prose' END, '", "evidence": "e ', CAST(event_id AS STRING), '"}]') AS body FROM events) x
+  '", "value_kind": "', CASE user_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'date' WHEN 2 THEN 'number' ELSE CASE WHEN event_id % 7 = 0 THEN 'amount' ELSE 'number' END END, '", "unit": "', CASE WHEN event_id % 2 = 0 THEN 'N/A' ELSE ' mn ' END, '", "period_text": ', CASE WHEN user_id % 3 = 0 THEN '"FY 2020"' ELSE 'null' END, ', "as_of_text": "', CASE WHEN event_id % 3 = 1 THEN 'March 2020' ELSE 'n/a' END, '", "scope": "', CASE WHEN event_id % 4 = 0 THEN 'standalone' ELSE 'not stated' END, '", "source_kind": "', CASE WHEN event_id % 19 = 0 THEN 'picture' ELSE 'prose' END, '", "evidence": "e ', CAST(event_id AS STRING), '"}]') AS body FROM events) x
 """
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,11 +58,25 @@ def check_columns(rows: DataFrame, expected: list[str]) -> DataFrame:
     return rows.select(*expected)
 
 
+#: What a statement consists of: comments, quoted parts (with doubled or escaped quotes inside), semicolons, and the rest.
+PIECE = re.compile(r"""--[^\n]*|/\*.*?(?:\*/|\Z)|'(?:[^'\\]|\\.|'')*(?:'|\Z)|"(?:[^"\\]|\\.|"")*(?:"|\Z)|`(?:[^`]|``)*(?:`|\Z)|;|[^-/'"`;]+|.""", re.S)
+
+
+def statements(script: str) -> list[str]:
+    """The statements of a script, parted by semicolons outside of quotes and comments; comments go."""
+    out = [""]
+    for piece in PIECE.findall(script):
+        if piece == ";":
+            out.append("")
+        else:
+            out[-1] += " " if piece.startswith(("--", "/*")) else piece
+    return [s.strip() for s in out if s.strip()]
+
+
 def run_script(spark: SparkSession, script: str) -> None:
-    """Run the statements of a script that end in semicolons."""
-    for statement in (s.strip() for s in script.split(";")):
-        if statement:
-            spark.sql(statement)
+    """Run the statements of a script."""
+    for statement in statements(script):
+        spark.sql(statement)
 
 
 def catalog(spark: SparkSession, folder: str) -> DataFrame:
