@@ -63,14 +63,14 @@ def block_grouping(spark, sf_dir):
 
 @query(f"WITH {o.GUTTERS} SELECT doc_id, page_no, array_to_string(list_transform(gutters, lambda g: CAST(round(g, 2) AS VARCHAR)), ',') AS gutters FROM gu")
 def gutters(spark, sf_dir):
-    found = lay.gutters(lay.ordered(adapters.lines(spark, sf_dir)))
+    found = lay.gutters(lay.ordered(adapters.sparse_lines(spark, sf_dir)))
     return found.select("doc_id", "page_no", F.array_join(F.transform("gutters", lambda g: F.round(g, 2).cast("string")), ",").alias("gutters"))
 
 
 @query(f"""WITH {o.GUTTERS}, cl AS (SELECT fl.*, CASE WHEN coalesce(len(gutters), 0) + 1 BETWEEN 2 AND 4 THEN len(list_filter(gutters, lambda g: "left" >= g)) ELSE 0 END AS col FROM fl LEFT JOIN gu USING (doc_id, page_no))
 SELECT doc_id, page_no, line_id, CAST(col AS INTEGER) AS "column", CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY col, top, "left", line_id) AS INTEGER) AS place FROM cl""")
 def reading_order(spark, sf_dir):
-    return lay.reading_order(lay.ordered(adapters.lines(spark, sf_dir)), "line_id").select("doc_id", "page_no", "line_id", "column", "place")
+    return lay.reading_order(lay.ordered(adapters.sparse_lines(spark, sf_dir)), "line_id").select("doc_id", "page_no", "line_id", "column", "place")
 
 
 @query(f"""WITH {o.FLOW}, st AS (SELECT doc_id, page_no, list_sort(list(font_size))[len(list(font_size)) // 2 + 1] AS body, max(bottom) AS deepest FROM fl GROUP BY ALL),

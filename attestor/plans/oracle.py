@@ -261,6 +261,8 @@ gr AS (SELECT fact_id, doc_id, page_no, page_text, method IS NOT NULL AS grounde
   CASE WHEN ok AND coalesce(value_raw, '') <> '' THEN contains(regexp_replace(lower(e), '(?:{WS}|,)+', '', 'g'), regexp_replace(lower(value_raw), '(?:{WS}|,)+', '', 'g')) ELSE false END AS value_in_evidence FROM g2)"""
 
 LINE_CTE = f"lines AS ({adapters.LINES.strip()})"
+#: Lines on more pages, so that there are gutters between them.
+SPARSE_LINES = adapters.LINES.replace(adapters.LINE_DOCUMENT, adapters.SPARSE_DOCUMENT).strip()
 FLOW = f"""{LINE_CTE}, fl AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY top, "left", line_id) AS pos FROM lines WHERE NOT (font_size <= 9 AND (bottom < page_height * 0.06 OR top > page_height * 0.94)))"""
 _mark = lambda i: f"nullif(regexp_extract(text, '{lay.FOOTNOTE}', {i}), '')"
 NOTES = f"""{FLOW},
@@ -272,7 +274,7 @@ fn AS (SELECT doc_id, page_no, pos, line_id, island, marker, CASE WHEN opens IS
 fb AS (SELECT doc_id, page_no, island, marker, string_agg(said, ' ' ORDER BY pos) AS body FROM fn GROUP BY ALL),
 nt AS (SELECT doc_id, page_no, marker, arg_max(body, island) AS body FROM fb GROUP BY ALL)"""
 _fb = "CAST(floor({x} / (page_width / 200)) AS INTEGER)"
-GUTTERS = f"""{FLOW},
+GUTTERS = f"""{FLOW.replace(adapters.LINES.strip(), SPARSE_LINES)},
 sl AS (SELECT DISTINCT doc_id, page_no, page_width, unnest(range(greatest(0, {_fb.format(x='"left"')}), least(199, {_fb.format(x='"right"')}) + 1)) AS slice FROM fl),
 ga AS (SELECT *, slice - lag(slice) OVER (PARTITION BY doc_id, page_no ORDER BY slice) - 1 AS gap FROM sl),
 gu AS (SELECT doc_id, page_no, list(slice * (page_width / 200) ORDER BY slice) AS gutters FROM ga WHERE gap >= 8 GROUP BY ALL)"""

@@ -46,10 +46,12 @@ class Run:
         return made
 
     def ingest_files(self, folder: str, decoder: Callable[[bytes], dict], glob: str = "*.pdf") -> DataFrame:
-        """Ingestion of a folder's files through a decoder; files that it can't read go to failures."""
-        files_ = self.write(files.decoded(self.spark, folder, decoder, glob), "decoded")
+        """Ingestion of a folder's files through a decoder; files and pages that it can't read go to failures."""
+        files_ = self.write(files.decoded(self.spark, folder, decoder, glob, self.settings.max_pages), "decoded")
         made = self.ingest(files.decoded_lines(files_), files.decoded_tables(files_))
-        self.fail("decode", files_.where("error IS NOT NULL").select(F.lit("file_not_decoded").alias("kind"), "doc_id", "error"))
+        lost = files_.where("error IS NOT NULL").select(F.lit("file_not_decoded").alias("kind"), "doc_id", "error")
+        pages = files_.select("doc_id", F.explode("failures").alias("f")).select(F.lit("page_not_decoded"), F.concat_ws(" page ", "doc_id", F.col("f.page_no").cast("string")), "f.error")
+        self.fail("decode", lost.union(pages))
         return made
 
     def fail(self, stage: str, rows: DataFrame) -> None:

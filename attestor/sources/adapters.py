@@ -43,8 +43,9 @@ SELECT concat('f', CAST(doc_id AS STRING)) AS fact_id, concat('doc_', CAST(doc_i
   CASE WHEN doc_id % 6 = 4 THEN '1008' ELSE substr(text, h + 30, 6) END AS value_raw, substr(text, h + 1) AS chunk_text, h AS chunk_char_start, text AS page_text
 FROM (SELECT doc_id, text, CAST(floor(length(text) / 2.0) AS INT) AS h FROM documents) x
 """
-LINES = """
-SELECT concat('d', CAST(l_orderkey % 60 AS STRING)) AS doc_id, CAST(l_linenumber AS INT) AS page_no,
+LINE_DOCUMENT, SPARSE_DOCUMENT = "concat('d', CAST(l_orderkey % 60 AS STRING)) AS doc_id", "concat('o', CAST(CAST(floor(l_orderkey / 12.0) AS BIGINT) AS STRING)) AS doc_id"
+LINES = f"""
+SELECT {LINE_DOCUMENT}, CAST(l_linenumber AS INT) AS page_no,
   concat(lpad(CAST(l_orderkey AS STRING), 10, '0'), '-', lpad(CAST(rn AS STRING), 3, '0')) AS line_id,
   CASE CAST(l_partkey AS INT) % 9 WHEN 0 THEN concat('(', CAST(q % 5 + 1 AS STRING), ') note on ', CAST(q AS STRING)) WHEN 1 THEN concat('* applies to ', CAST(q AS STRING)) WHEN 2 THEN concat('Value ', CAST(q AS STRING), ' (1, ', CAST(q % 5 + 1 AS STRING), ') [2]')
     WHEN 3 THEN concat('Heading ', CAST(q AS STRING)) WHEN 4 THEN concat('Cell ', CAST(q AS STRING)) ELSE concat('line ', CAST(l_partkey AS STRING), ' of text') END AS text,
@@ -93,6 +94,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from(spark, sf_dir, LINES, "lineitem")
 
 
+def sparse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines on many more pages of few lines each, as gutters need room."""
+    return _from(spark, sf_dir, LINES.replace(LINE_DOCUMENT, SPARSE_DOCUMENT), "lineitem")
+
+
 def raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from(spark, sf_dir, TABLES.replace("{array}", "array"), "orders")
 

@@ -30,27 +30,44 @@ LINE = "page_no int, line_id string, text string, left double, top double, right
 ROW = "page_no int, table_no int, row_no int, cells array<string>"
 
 
-def decoded(spark: SparkSession, folder: str, decoder: Callable[[bytes], dict], glob: str = "*.pdf") -> DataFrame:
-    """doc_id, lines, rows, error of the files of a folder, decoded by executors a file at a time.
+FAILURE = "page_no int, error string"
 
-    decoder: a file's bytes to {"lines": [...], "tables": [...]}, dicts with the names of LINE and ROW. A file that it can't read
-    gives an error in place of both, and the others go on.
+
+def decoded(spark: SparkSession, folder: str, decoder: Callable[[bytes], dict | list[Callable[[], dict]]], glob: str = "*.pdf", most: int | None = None) -> DataFrame:
+    """doc_id, lines, rows, failures, pages, error of the files of a folder, decoded by executors a file at a time.
+
+    decoder: a file's bytes to {"lines": [...], "tables": [...]}, dicts with the names of LINE and ROW; or to a list of functions, one for each page, that give
+    the like for their page, with or without its number. Of those the first `most` are called, and a page that fails is an entry of failures beside the pages that don't.
+    A file that it can't read gives an error in place of all, and the others go on. pages: how many the file has, null if the decoder doesn't say.
     """
-    kinds = (pa.list_(struct_of(StructType.fromDDL(LINE))), pa.list_(struct_of(StructType.fromDDL(ROW))), pa.string())
+    kinds = (pa.list_(struct_of(StructType.fromDDL(LINE))), pa.list_(struct_of(StructType.fromDDL(ROW))), pa.list_(struct_of(StructType.fromDDL(FAILURE))), pa.int32(), pa.string())
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     named = files.select(document_id(F.element_at(F.split("path", "/"), -1), F.sha2("content", 256)).alias("doc_id"), "content")
 
+    def by_page(pages: list[Callable[[], dict]]) -> list:
+        lines, rows, failures = [], [], []
+        for n, page in enumerate(pages[:most], 1):
+            try:
+                got = page()
+                made = [[{"page_no": n} | x for x in got.get(name, [])] for name in ("lines", "tables")]
+                pa.array(made[0], kinds[0].value_type), pa.array(made[1], kinds[1].value_type)  # of the right types, or this page fails
+            except Exception as error:  # one page must not lose the others
+                failures.append({"page_no": n, "error": f"{type(error).__name__}: {error}"})
+            else:
+                lines, rows = lines + made[0], rows + made[1]
+        return [lines, rows, failures, len(pages), None]
+
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 try:
                     got = decoder(batch.column("content")[i].as_py())
-                    out = [got.get("lines", []), got.get("tables", []), None]
+                    out = by_page(got) if isinstance(got, list) else [got.get("lines", []), got.get("tables", []), [], None, None]
                 except Exception as error:  # one unreadable file must not lose the others
-                    out = [None, None, f"{type(error).__name__}: {error}"]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), *(pa.array([x], t) for x, t in zip(out, kinds, strict=True))], ["doc_id", "lines", "rows", "error"])
+                    out = [None, None, None, None, f"{type(error).__name__}: {error}"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), *(pa.array([x], t) for x, t in zip(out, kinds, strict=True))], ["doc_id", "lines", "rows", "failures", "pages", "error"])
 
-    return named.mapInArrow(run, f"doc_id string, lines array<struct<{LINE}>>, rows array<struct<{ROW}>>, error string")
+    return named.mapInArrow(run, f"doc_id string, lines array<struct<{LINE}>>, rows array<struct<{ROW}>>, failures array<struct<{FAILURE}>>, pages int, error string")
 
 
 def struct_of(fields: StructType) -> pa.DataType:

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from attestor.operators import adjudication, reads, resolution
+from attestor.operators import adjudication, layout, reads, resolution
 from attestor.plans import prompts
 from attestor.plans.pipeline import Run
 from attestor.plans.settings import Settings
@@ -103,3 +103,30 @@ def test_files_are_decoded_one_by_one(spark, tmp_path):
     (tmp_path / "b.pdf").write_bytes(b"\xff")
     rows = {r.doc_id[:5]: r for r in files.decoded(spark, f"file://{tmp_path}", json.loads).collect()}
     assert rows["doc_a"].error is None and len(rows["doc_a"].lines) == 1 and rows["doc_b"].lines is None and "Error" in rows["doc_b"].error
+
+
+def test_a_page_that_fails_does_not_lose_the_others(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.pdf").write_text(json.dumps(["open", None, "sold", 7, "closed"]))
+    (tmp_path / "in/b.pdf").write_text("{")
+
+    def pages(content):
+        def page(word):
+            if word is None:
+                raise KeyError("font")
+            return {"lines": [{k: v for k, v in x.items() if k != "page_no"} | {"top": "high" if word == 7 else x["top"]} for x in document([word])["lines"]]}
+
+        return [lambda w=w: page(w) for w in json.loads(content)]
+
+    run = Run(spark, f"file://{tmp_path}/run", settings=Settings(max_pages=4))
+    run.ingest_files(f"file://{tmp_path}/in", pages)
+    assert sorted(r.page_no for r in run.read("pages").collect()) == [1, 3]
+    lost = sorted((r.kind, r.subject.split("_")[1] + r.subject[-7:], r.detail.split(":")[0]) for r in run.failures().where("stage = 'decode'").collect())
+    assert [(k, s[0], s[-6:] if k.startswith("page") else "", e) for k, s, e in lost] == [("file_not_decoded", "b", "", "JSONDecodeError"), ("page_not_decoded", "a", "page 2", "KeyError"), ("page_not_decoded", "a", "page 4", lost[2][2])]
+    assert {r.doc_id[:5]: r.pages for r in run.read("decoded").collect()} == {"doc_a": 5, "doc_b": None}
+
+
+def test_document_summary(spark):
+    pages = [("d", 1, "x" * 150), ("d", 2, "short"), ("d", 10, f"{layout.TABLES_MARK}\nTABLE 1\na | b\n\n{layout.FOOTNOTES_MARK}\n(1) n"), ("e", 3, "y" * 100), ("e", 1, "")]
+    got = {r.doc_id: tuple(r)[1:] for r in layout.document_summary(spark.createDataFrame(pages, "doc_id string, page_no int, raw_text string")).collect()}
+    assert got == {"d": (3, 155 + len(pages[2][2]), 1, 1, "2,10"), "e": (2, 100, 0, 0, "1")}
