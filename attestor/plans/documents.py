@@ -53,9 +53,16 @@ _slim, _common = 'greatest(1.0, least("right" - "left", x.r - x.l))', '(least("r
 _meets = f"(CASE WHEN {_slim} <= 45 THEN greatest(0.0, -{_common}) <= 12 ELSE {_common} > 0 AND {_common} / {_slim} >= 0.25 END) AND (top - x.b <= 0 OR top - x.b <= least(x.h, bottom - top) + 6)"
 
 
-@query(f"""WITH RECURSIVE {o.FLOW}, bk AS (SELECT doc_id, page_no, pos, 0 AS block, [{_box}] AS bs FROM fl WHERE pos = 1
-  UNION ALL SELECT doc_id, page_no, pos, coalesce(found, len(bs)), CASE WHEN found IS NULL THEN list_append(bs, {_box}) ELSE list_transform(bs, lambda x, i: CASE WHEN i = found + 1 THEN {_join} ELSE x END) END
-    FROM (SELECT fl.*, bs, list_sort(list_filter(list_transform(bs, lambda x, i: CASE WHEN {_meets} THEN {{gap: top - x.b, i: i - 1}} END), lambda y: y IS NOT NULL))[1].i AS found FROM bk JOIN fl ON fl.doc_id = bk.doc_id AND fl.page_no = bk.page_no AND fl.pos = bk.pos + 1))
+
+
+def _blocks(lines: str, name: str = "bk") -> str:
+    """CTE of the blocks of lines (with rpos from 1 on each page) as a recursion from line to line."""
+    return f"""{name} AS (SELECT doc_id, page_no, pos, rpos, 0 AS block, [{_box}] AS bs FROM {lines} WHERE rpos = 1
+  UNION ALL SELECT doc_id, page_no, pos, rpos, coalesce(found, len(bs)), CASE WHEN found IS NULL THEN list_append(bs, {_box}) ELSE list_transform(bs, lambda x, i: CASE WHEN i = found + 1 THEN {_join} ELSE x END) END
+    FROM (SELECT l.*, bs, list_sort(list_filter(list_transform(bs, lambda x, i: CASE WHEN {_meets} THEN {{gap: top - x.b, i: i - 1}} END), lambda y: y IS NOT NULL))[1].i AS found FROM {name} b JOIN {lines} l ON l.doc_id = b.doc_id AND l.page_no = b.page_no AND l.rpos = b.rpos + 1))"""
+
+
+@query(f"""WITH RECURSIVE {o.FLOW}, rl AS (SELECT *, pos AS rpos FROM fl), {_blocks("rl")}
 SELECT doc_id, page_no, CAST(pos AS INTEGER) AS pos, CAST(block AS INTEGER) AS block FROM bk""")
 def block_grouping(spark, sf_dir):
     return lay.blocks(lay.ordered(adapters.lines(spark, sf_dir)))
@@ -121,12 +128,39 @@ def ingested(spark, sf_dir):
     return lay.ingested(adapters.lines(spark, sf_dir), adapters.raw_tables(spark, sf_dir))
 
 
-@query()
+_SLICE = "CAST(floor({x} / (page_width / 200)) AS INTEGER)"
+_KEPT = o.KEPT.split(o.FLAT)[1].replace("pz AS (SELECT doc_id, page_no, lower(" + o.collapse("string_agg(text, ' ' ORDER BY pos)") + ") AS prose FROM fl GROUP BY ALL)", "pz AS (SELECT doc_id, page_no, lower(" + o.collapse("string_agg(text, ' ' ORDER BY block)") + ") AS prose FROM bt GROUP BY ALL)")
+_TEXTS = "string_agg(text, chr(10) ORDER BY pos) AS text, min(\"left\") AS \"left\", max(\"right\") AS \"right\", min(top) AS top, max(page_width) AS page_width"
+#: The whole chain from lines and raw tables to pages, as CTE ig.
+INGESTED = f"""{o.NOTES},
+pr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY pos) AS rpos FROM fl ANTI JOIN fn USING (doc_id, page_no, pos)), {_blocks("pr")},
+pb AS (SELECT pr.*, block FROM pr JOIN bk USING (doc_id, page_no, pos)),
+bt AS (SELECT doc_id, page_no, block, {_TEXTS} FROM pb GROUP BY ALL), {o.FLAT + _KEPT},
+ce AS (SELECT DISTINCT doc_id, page_no, lower(cell) AS cell FROM (SELECT doc_id, page_no, unnest(cells) AS cell FROM kt) WHERE cell <> ''),
+lt AS (SELECT pb.* FROM pb ANTI JOIN ce ON pb.doc_id = ce.doc_id AND pb.page_no = ce.page_no AND lower(pb.text) = ce.cell),
+sh AS (SELECT doc_id, page_no, block, {_TEXTS} FROM lt GROUP BY ALL),
+sl AS (SELECT DISTINCT doc_id, page_no, page_width, unnest(range(greatest(0, {_SLICE.format(x='"left"')}), least(199, {_SLICE.format(x='"right"')}) + 1)) AS slice FROM sh),
+ga AS (SELECT *, slice - lag(slice) OVER (PARTITION BY doc_id, page_no ORDER BY slice) - 1 AS gap FROM sl),
+gu AS (SELECT doc_id, page_no, list(slice * (page_width / 200) ORDER BY slice) AS gutters FROM ga WHERE gap >= 8 GROUP BY ALL),
+cl AS (SELECT sh.*, CASE WHEN coalesce(len(gutters), 0) + 1 BETWEEN 2 AND 4 THEN len(list_filter(gutters, lambda g: "left" >= g)) ELSE 0 END AS col FROM sh LEFT JOIN gu USING (doc_id, page_no)),
+pa AS (SELECT doc_id, page_no, string_agg(text, chr(10) || chr(10) ORDER BY col, top, "left", block) AS p FROM cl GROUP BY ALL),
+tt AS (SELECT doc_id, page_no, table_no, 'TABLE ' || table_no || chr(10) || string_agg(line, chr(10) ORDER BY row_no) AS t FROM kt GROUP BY doc_id, page_no, table_no),
+ta AS (SELECT doc_id, page_no, string_agg(t, chr(10) || chr(10) ORDER BY table_no) AS t FROM tt GROUP BY ALL),
+na AS (SELECT doc_id, page_no, string_agg('(' || marker || ') ' || body, chr(10) ORDER BY marker) AS n, '{{' || string_agg('"' || marker || '":"' || body || '"', ',' ORDER BY marker) || '}}' AS footnotes FROM nt GROUP BY ALL),
+st AS (SELECT doc_id, page_no, list_sort(list(font_size))[len(list(font_size)) // 2 + 1] AS body, max(bottom) AS deepest FROM fl GROUP BY ALL),
+hd AS (SELECT doc_id, page_no, first(text ORDER BY font_size DESC, top, line_id) AS heading FROM fl JOIN st USING (doc_id, page_no) WHERE deepest > 0 AND font_size >= body * 1.4 AND top <= deepest * 0.35 GROUP BY ALL),
+al AS (SELECT doc_id, page_no FROM pa UNION SELECT doc_id, page_no FROM ta UNION SELECT doc_id, page_no FROM na),
+ig AS (SELECT doc_id, page_no, concat_ws(chr(10) || chr(10), CASE WHEN trim(p) <> '' THEN p END, '{lay.TABLES_MARK}' || chr(10) || t, '{lay.FOOTNOTES_MARK}' || chr(10) || n) AS raw_text, coalesce(heading, '') AS section_heading, coalesce(footnotes, '{{}}') AS footnotes
+  FROM al LEFT JOIN pa USING (doc_id, page_no) LEFT JOIN ta USING (doc_id, page_no) LEFT JOIN na USING (doc_id, page_no) LEFT JOIN hd USING (doc_id, page_no))"""
+
+
+@query(f"WITH RECURSIVE {INGESTED} SELECT doc_id, page_no, raw_text, section_heading, footnotes FROM ig")
 def ingest_pages(spark, sf_dir):
     return ingested(spark, sf_dir).withColumn("footnotes", F.to_json("footnotes"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {INGESTED} SELECT doc_id, count(*) AS pages, CAST(sum(length(raw_text)) AS BIGINT) AS characters, count(*) FILTER (WHERE contains(raw_text, '{lay.TABLES_MARK}')) AS with_tables,
+  count(*) FILTER (WHERE contains(raw_text, '{lay.FOOTNOTES_MARK}')) AS with_footnotes, coalesce(string_agg(CAST(page_no AS VARCHAR), ',' ORDER BY page_no) FILTER (WHERE length(raw_text) < 100), '') AS nearly_empty FROM ig GROUP BY doc_id""")
 def ingest_summary(spark, sf_dir):
     return lay.document_summary(ingested(spark, sf_dir))
 
