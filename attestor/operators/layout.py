@@ -108,49 +108,35 @@ def neighbours(lines: DataFrame) -> DataFrame:
     return joined.select(*PAGE, "line_id", same_column(c("p_left"), c("p_right"), c("left"), c("right")).alias("same_column"), close.alias("close"))
 
 
-class OpenBlocks:
-    """The blocks of a page that a line may still join, as arrays in the order in which they were opened."""
-
-    def __init__(self):
-        self.rows, self.ids, self.n, self.opened = np.empty((64, 4)), np.empty(64, np.int64), 0, 0  # left, right, bottom, least height
-
-    def nearest(self, left: float, right: float, top: float, height: float) -> int:
-        """The place of the nearest block above that shares the line's column and stands close, the first opened of equals; -1 if none."""
-        bl, br, bb, bh = self.rows[: self.n].T
-        narrower, overlap, gap = np.maximum(1.0, np.minimum(right - left, br - bl)), np.minimum(right, br) - np.maximum(left, bl), top - bb
-        beside = np.where(narrower <= NARROW, -overlap <= TOUCH, (overlap > 0) & (overlap / narrower >= OVERLAP))
-        near = np.flatnonzero(beside & ((gap <= 0) | (gap <= np.minimum(bh, height) + GAP_SLACK)))
-        return int(near[np.argmin(gap[near])]) if len(near) else -1
-
-    def take(self, left: float, right: float, top: float, bottom: float) -> int:
-        """The number of the block that a line joins or opens."""
-        at = self.nearest(left, right, top, bottom - top)
-        if at < 0:
-            if self.n == len(self.ids):
-                self.rows, self.ids = np.resize(self.rows, (2 * self.n, 4)), np.resize(self.ids, 2 * self.n)
-            at, self.n = self.n, self.n + 1
-            self.rows[at], self.ids[at], self.opened = (left, right, bottom, bottom - top), self.opened, self.opened + 1
+def grouped(boxes: list[tuple[float, float, float, float]]) -> list[int]:
+    """The block of each line (left, right, top, bottom) of a page, in order.
+
+    A sweep from line to line that keeps the blocks in the order in which they were opened and, whenever they have doubled, drops those that no line
+    still to come can join, as it lies too far below. So a line looks at the blocks near it, not at all of the page.
+    """
+    least_top = np.minimum.accumulate(np.array([x[2] for x in boxes], float)[::-1])[::-1].tolist() if boxes else []
+    open_: list[tuple[float, float, float, float, int]] = []  # left, right, bottom, least height, number
+    out, opened, full = [], 0, 16
+    for (left, right, top, bottom), rest in zip(boxes, least_top, strict=True):
+        if len(open_) >= full:
+            open_ = [x for x in open_ if rest - x[2] <= max(x[3] + GAP_SLACK, 0)]
+            full = max(16, 2 * len(open_))
+        best, least, width, height = -1, None, right - left, bottom - top
+        for i, (bl, br, bb, bh, _) in enumerate(open_):
+            gap = top - bb
+            if (least is not None and gap >= least) or (gap > 0 and gap > min(bh, height) + GAP_SLACK):
+                continue
+            narrower, overlap = max(1.0, min(width, br - bl)), min(right, br) - max(left, bl)
+            if max(0.0, -overlap) <= TOUCH if narrower <= NARROW else overlap > 0 and overlap / narrower >= OVERLAP:
+                best, least = i, gap
+        if best < 0:
+            open_.append((left, right, bottom, height, opened))
+            out.append(opened)
+            opened += 1
         else:
-            bl, br, bb, bh = self.rows[at]
-            self.rows[at] = min(bl, left), max(br, right), max(bb, bottom), min(bh, bottom - top)
-        return int(self.ids[at])
-
-    def close(self, top: float) -> None:
-        """Drop the blocks that no line from `top` on can join, as it would be too far below."""
-        may = top - self.rows[: self.n, 2] <= np.maximum(self.rows[: self.n, 3] + GAP_SLACK, 0)
-        kept = int(may.sum())
-        self.rows[:kept], self.ids[:kept], self.n = self.rows[: self.n][may], self.ids[: self.n][may], kept
-
-
-def grouped(boxes: np.ndarray) -> list[int]:
-    """The block of each line (left, right, top, bottom) of a page, in order: a sweep that keeps the blocks near the line."""
-    least_top = np.minimum.accumulate(boxes[::-1, 2])[::-1] if len(boxes) else []
-    open_, out, swept = OpenBlocks(), [], 64
-    for (left, right, top, bottom), rest in zip(boxes.tolist(), least_top, strict=True):
-        if open_.n >= swept:
-            open_.close(rest)
-            swept = max(64, 2 * open_.n)
-        out.append(open_.take(left, right, top, bottom))
+            bl, br, bb, bh, number = open_[best]
+            open_[best] = min(bl, left), max(br, right), max(bb, bottom), min(bh, height), number
+            out.append(number)
     return out
 
 
@@ -163,7 +149,7 @@ def blocks(lines: DataFrame) -> DataFrame:
 
     def sweep(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values("pos")
-        return page[["doc_id", "page_no", "pos"]].assign(block=grouped(page[["left", "right", "top", "bottom"]].to_numpy(float)))
+        return page[["doc_id", "page_no", "pos"]].assign(block=grouped(list(page[["left", "right", "top", "bottom"]].itertuples(index=False, name=None))))
 
     return lines.select(*PAGE, "pos", "left", "right", "top", "bottom").groupBy(*PAGE).applyInPandas(sweep, schema)
 
