@@ -80,12 +80,23 @@ def family_rollup(spark, sf_dir):
     return res.family_rows(phrase.withColumn("label", F.array_join(res.signature(F.col("phrase")), " "))).withColumn("member_phrases", F.array_join("member_phrases", ","))
 
 
-@query()
+def _leaders(least: float, count: int) -> str:
+    """CTEs from names (phrase, n, first, blk) to ld (phrase, leader, leads): scores of all pairs of a block, then one phrase after the other."""
+    return f"""ph AS (SELECT *, row_number() OVER (ORDER BY n DESC, first) AS r, array_to_string(list_sort(list_filter(string_split(phrase, ' '), lambda w: w <> '')), ' ') AS t FROM names),
+lc AS (SELECT a.r AS l, b.r AS r, a.t AS x, b.t AS y, 0 AS i, list_transform(range(length(b.t) + 1), lambda k: 0) AS row FROM ph a JOIN ph b ON a.r < b.r AND a.blk = b.blk
+  UNION ALL SELECT l, r, x, y, i + 1, list_reduce(list_transform(range(1, length(y) + 1), lambda j: [j]), lambda acc, j: list_append(acc, CASE WHEN substr(y, j[1], 1) = substr(x, i + 1, 1) THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], acc[len(acc)]) END), [0]) FROM lc WHERE i < length(x)),
+sc AS (SELECT r, list({{o: -s, l: l}}) AS near FROM (SELECT l, r, 200.0 * row[len(row)] / (length(x) + length(y)) AS s FROM lc WHERE i = length(x)) WHERE s >= {least} GROUP BY r),
+ld AS (SELECT r, phrase, r AS own, n >= {count} AS leads, CASE WHEN n >= {count} THEN [r] ELSE [] END AS ls FROM ph WHERE r = 1
+  UNION ALL SELECT r, phrase, coalesce(best, r), best IS NULL AND n >= {count}, CASE WHEN best IS NULL AND n >= {count} THEN list_append(ls, r) ELSE ls END
+    FROM (SELECT ph.r, ph.phrase, ph.n, d.ls, list_sort(list_filter(coalesce(near, []), lambda z: list_contains(d.ls, z.l)))[1].l AS best FROM ld d JOIN ph ON ph.r = d.r + 1 LEFT JOIN sc ON sc.r = ph.r))"""
+
+
+@query(f"WITH RECURSIVE {o.FACT_CTE}, {_SUBJECT}, names AS (SELECT subject AS phrase, count(*) AS n, min(fact_id) AS first, '' AS blk FROM sj GROUP BY subject), {_leaders(93.0, 1)} SELECT ld.phrase, ph.phrase AS leader, leads FROM ld JOIN ph ON ph.r = ld.own")
 def leader_entities(spark, sf_dir):
     return res.entity_leaders(res.resolved_subjects(facts(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH RECURSIVE {o.FACT_CTE}, names AS (SELECT phrase, count(*) AS n, min(fact_id) AS first, array_to_string({o.signature('phrase')}, ' ') AS blk FROM (SELECT fact_id, {o.plain('attribute_raw')} AS phrase FROM facts) GROUP BY phrase), {_leaders(88.0, 2)} SELECT ld.phrase, ph.phrase AS leader, leads FROM ld JOIN ph ON ph.r = ld.own")
 def leader_families(spark, sf_dir):
     return res.family_leaders(facts(spark, sf_dir))
 
