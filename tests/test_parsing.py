@@ -8,26 +8,29 @@ from pyspark.sql import functions as F
 from attestor.functions import parsing as P
 from attestor.operators.resolution import learn_year_end
 
+# What the parsers must give.
 NUMBERS = [
     ("1,240", None, 1240.0), ("98,135", None, 98135.0), ("1,240", "crore", 12400000000.0), ("1,240 crore", None, 12400000000.0),
     ("₹1,240 Cr", None, 12400000000.0), ("412.6", "million", 412600000.0), ("(1,008)", None, -1008.0), ("(452", None, -452.0),
     ("(1,008 Cr)", None, -10080000000.0), ("5.03%", None, 5.03), ("(5.6%)", None, -5.6), (">2.8Bn", None, 2800000000.0),
     (">33,200", None, 33200.0), ("18.8Mn Sq ft", None, 18800000.0), ("4.8", "Mn tonnes", 4800000.0), ("9,177", None, 9177.0),
     ("no digits at all", None, None), ("3,851", "lakh", 385100000.0), ("40", "percent", 40.0), ("1.6", "%", 1.6),
-    ("₹(452)", None, 452.0), ("1 million crore", None, 1e6), ("", None, None), (None, None, None), ("5.", None, 5.0),
 ]
 DATES = [
     ("March 31, 2024", "2024-03-31"), ("31 March 2024", "2024-03-31"), ("31-03-2024", "2024-03-31"), ("2024-03-31", "2024-03-31"),
     ("Mar '24", "2024-03-31"), ("December 31, 2021", "2021-12-31"), ("30 June 2024", "2024-06-30"), ("2023", "2023-12-31"),
-    ("February 2024", "2024-02-29"), ("nonsense", None), ("March 31", "2031-03-31"), ("31-02-2024", None), (None, None), ("", None),
+    ("February 2024", "2024-02-29"), ("nonsense", None),
 ]
 PERIODS = [
     ("year ended 31 March 2024", "2023-04-01", "2024-03-31"), ("nine months period ended December 31, 2021", "2021-04-01", "2021-12-31"),
     ("Q4 FY24", "2024-01-01", "2024-03-31"), ("Q1 FY24", "2023-04-01", "2023-06-30"), ("FY24", "2023-04-01", "2024-03-31"),
     ("Fiscal 2021", "2020-04-01", "2021-03-31"), ("quarter ended March 31, 2024", "2024-01-01", "2024-03-31"),
-    ("six months ended September 30, 2023", "2023-04-01", "2023-09-30"), ("FY 2023-24", "2022-04-01", "2023-03-31"),
-    ("as at 5 May 2020", "2020-05-05", "2020-05-05"), ("whenever", None, None), (None, None, None),
+    ("six months ended September 30, 2023", "2023-04-01", "2023-09-30"),
 ]
+# Cases added here.
+NUMBERS += [("₹(452)", None, 452.0), ("1 million crore", None, 1e6), ("", None, None), (None, None, None), ("5.", None, 5.0)]
+DATES += [("March 31", "2031-03-31"), ("31-02-2024", None), (None, None), ("", None)]
+PERIODS += [("FY 2023-24", "2022-04-01", "2023-03-31"), ("as at 5 May 2020", "2020-05-05", "2020-05-05"), ("whenever", None, None), (None, None, None)]
 day = lambda x: dt.date.fromisoformat(x) if x else None
 
 
