@@ -7,13 +7,18 @@ template's tokens are constant, a line belongs to three templates at most, and l
 say nothing about each other. A template that lines of at least LEAST_DOCUMENTS different texts have is
 dropped everywhere; a whole line of more than LONG tokens already from two texts on. Copies of a text are one
 text: they are the business of deduplication of documents.
+
+Fields anywhere come from leaves of their own, by the number of tokens and the first FIELD_DEPTH of them: in a leaf with lines of at least LEAST_DOCUMENTS
+texts a token is constant at a place if that many lines have it there and no less than a CONSTANT_SHARE of the leaf's, else a field. Lines that are one template
+then and have constants at more than half of the places after the leading ones recur if LEAST_DOCUMENTS texts have them and no less than a TEMPLATE_SHARE of the leaf's. The
+shares keep common words of a large leaf from passing for a template, whatever the size of the corpus.
 Only built-in expressions run; counts are summed up before anything is shuffled, and no line list of a
 leaf is ever gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.work import passing, probed, stored, whole
@@ -22,6 +27,7 @@ DEPTH = 4
 LEAST_REST = 4
 LEAST_DOCUMENTS = 10
 LONG = 50
+FIELD_DEPTH, CONSTANT_SHARE, TEMPLATE_SHARE = 3, 1 / 16, 1 / 64
 FIELD = "<*>"
 #: White space of a line other than single spaces; where none occurs, lines are cut without a regular expression.
 ODD_SPACE = ("  ", "\t", "\x0b", "\x0c", "\r")
@@ -52,14 +58,19 @@ def templates_of(lines: DataFrame) -> DataFrame:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """key, same, at, template (two hashes of its text; together they tell templates apart), least: the texts it takes to recur, of all lines and templates."""
-    lines = templates_of(lines_of(docs))
+    """key, same, at, template (two hashes of its text; together they tell templates apart), least: the texts it takes to recur, of all lines and templates; leaf in the row of a line's first template."""
+    lines = templates_of(lines_of(docs)).withColumn("leaf", leaf())
     hashes = F.transform("templates", lambda t: F.struct(F.xxhash64(t).alias("h"), F.hash(t).alias("c")))
-    return lines.select("key", "same", "at", (F.col("length") > LONG).alias("long"), F.posexplode(hashes).alias("kind", "template")).select(
-        "key", "same", "at", F.col("template.h").alias("h"), F.col("template.c").alias("c"), F.when(F.col("long") & (F.col("kind") == 0), 2).otherwise(LEAST_DOCUMENTS).alias("least")
+    return lines.select("key", "same", "at", (F.col("length") > LONG).alias("long"), "leaf", F.posexplode(hashes).alias("kind", "template")).select(
+        "key", "same", "at", F.col("template.h").alias("h"), F.col("template.c").alias("c"), F.when(F.col("long") & (F.col("kind") == 0), 2).otherwise(LEAST_DOCUMENTS).alias("least"), F.when(F.col("kind") == 0, F.col("leaf")).alias("leaf")
     )
 
 
+def leaf() -> Column:
+    """The leaf in which a line's fields are looked for; null for lines of few tokens."""
+    return F.when(F.col("length") >= DEPTH + LEAST_REST, F.xxhash64("length", F.substring_index("masked", " ", FIELD_DEPTH)))
+
+
 def recurring(lines: DataFrame) -> DataFrame:
     """h, c, documents of the templates that lines of enough different texts have. lines: placed()."""
     twice = stored(lines.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where("n >= least").select("h", "c"), "lines-twice")
@@ -67,13 +78,48 @@ def recurring(lines: DataFrame) -> DataFrame:
     return again.groupBy("h", "c").agg(F.count(F.lit(1)).alias("documents"), F.max("least").alias("least")).where("documents >= least").select("h", "c", "documents")
 
 
+def with_fields(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """key, at, same, leaf, template of the lines that are a recurring template with fields at any place. lines: placed(), of the same docs.
+
+    Only leaves with lines of enough texts are looked into. A leaf's constants are one row of at most 1 / CONSTANT_SHARE tokens a place; each of its lines is
+    masked by that row, so tokens are counted, but neither joined nor gathered.
+    """
+    first = lines.where("leaf IS NOT NULL").select("leaf", "same")
+    twice = stored(first.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).select("leaf"), "lines-leaves")
+    texts = passing(first, "leaf", twice).join(twice, "leaf").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"))
+    leaves = stored(texts.where(F.col("texts") >= LEAST_DOCUMENTS), "lines-leaves")
+    shaped = templates_of(lines_of(docs)).withColumn("leaf", leaf()).select("key", "same", "at", "masked", "leaf")
+    members = stored(passing(shaped, "leaf", leaves).join(leaves, "leaf"), "lines-members")
+
+    one = stored(members.groupBy("leaf", "same", "masked").agg(F.first("texts").alias("texts")), "lines-worded")
+    sizes = one.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"))
+    counted = one.select("leaf", F.posexplode(F.split("masked", " ")).alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n"))
+    common = (F.col("token") != FIELD) & (F.col("n") >= LEAST_DOCUMENTS) & (F.col("n") >= F.col("lines") * CONSTANT_SHARE)
+    by_place = stored(counted, "lines-tokens").join(stored(sizes, "lines-sizes"), "leaf").groupBy("leaf", "place").agg(F.collect_list(F.when(common, F.col("token"))).alias("tokens"))
+    constants = by_place.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "tokens"))), lambda s: s["tokens"]).alias("constants"))
+
+    named = one.join(stored(constants, "lines-constants"), "leaf").withColumn("tokens", F.split("masked", " "))
+    kept = F.transform("tokens", lambda t, i: F.when(F.array_contains(F.get("constants", i), t), t).otherwise(FIELD))
+    named = named.select("leaf", "same", "masked", "texts", kept.alias("kept"))
+    fixed = F.size(F.filter("kept", lambda t, i: (i >= FIELD_DEPTH) & (t != FIELD)))
+    named = stored(named.where(2 * fixed > F.size("kept") - FIELD_DEPTH).select("leaf", "same", "masked", "texts", F.array_join("kept", " ").alias("template")), "lines-named")
+    spread = named.groupBy("leaf", "template", "same").agg(F.first("texts").alias("texts")).groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("documents"), F.first("texts").alias("texts"))
+    good = stored(spread.where((F.col("documents") >= LEAST_DOCUMENTS) & (F.col("documents") >= F.col("texts") * TEMPLATE_SHARE)).select("leaf", "template"), "lines-fields")
+    gone = stored(named.join(good, ["leaf", "template"]).select("leaf", "same", "masked", "template"), "lines-gone")
+    return members.join(gone, ["leaf", "same", "masked"]).select("key", "at", "same", "leaf", "template")
+
+
 def templates(docs: DataFrame) -> DataFrame:
-    """template, documents: the text of every template that recurs and the number of different texts it occurs in."""
+    """template, documents: the text of every template that recurs and the number of different texts it occurs in.
+
+    Null and blank lines have none; repeated rows count as one text. An empty table gives an empty result.
+    """
     lines = stored(placed(docs.select("doc_id", "text")), "lines-placed")
     kept = stored(recurring(lines), "lines-templates")
     texts = templates_of(lines_of(docs.select("doc_id", "text"))).select(F.explode("templates").alias("template")).withColumn("h", F.xxhash64("template"))
     named = passing(texts, "h", kept).groupBy("h", F.hash("template").alias("c")).agg(F.min("template").alias("template"))
-    return named.join(kept, ["h", "c"]).select("template", "documents")
+    fields = with_fields(docs.select("doc_id", "text"), lines).groupBy("leaf", "template").agg(F.countDistinct("same").alias("documents")).select("template", "documents")
+    return named.join(kept, ["h", "c"]).select("template", "documents").union(fields).groupBy("template").agg(F.max("documents").alias("documents"))
 
 
 def dropped(docs: DataFrame) -> DataFrame:
@@ -85,7 +131,8 @@ def dropped(docs: DataFrame) -> DataFrame:
     """
     lines = stored(placed(docs.select("doc_id", "text")), "lines-placed")
     kept = stored(recurring(lines), "lines-templates")
-    hits = passing(lines.select("key", "at", "h", "c"), "h", kept).join(kept.select("h", "c"), ["h", "c"]).select("key", "at").distinct()
+    hits = passing(lines.select("key", "at", "h", "c"), "h", kept).join(kept.select("h", "c"), ["h", "c"]).select("key", "at")
+    hits = hits.union(with_fields(docs.select("doc_id", "text"), lines).select("key", "at")).distinct()
     marked = stored(hits.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("gone")), "lines-marked")
     packed = docs.select(whole(docs).alias("row"), F.xxhash64("doc_id", "text").alias("key"))
     joined = passing(packed, "key", marked).join(marked.hint("merge"), "key", "left")

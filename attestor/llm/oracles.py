@@ -65,7 +65,16 @@ k AS (SELECT r, text, place, 'whole ' || array_to_string(t, ' ') AS template, CA
   UNION ALL SELECT r, text, place, 'first ' || n || ' ' || array_to_string(t[1:half], ' '), 10 FROM f WHERE n >= 8
   UNION ALL SELECT r, text, place, 'second ' || n || ' ' || array_to_string(t[1:4], ' ') || ' .. ' || array_to_string(t[half + 1:n], ' '), 10 FROM f WHERE n >= 8),
 g AS (SELECT template FROM k GROUP BY template HAVING count(DISTINCT text) >= max(least)),
-gone AS (SELECT DISTINCT r, place FROM k JOIN g USING (template)),
+fw AS (SELECT DISTINCT text, t, n, n || ' ' || array_to_string(t[1:3], ' ') AS leaf FROM f WHERE n >= 8),
+fs AS (SELECT leaf, count(*) AS lines, count(DISTINCT text) AS texts FROM fw GROUP BY leaf HAVING count(DISTINCT text) >= 10),
+ft AS (SELECT leaf, lines, unnest(range(n)) AS p, unnest(t) AS w FROM fw JOIN fs USING (leaf)),
+fc AS (SELECT leaf, p, w FROM ft WHERE w <> '<*>' GROUP BY leaf, p, w, lines HAVING count(*) >= 10 AND count(*) * 16 >= lines),
+fm AS (SELECT leaf, list(p || ' ' || w) AS c FROM fc GROUP BY leaf),
+fx AS (SELECT leaf, text, t, n, texts, list_transform(t, lambda w, i: CASE WHEN list_contains(c, (i - 1) || ' ' || w) THEN w ELSE '<*>' END) AS x FROM fw JOIN fs USING (leaf) JOIN fm USING (leaf)),
+fy AS (SELECT leaf, text, t, texts, array_to_string(x, ' ') AS x FROM fx WHERE 2 * len(list_filter(x[4:n], lambda w: w <> '<*>')) > n - 3),
+fg AS (SELECT leaf, x FROM fy GROUP BY leaf, x, texts HAVING count(DISTINCT text) >= 10 AND count(DISTINCT text) * 64 >= texts),
+fd AS (SELECT DISTINCT text, t FROM fy JOIN fg USING (leaf, x)),
+gone AS (SELECT r, place FROM k JOIN g USING (template) UNION SELECT r, place FROM f JOIN fd ON f.text = fd.text AND f.t = fd.t),
 s AS (SELECT l.r, count(*) AS n_lines, count(gone.r) AS n_dropped, coalesce(string_agg(CASE WHEN gone.r IS NULL THEN l.line END, chr(10) ORDER BY l.place), '') AS kept FROM l LEFT JOIN gone ON l.r = gone.r AND l.place = gone.place GROUP BY l.r)
 SELECT d.doc_id, coalesce(s.n_lines, 0) AS n_lines, coalesce(s.n_dropped, 0) AS n_dropped, CASE WHEN d.text IS NOT NULL THEN sha256(s.kept) END AS text_sha256
 FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents) d LEFT JOIN s USING (r)

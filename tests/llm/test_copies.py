@@ -242,10 +242,29 @@ def lines_by_hand(rows):
             for path in paths(tokens(line)) if tokens(line) else []:
                 texts[path].add(text)
     gone = {p for p, d in texts.items() if len(d) >= (2 if p[0] == "whole" and len(p) > 51 else 10)}
+    leaves = defaultdict(set)
+    for _, text in rows:
+        for line in (text.split("\n") if text is not None else []):
+            if len(t := tokens(line)) >= 8:
+                leaves[len(t), *t[:3]].add((text, tuple(t)))
+    fields = set()
+    for lines in leaves.values():
+        n_texts = len({x for x, _ in lines})
+        if n_texts < 10:
+            continue
+        seen = Counter((i, w) for _, t in lines for i, w in enumerate(t) if w != "<*>")
+        named = defaultdict(list)
+        for text, t in lines:
+            x = tuple(w if seen[i, w] >= 10 and 16 * seen[i, w] >= len(lines) else "<*>" for i, w in enumerate(t))
+            if 2 * sum(w != "<*>" for w in x[3:]) > len(t) - 3:
+                named[x].append((text, t))
+        for found in named.values():
+            if len({x for x, _ in found}) >= 10 and 64 * len({x for x, _ in found}) >= n_texts:
+                fields.update(found)
     out = []
     for i, text in rows:
         all_ = text.split("\n") if text is not None else []
-        kept = [x for x in all_ if not (tokens(x) and gone.intersection(paths(tokens(x))))]
+        kept = [x for x in all_ if not (tokens(x) and (gone.intersection(paths(tokens(x))) or (text, tuple(tokens(x))) in fields))]
         out.append((i, len(all_), len(all_) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest() if text is not None else None))
     return sorted(out, key=str)
 
@@ -279,3 +298,21 @@ def test_lines(spark):
     df = spark.createDataFrame([(*r, [1], 2) for r in rows], DOCS + ", lines array<int>, `a.b` int")
     assert sorted((tuple(r) for r in line_templates.digest(df).select("doc_id", "n_lines", "n_dropped", "text_sha256").collect()), key=str) == lines_by_hand(rows)
     assert line_templates.dropped(df).count() == len(rows)
+
+
+def test_fields_at_any_place(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("bcdfgklm") for _ in range(7))
+    rows = [(i, f"{word()} {word()}\nThis page of {word()} was last edited on behalf of the club by {word()} in our office\n{word()}") for i in range(500)]
+    rows += [(1000 + i, " ".join(["This page of", *(word() for _ in range(13))])) for i in range(200)]
+    rows += [(2000 + i, f"This page of {word()} was {word()} {word()} on {word()} of the {word()} by {word()} in {word()} {word()}") for i in range(40)]
+    got = {r.doc_id: r.n_dropped for r in line_templates.digest(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[i] for i in range(500)] == [1] * 500 and not any(got[i] for i in got if i >= 1000)
+    assert sorted((tuple(r) for r in line_templates.digest(spark.createDataFrame(rows, DOCS)).select("doc_id", "n_lines", "n_dropped", "text_sha256").collect()), key=str) == lines_by_hand(rows)
+
+
+def test_common_words_of_a_large_leaf_are_no_template(spark):
+    rng = random.Random(13)
+    word = lambda: rng.choice(["the", "of", "and"]) if rng.random() < 0.45 else "".join(rng.choice("bcdfgklm") for _ in range(5))
+    rows = [(i, "it is so " + " ".join(word() for _ in range(9))) for i in range(3000)]
+    assert line_templates.digest(spark.createDataFrame(rows, DOCS)).where("n_dropped > 0").isEmpty()
