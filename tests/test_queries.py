@@ -40,9 +40,6 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     got = df.collect()
     order = sorted(df.columns)
-    if name not in ORACLES:
-        assert got
-        return
     found = duck.execute(ORACLES[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == order
