@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.plans import incremental as I
 from attestor.plans.settings import Settings
-from attestor.sources import adapters
+from attestor.sources import adapters, versions
 from tests.test_pipeline_run import provider
 
 RAW = "fact_id string, chunk_id string, doc_id string, page_no int, subject_raw string, attribute_raw string, value_raw string, value_kind string, value_text string, unit string, currency string, period_raw string, as_of_raw string, scope_raw string, source_kind string, confidence double, evidence_text string, grounded boolean"
@@ -41,7 +41,15 @@ def content(corpus):
     return out
 
 
-def test_ten_uploads_equal_a_corpus_built_at_once(spark, tmp_path):
+def few_files(spark, monkeypatch):
+    """Few buckets and partitions, as the tables are tiny."""
+    monkeypatch.setattr(versions, "BUCKETS", 2)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+
+
+def test_ten_uploads_equal_a_corpus_built_at_once(spark, tmp_path, monkeypatch, request):
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.shuffle.partitions", "4"))
+    few_files(spark, monkeypatch)
     rng = random.Random(8)
     corpus = I.Corpus(spark, f"file://{tmp_path}/grown", settings=Settings(bucket_cap=9))
     have = {}
@@ -60,7 +68,7 @@ def test_ten_uploads_equal_a_corpus_built_at_once(spark, tmp_path):
         rows = lambda df: sorted(str(r) for r in df.select(*I.RELATION).collect())
         assert rows(now.read("relations")) == rows(I.judged(now.read("facts"), 9))
         assert {r.fact_id for r in now.read("facts").collect()} == {f[0] for d in have.values() for f in d[2]}
-        if n in (5, len(steps) - 1):
+        if n == len(steps) - 1:
             whole = I.Corpus(spark, f"file://{tmp_path}/whole{n}", settings=Settings(bucket_cap=9))
             whole.add(*frames(spark, list(have.values())))
             assert content(corpus) == content(whole)
@@ -92,7 +100,9 @@ def test_only_buckets_of_touched_entities_are_read(spark, tmp_path):
     assert rows(change.read("relations")) == rows(I.judged(left))
 
 
-def test_uploads_of_lines(spark, tmp_path):
+def test_uploads_of_lines(spark, tmp_path, monkeypatch, request):
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.shuffle.partitions", "4"))
+    few_files(spark, monkeypatch)
     corpus = I.Corpus(spark, f"file://{tmp_path}/c", provider, Settings(requests_per_minute=1e6))
     lines, tables = (df.where("page_no < 3").cache() for df in (adapters.lines(spark, "/root/testdata/sf0.001"), adapters.raw_tables(spark, "/root/testdata/sf0.001")))
     part = lambda df, n: df.where(F.col("doc_id").isin(*n))
