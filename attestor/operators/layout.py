@@ -201,8 +201,11 @@ def kept_tables(rows: DataFrame, prose: DataFrame) -> DataFrame:
     width = F.first("cells").over(shape.orderBy("row_no"))
     sound = rows.withColumns({"n": F.count(F.lit(1)).over(shape), "width": F.size(width)}).where((F.col("n") >= TABLE_ROWS) & (F.col("width") >= TABLE_COLUMNS)).drop("n", "width")
     said = F.lower(collapsed(F.replace("line", F.lit("|"), F.lit(" "))))
-    known = F.lower(collapsed(F.coalesce("text", F.lit(""))))
-    fresh = flattened(sound).join(prose, PAGE, "left").where(~((F.length(said) > ROW_REPEATED) & F.contains(known, said))).drop("text")
+    flat = flattened(sound).withColumn("said", F.when(F.length(said) > ROW_REPEATED, said))
+    # a page's prose is looked through once for each text of its rows, not for each row, and travels with none
+    known = prose.select(*PAGE, F.lower(collapsed(F.coalesce("text", F.lit("")))).alias("known"))
+    repeated = flat.where("said IS NOT NULL").select(*PAGE, "said").distinct().join(known, PAGE).where(F.contains("known", "said")).select(*PAGE, "said")
+    fresh = flat.join(repeated, [*PAGE, "said"], "left_anti").select(*rows.columns, "line")
     return fresh.withColumn("left_over", F.count(F.lit(1)).over(shape)).where(F.col("left_over") >= TABLE_ROWS).drop("left_over")
 
 

@@ -1,5 +1,7 @@
 """Layout rules on the cases that are known to go wrong."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from attestor.operators import layout as L
@@ -95,3 +97,15 @@ def test_every_order_line_becomes_a_line(spark):
     got = adapters.lines(spark, data)
     assert got.count() == lineitem.count()
     assert {r.k for r in got.selectExpr("CAST(substr(line_id, 1, 10) AS INT) % 4 AS k").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_prose_is_searched_once_for_each_text_of_a_pages_rows(spark):
+    """100,000 equal long rows on a page of 300,000 characters, of which the prose has one kind and not the other; a page without prose keeps all."""
+    prose = spark.createDataFrame([("d", 1, "Ten words   of plain prose " * 12_000 + "Net Income of the year 17")], "doc_id string, page_no int, text string")
+    n = spark.range(100_000)
+    cells = F.when(F.col("id") % 2 == 0, F.array(F.lit("net income of"), F.lit(" the year 17"))).otherwise(F.array(F.lit("net income of"), F.lit("the other year")))
+    rows = n.select(F.lit("d").alias("doc_id"), F.when(F.col("id") < 99_990, 1).otherwise(2).alias("page_no"), F.lit(1).alias("table_no"), F.col("id").cast("int").alias("row_no"), cells.alias("cells"))
+    began = time.time()
+    kept = L.kept_tables(rows, prose).groupBy("page_no", F.col("row_no") % 2).count().collect()
+    assert {tuple(r) for r in kept} == {(1, 1, 49_995), (2, 0, 5), (2, 1, 5)}
+    assert time.time() - began < 60
