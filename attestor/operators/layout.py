@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor.functions.parsing import bound
 from attestor.functions.text import collapsed, trimmed
 from attestor.sources.scratch import stored
 
@@ -157,14 +158,37 @@ def blocks(lines: DataFrame) -> DataFrame:
 def gutters(boxes: DataFrame) -> DataFrame:
     """doc_id, page_no, gutters (positions) of pages that have any. boxes: doc_id, page_no, left, right, page_width.
 
-    The page's width is cut into slices; a run of empty ones between text, wide enough, is a gutter.
+    The page's width is cut into slices; a run of empty ones between text, wide enough, is a gutter. What lines cover is a set of bits, so a page
+    is one row of few numbers before anything is shuffled. Each number has the slices before its own as well, as many as a gutter needs.
     """
+    own = 48 - GUTTER_SLICES
+    starts = list(range(-GUTTER_SLICES, SLICES - GUTTER_SLICES, own))
+    left_by = lambda x, n: F.call_function("shiftleft", x, n)
+    one, names = F.lit(1).cast("long"), [f"w{k}" for k in range(len(starts))]
     slice_of = lambda x: F.floor(F.col(x) / (F.col("page_width") / SLICES)).cast("int")
     first, last = F.greatest(F.lit(0), slice_of("left")), F.least(F.lit(SLICES - 1), slice_of("right"))
-    covered = boxes.where(first <= last).select(*PAGE, "page_width", F.explode(F.sequence(first, last)).alias("slice")).distinct()
-    gap = F.col("slice") - F.lag("slice").over(Window.partitionBy(*PAGE).orderBy("slice")) - 1
-    found = covered.withColumn("gap", gap).where(F.col("gap") >= GUTTER_SLICES)
-    return found.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.col("slice") * (F.col("page_width") / SLICES))).alias("gutters"))
+
+    def covered(start: int) -> Column:
+        low, high = F.greatest(F.col("first"), F.lit(start)), F.least(F.col("last"), F.lit(start + 47))
+        return F.bit_or(F.when(low <= high, left_by(left_by(one, high - low + 1) - 1, low - start)).otherwise(F.lit(0).cast("long")))
+
+    spans = boxes.select(*PAGE, "page_width", first.alias("first"), last.alias("last")).where("first <= last")
+    by_width = spans.groupBy(*PAGE, "page_width").agg(*(covered(s).alias(n) for s, n in zip(starts, names, strict=True)))
+    pages = by_width.groupBy(*PAGE).agg(*(F.bit_or(n).alias(n) for n in names), F.array_sort(F.collect_list(F.struct("page_width", F.array(*names).alias("w")))).alias("widths"))
+
+    def after_gap(n: str) -> Column:
+        before = F.lit(0).cast("long")
+        for k in range(1, GUTTER_SLICES + 1):
+            before = before.bitwiseOR(F.shiftleft(n, k))
+        return F.col(n).bitwiseAND(F.lit(((1 << own) - 1) << GUTTER_SLICES)).bitwiseAND(F.bitwise_not(before))
+
+    has = lambda w, s: F.call_function("shiftright", F.get(w, F.floor(s / own).cast("int")), s % own + GUTTER_SLICES).bitwiseAND(one) == 1
+    width = lambda s: F.get(F.filter("widths", lambda x: has(x["w"], s)), F.lit(0))["page_width"]
+    ends = [after_gap(n) for n in names]
+    # the first slice with text ends no gutter, as nothing stands before it
+    found = pages.where(sum((F.bit_count(e) for e in ends), F.lit(0)) > 1)
+    slices = bound(F.array(*ends), lambda e: F.slice(F.filter(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda s: has(e, s)), 2, SLICES))
+    return found.select(*PAGE, F.array_sort(F.transform(slices, lambda s: s * (width(s) / SLICES))).alias("gutters"))
 
 
 def reading_order(boxes: DataFrame, key: str) -> DataFrame:

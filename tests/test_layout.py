@@ -1,5 +1,7 @@
 """Layout rules on the cases that are known to go wrong."""
 
+import math
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -99,6 +101,27 @@ def test_every_order_line_becomes_a_line(spark):
     assert {r.k for r in got.selectExpr("CAST(substr(line_id, 1, 10) AS INT) % 4 AS k").distinct().collect()} == {0, 1, 2, 3}
 
 
+def test_gutters_equal_a_walk_over_slices(spark):
+    """Random pages against slices one by one; some lines lie off the page, and some pages have none."""
+    rng = random.Random(5)
+    rows = []
+    for p in range(300):
+        width = rng.choice([612.0, 200.0, 841.5])
+        for _ in range(rng.randint(1, 12)):
+            left = rng.uniform(-0.1, 1.05) * width
+            rows.append((f"d{p % 7}", p, left, left + rng.uniform(-0.02, 0.25) * width, width))
+    want = {}
+    for p in range(300):
+        own = [r for r in rows if r[1] == p]
+        slices = sorted({s for r in own for s in range(max(0, math.floor(r[2] / (r[4] / 200))), min(199, math.floor(r[3] / (r[4] / 200))) + 1)})
+        ends = [b * (own[0][4] / 200) for a, b in zip(slices, slices[1:], strict=False) if b - a - 1 >= 8]
+        if ends:
+            want[(own[0][0], p)] = ends
+    found = L.gutters(spark.createDataFrame(rows, 'doc_id string, page_no int, left double, right double, page_width double'))
+    assert {(r.doc_id, r.page_no): r.gutters for r in found.collect()} == want and len(want) > 100
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # lines are not multiplied by their slices
+
+
 def test_prose_is_searched_once_for_each_text_of_a_pages_rows(spark):
     """100,000 equal long rows on a page of 300,000 characters, of which the prose has one kind and not the other; a page without prose keeps all."""
     prose = spark.createDataFrame([("d", 1, "Ten words   of plain prose " * 12_000 + "Net Income of the year 17")], "doc_id string, page_no int, text string")
