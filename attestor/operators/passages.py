@@ -15,7 +15,8 @@ PASSAGE_WORDS = 1000
 PARAGRAPH_WORDS = 1500
 LEAST_WORDS = 5
 LEAST_CAPITALISED = 2
-CAPITALISED = r"(?U)\b[A-Z][a-z]{2,}\b"
+#: A word goes on with letters, numbers of any kind and _, with nothing else; to Java's \b a superscript ends it and a combining mark doesn't.
+CAPITALISED = r"(?<![\p{L}\p{N}_])[A-Z][a-z]{2,}(?![\p{L}\p{N}_])"
 SYMBOLS = ("*", "†", "‡", "§")
 SENTENCE = r"(?sU).+?(?:(?<=[.!?])\s+|\z)"
 KINDS = ("prose", "table", "footnotes")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -85,6 +86,13 @@ def test_passages_round_trip_and_headers(spark):
     assert not any(m in r.text for r in got for m in (L.TABLES_MARK, L.FOOTNOTES_MARK))
 
 
+def test_names_are_counted_as_matches_between_word_boundaries(spark):
+    """Two names with one separator between them are two."""
+    said = ["Thtint Thtint st st st", "Revenue,Profit fell over it all", "a Revenue² Profit fell over it", "Revenue\u0301 Profit\u203f fell over it", "Revenue½ Profit fell over it", "_Revenue Profit fell over it", "ÉRevenue Profité Cost Loss fell", "one two three Four five"]
+    got = spark.createDataFrame(list(enumerate(said)), "i int, text string").select("i", P.why_skipped(F.col("text")).alias("why")).orderBy("i").collect()
+    assert [r.why is None for r in got] == [len(re.findall(r"\b[A-Z][a-z]{2,}\b", s)) >= 2 for s in said]
+
+
 def test_packing_never_exceeds_the_limit_unless_alone(spark):
     df = spark.createDataFrame([([400, 700, 300, 1400, 10],)], "w array<int>")
     spans = F.transform("w", lambda w, i: F.struct(i.alias("start"), (i + 1).alias("end"), w.alias("words")))

@@ -46,6 +46,20 @@ def test_query(spark, duck, name):
     assert rows(df.columns, got, order) == rows(names, found.fetchall(), order)
 
 
+@pytest.mark.parametrize("name", ["cache_misses", "chunk_stats", "failures_by_kind", "model_answers", "pack_requests", "prefilter", "request_prompts"])
+def test_superscripts_and_marks_beside_names(spark, tmp_path, name):
+    """Numbers of any kind go on with a word, combining marks and joiners end it."""
+    said = ("Revenue² and Profit² fell", "Revenue½ and Profit½ fell", "①Revenue ①Profit fell", "Revenue\u0301 and Profit\u0301 fell", "Revenue\u200d and Profit\u200d fell", "Revenueé and Profité fell", "Revenue and Profit fell")
+    table = [(i, f"{s} over it all", "en", "web", 9) for i, s in zip((1, 2, 3, 4, 6, 8, 9), said, strict=True)]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    df = QUERIES[name](spark, str(tmp_path))
+    order = sorted(df.columns)
+    found = con.execute(ORACLES[name])
+    assert rows(df.columns, df.collect(), order) == rows([d[0] for d in found.description], found.fetchall(), order)
+
+
 def test_entry_imports_without_the_operators_for_training_data():
     import __spark_entry__
 
