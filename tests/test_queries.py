@@ -71,7 +71,7 @@ def crowded(tmp_path_factory):
     return con, str(at)
 
 
-@pytest.mark.parametrize("name", ["case_1_corroborated", "case_2_contradicted", "case_3a_derived", "lost_facts", "settle_residual"])
+@pytest.mark.parametrize("name", ["case_1_corroborated", "case_2_contradicted", "case_3a_derived", "incremental_relations", "lost_facts", "settle_residual"])
 def test_crowded_buckets_are_paired_whole(spark, crowded, name):
     con, at = crowded
     df = QUERIES[name](spark, at)
